@@ -21,13 +21,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """The same table as a file stream (new files dropped into the folder are picked up)."""
+    r = spark.readStream.schema(table(spark, sf_dir, name).schema).option("pathGlobFilter", f"{name}*.parquet")
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    return r.parquet(sf_dir)
+
+
 def docs_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uploaded documents: ``doc_id, filename, type, uploaded_at, text``.
 
     filename = ``<source>_<doc_id>.<lang>``, type from the filename (P2),
     uploaded_at = 2024-01-01 plus ``doc_id`` hours.
     """
-    d = table(spark, sf_dir, "documents")
+    return docs_of(table(spark, sf_dir, "documents"))
+
+
+def docs_of(d: DataFrame) -> DataFrame:
+    """``docs_view`` over any (batch or streaming) ``documents`` DataFrame."""
     filename = F.concat_ws("", F.col("source"), F.lit("_"), F.col("doc_id").cast("string"), F.lit("."), F.col("lang"))
     return d.select(
         F.col("doc_id"),
@@ -45,7 +57,11 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     event is an error, duration = value seconds, HTTP status 500 on errors
     (400 when k is even, i.e. rejected input), 200 otherwise.
     """
-    e = table(spark, sf_dir, "events")
+    return requests_of(table(spark, sf_dir, "events"))
+
+
+def requests_of(e: DataFrame) -> DataFrame:
+    """``request_log`` over any (batch or streaming) ``events`` DataFrame."""
     k = F.get_json_object("props", "$.k").cast("int")
     endpoints = F.array(*[F.lit(x) for x in ENDPOINTS])
     failed = F.col("event_type") == "error"
@@ -66,7 +82,11 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def request_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Start / end marks of requests: even event ids start request ``id div 2``,
     odd ones end it; odd ``view`` events are lost ends (requests still active)."""
-    e = table(spark, sf_dir, "events")
+    return marks_of(table(spark, sf_dir, "events"))
+
+
+def marks_of(e: DataFrame) -> DataFrame:
+    """``request_marks`` over any (batch or streaming) ``events`` DataFrame."""
     k = F.get_json_object("props", "$.k").cast("int")
     endpoints = F.array(*[F.lit(x) for x in ENDPOINTS])
     is_start = F.col("event_id") % 2 == 0
