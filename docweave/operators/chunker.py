@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from docweave import config as C
 from docweave.functions.text import normalize_ws, split_sentences
+from docweave.operators.arrays import posexplode_kept, spread
 
 
 def chunk_bounds(word_counts, size: int, overlap: int) -> list[int]:
@@ -72,6 +73,7 @@ def chunk_documents(
     ints only), chunk texts (JVM) - then ``posexplode``.
     """
     keep = list(keep) if keep is not None else [c for c in df.columns if c != text_col]
+    df = spread(df.select(*keep, text_col))
     sents = df.select(*keep, split_sentences(normalize_ws(F.col(text_col))).alias("__s"))
     counted = sents.select(*keep, "__s", F.transform("__s", lambda s: F.size(F.split(s, " "))).alias("__w"))
     bounded = counted.select(*keep, "__s", _bounds_udf(size, overlap)(F.col("__w")).alias("__b"))
@@ -82,4 +84,4 @@ def chunk_documents(
         lambda j: F.array_join(F.slice(F.col("__s"), b[j * 2] + 1, b[j * 2 + 1] - b[j * 2] + 1), " "),
     )
     chunks = bounded.select(*keep, F.when(n > 0, texts).otherwise(F.array().cast("array<string>")).alias("__c"))
-    return chunks.select(*keep, F.posexplode("__c").alias("chunk_index", "chunk_text"))
+    return posexplode_kept(chunks, keep, "__c", "chunk_index", "chunk_text")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docweave import config as C
 from docweave.functions.answers import system_prompt, truncate_context
+from docweave.operators.arrays import posexplode_kept
 
 
 def history_pairs(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -57,5 +58,5 @@ def prompt_messages(final_q: DataFrame, history: DataFrame, contexts: DataFrame,
                                       lambda p: F.filter(F.array(msg("user", p["user"]), msg("assistant", p["assistant"])),
                                                          lambda m: F.coalesce(m["content"], F.lit("")) != "")))
     allm = F.concat(F.array(msg("system", system_prompt(truncate_context(F.col("context"))))), hist_msgs, F.array(msg("user", F.col("query"))))
-    e = j.select(conv, F.posexplode(allm).alias("msg_index", "m"))
+    e = posexplode_kept(j, [conv], allm, "msg_index", "m")
     return e.select(conv, F.col("msg_index").cast("bigint"), F.col("m.role").alias("role"), F.col("m.content").alias("content"))

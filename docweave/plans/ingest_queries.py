@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from docweave.functions.vectors import with_hash_embedding
+from docweave.operators.arrays import posexplode_kept
 from docweave.operators.embed import embed
 from docweave.session import scratch_path
 from docweave.sources import files as FS
@@ -118,7 +119,7 @@ def _payload_shapes(spark, sf):
 def coerce_embedding_payload(spark, sf):
     """Every payload shape back to its vector."""
     p = _payload_shapes(spark, sf).select("vec_id", coerce_vectors("payload").alias("vs"))
-    x = p.select("vec_id", F.posexplode(F.element_at("vs", 1)).alias("dim_index", "value"))
+    x = posexplode_kept(p, ["vec_id"], F.element_at("vs", 1), "dim_index", "value")
     return x.select("vec_id", F.col("dim_index").cast("bigint"), F.round("value", 6).alias("value"))
 
 
@@ -140,7 +141,7 @@ def batch_embed_provider(spark, sf):
     """K1: the default provider chain on a machine without a neural model falls back to the hash embedding."""
     d = table(spark, sf, "documents").select("doc_id", "text")
     e = embed(d, "text", "vec", provider="sentence")
-    x = e.select("doc_id", F.posexplode("vec").alias("dim_index", "value"))
+    x = posexplode_kept(e, ["doc_id"], "vec", "dim_index", "value")
     return x.select("doc_id", F.col("dim_index").cast("bigint"), F.round("value", 6).alias("value"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions import text as T
 from docweave.functions.vectors import with_hash_embedding
+from docweave.operators.arrays import posexplode_kept
 from docweave.operators.chunker import chunk_documents
 from docweave.plans.sql_blocks import DOCS_CTE, chunk_ctes, hash_embed_sql
 from docweave.sources.tables import docs_view, table
@@ -20,7 +21,7 @@ def normalize_text(spark, sf):
 def sentence_split(spark, sf):
     d = table(spark, sf, "documents")
     s = d.select("doc_id", T.split_sentences(T.normalize_ws("text")).alias("s"))
-    e = s.select("doc_id", F.posexplode("s").alias("sentence_index", "sentence"))
+    e = posexplode_kept(s, ["doc_id"], "s", "sentence_index", "sentence")
     return e.select("doc_id", F.col("sentence_index").cast("bigint"), "sentence",
                     F.size(F.split("sentence", " ")).cast("bigint").alias("n_words"))
 
@@ -33,7 +34,7 @@ def chunk_docs(spark, sf):
 
 def hash_embed(spark, sf):
     d = with_hash_embedding(table(spark, sf, "documents").select("doc_id", "text"), "text", "vec", 64)
-    e = d.select("doc_id", F.posexplode("vec").alias("dim_index", "value"))
+    e = posexplode_kept(d, ["doc_id"], "vec", "dim_index", "value")
     return e.select("doc_id", F.col("dim_index").cast("bigint"), F.round("value", 6).alias("value"))
 
 

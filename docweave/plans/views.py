@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions.text import py_strip
 from docweave.functions.vectors import l2_normalize, with_hash_embedding
+from docweave.operators.arrays import posexplode_kept
 from docweave.operators.chunker import chunk_documents
 from docweave.sources.tables import docs_view, table
 
@@ -56,7 +57,7 @@ def label_centroid_queries(spark: SparkSession, sf: str) -> DataFrame:
     holding most rows still only ships one partial sum per task.
     """
     e = table(spark, sf, "embeddings")
-    x = e.select("label", F.posexplode("embedding").alias("pos", "x"))
+    x = posexplode_kept(e, ["label"], "embedding", "pos", "x")
     m = x.groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("v"))
     c = m.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("pv"))
     return c.select(F.col("label").cast("bigint").alias("query_id"), l2_normalize(F.transform("pv", lambda s: s["v"])).alias("vector"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweave.functions.vectors import with_hash_embedding
+from docweave.operators.arrays import explode_kept, posexplode_kept
 
 VEC = T.ArrayType(T.DoubleType())
 PAYLOAD_SCHEMA = T.StructType([
@@ -57,7 +58,7 @@ def load_vectors(payloads: DataFrame, payload_col: str = "payload", demo: bool =
     where such chunks are hash-embedded instead.
     """
     p = payloads.select(F.from_json(payload_col, UPLOAD_SCHEMA).alias("p"))
-    docs = p.select(F.explode(F.coalesce(F.col("p.documents"), F.when(F.col("p.document").isNotNull(), F.array("p.document")))).alias("d"))
+    docs = explode_kept(p, [], F.coalesce(F.col("p.documents"), F.when(F.col("p.document").isNotNull(), F.array("p.document"))), "d")
     docs = docs.select(F.col("d.id").alias("id"), F.col("d.filename").alias("filename"), F.coalesce("d.chunks", F.array().cast(T.ArrayType(UPLOAD_CHUNK))).alias("chunks"))
     vec = lambda c: F.coalesce(F.when(F.size(c["vector"]) > 0, c["vector"]), F.when(F.size(c["embed"]) > 0, c["embed"]))
     missing = F.transform("chunks", lambda c, i: F.when(vec(c).isNull(), i))
@@ -69,7 +70,7 @@ def load_vectors(payloads: DataFrame, payload_col: str = "payload", demo: bool =
               .when(F.col("__miss").isNotNull() & F.lit(not demo), F.concat(F.lit("missing vector for chunk "), F.col("__miss").cast("string"))))
     report = docs.select("id", status.alias("status"), reason.alias("reason"),
                          F.when(status == "upserted", F.size("chunks")).otherwise(F.lit(0)).alias("upserted"))
-    ok = docs.where(status == "upserted").select("id", "filename", F.posexplode("chunks").alias("pos", "c"))
+    ok = posexplode_kept(docs.where(status == "upserted"), ["id", "filename"], "chunks", "pos", "c")
     chunks = ok.select("id", "filename", F.coalesce(F.col("c.chunk_index"), F.col("pos")).alias("chunk_index"),
                        F.coalesce(F.col("c.text"), F.lit("")).alias("text"), vec(F.col("c")).alias("vector"))
     if demo:
