@@ -11,14 +11,16 @@ from docweave.operators.arrays import posexplode_kept
 
 
 def history_pairs(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Each user turn paired with the assistant turn right after it (``''`` when there is none)."""
-    w = Window.partitionBy(conv).orderBy(turn)
-    t = turns.select(conv, turn, role, text,
-                     F.lead(role).over(w).alias("__next_role"), F.lead(text).over(w).alias("__next_text"))
-    return t.where(F.col(role) == "user").select(
-        conv, F.col(turn).alias("user_turn"), F.col(text).alias("user"),
-        F.when(F.col("__next_role") == "assistant", F.col("__next_text")).otherwise(F.lit("")).alias("assistant"),
-    )
+    """Each user turn paired with the assistant turn right after it (``''`` when there is none).
+
+    An equi-join on ``(conv, turn + 1)`` rather than ``lead()`` over the
+    conversation: the join key is unique per turn, so one huge conversation
+    is spread over many tasks instead of being sorted in one.
+    """
+    users = turns.where(F.col(role) == "user").select(conv, F.col(turn).alias("user_turn"), F.col(text).alias("user"))
+    nxt = turns.where(F.col(role) == "assistant").select(conv, (F.col(turn) - 1).alias("user_turn"), F.col(text).alias("assistant"))
+    j = users.join(nxt, [conv, "user_turn"], "left")
+    return j.select(conv, "user_turn", "user", F.coalesce("assistant", F.lit("")).alias("assistant"))
 
 
 def last_n_pairs(pairs: DataFrame, n: int = C.MAX_CONVERSATION_HISTORY, conv: str = "conv_id", order: str = "user_turn") -> DataFrame:
@@ -30,17 +32,22 @@ def last_n_pairs(pairs: DataFrame, n: int = C.MAX_CONVERSATION_HISTORY, conv: st
 def bounded_context(blocks: DataFrame, key: str, order: str, text: str, max_chars: int = C.MAX_CONTEXT_CHARS) -> DataFrame:
     """F12 context per key: blocks joined by a blank line, then truncated.
 
-    Only blocks that start before ``max_chars`` are collected, so the per-key
-    array stays bounded however many blocks a key has; lengths are summed.
+    Every block adds at least its 2-character separator, so only the first
+    ``max_chars // 2 + 1`` blocks of a key can start before the cut: a
+    ``row_number`` limit (partial per task, ``WindowGroupLimit``) bounds what is
+    sorted and collected per key, however many blocks a key has. The full
+    length comes from a separate partial aggregate.
     """
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     sep = 2
-    b = blocks.select(key, order, text, F.coalesce(F.sum(F.length(text) + sep).over(w), F.lit(0)).alias("__start"))
-    agg = b.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.when(F.col("__start") <= max_chars, F.struct(order, text)))).alias("__kept"),
-        (F.sum(F.length(text) + sep) - sep).alias("n_chars"),
-    )
-    joined = F.array_join(F.transform("__kept", lambda s: s[text]), "\n\n")
+    head_n = max_chars // sep + 1
+    first = blocks.select(key, order, text).withColumn("__rn", F.row_number().over(Window.partitionBy(key).orderBy(order)))
+    first = first.where(F.col("__rn") <= head_n)
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    b = first.select(key, order, text, F.coalesce(F.sum(F.length(text) + sep).over(w), F.lit(0)).alias("__start"))
+    kept = b.where(F.col("__start") <= max_chars).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, text))).alias("__kept"))
+    total = blocks.groupBy(key).agg((F.sum(F.length(text) + sep) - sep).alias("n_chars"))
+    agg = total.join(kept, key, "left")
+    joined = F.array_join(F.transform(F.coalesce("__kept", F.array()), lambda s: s[text]), "\n\n")
     return agg.select(key, truncate_context(joined, max_chars).alias("context"), F.col("n_chars").cast("bigint"),
                       (F.col("n_chars") > max_chars).alias("is_truncated"))
 
