@@ -112,6 +112,12 @@ def lookup_documents(points: DataFrame, keys: DataFrame) -> DataFrame:
     return points.join(keys.select("filename").distinct(), "filename", "left_semi")
 
 
+def scroll(points: DataFrame, limit: int, after: str | None = None, key: str = "point_id") -> DataFrame:
+    """S12 paging: the next ``limit`` points after ``after`` in key order (keyset, no offsets)."""
+    p = points if after is None else points.where(F.col(key) > F.lit(after))
+    return p.orderBy(key).limit(limit)
+
+
 def point_count(points: DataFrame) -> DataFrame:
     """A11."""
     return points.agg(F.count(F.lit(1)).alias("points"))

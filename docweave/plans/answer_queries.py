@@ -58,7 +58,17 @@ def classify_error(spark, sf):
     return c.select("request_id", "status_code", "cleaned", user_facing_answer("cleaned").alias("answer"))
 
 
+def generate_answers(spark, sf):
+    """K3 end to end: prompts -> generator (built-in demo) -> F11 marker parsing."""
+    from docweave.operators.generation import generate
+
+    raw = generate(build_prompt(spark, sf))
+    p = raw.select("conv_id", _parse("raw_response").alias("p"))
+    return p.select("conv_id", F.col("p.text").alias("answer"), F.col("p.source").cast("string").alias("source"))
+
+
 QUERIES = {
+    "generate_answers": generate_answers,
     "truncate_context": truncate_context,
     "build_prompt": build_prompt,
     "demo_answer": demo_answer,
@@ -111,6 +121,17 @@ def _prompt_sql():
     SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY o) - 1 AS BIGINT) AS msg_index, role, content FROM allm"""
 
 
+def _generate_sql():
+    ctx0 = "regexp_extract(content, '(?s)CONTEXT: (.*)' || chr(10) || chr(10) || 'If the answer comes from provided documents', 1)"
+    gen_text, _ = _answer_sql("ctx")
+    pt, ps = _parse_sql("raw")
+    return f"""
+    WITH p AS ({_prompt_sql()}),
+    s AS (SELECT conv_id, CASE WHEN {ctx0} = '[None]' THEN '' ELSE {ctx0} END AS ctx FROM p WHERE role = 'system'),
+    g AS (SELECT conv_id, {gen_text} AS raw FROM s)
+    SELECT conv_id, {pt} AS answer, {ps} AS source FROM g"""
+
+
 ORACLE = {
     "truncate_context": f"""
         SELECT conv_id,
@@ -118,6 +139,7 @@ ORACLE = {
                CAST(length(ctx) AS BIGINT) AS n_chars, length(ctx) > {C.MAX_CONTEXT_CHARS} AS is_truncated
         FROM (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS ctx FROM conversations GROUP BY conv_id)""",
     "build_prompt": _prompt_sql(),
+    "generate_answers": _generate_sql(),
     "demo_answer": f"SELECT doc_id, {_DOC_TEXT} AS answer, CASE WHEN NOT (text IS NULL OR regexp_matches(text, '^\\s*$')) THEN CAST({_DOC_SRC} AS VARCHAR) END AS source FROM documents",
     "parse_source_marker": f"""
         WITH raw AS (

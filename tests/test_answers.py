@@ -41,3 +41,16 @@ def test_classify_error(spark):
     df = spark.createDataFrame([("ContentFilter content_filter hit", 500), ("boom", 400), ("boom", 500)], "m string, s int")
     got = [r[0] for r in df.select(A.classify_error(F.col("m"), F.col("s"))).collect()]
     assert got == [C.CONTENT_FILTER_MARKER, C.CONTENT_FILTER_MARKER, C.GENERIC_FAILURE_ANSWER]
+
+
+def test_generation_hook(spark):
+    from docweave.operators.generation import generate
+    from docweave.functions.answers import system_prompt
+
+    sp = one(spark, system_prompt(F.col("t")), "Alpha block\n\nBeta block")
+    prompts = spark.createDataFrame([(1, 0, "system", sp), (1, 1, "user", "question?")], "conv_id long, msg_index long, role string, content string")
+    demo = generate(prompts).first().raw_response
+    assert demo == "[SOURCE:0]\nAlpha block\n\nBeta block"
+    echo = generate(prompts, lambda msgs: f"[SOURCE:1] {len(msgs)} messages, last: {msgs[-1]['content']}").first().raw_response
+    assert echo == "[SOURCE:1] 2 messages, last: question?"
+    assert parse(spark, echo) == ("2 messages, last: question?", 1)

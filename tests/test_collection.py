@@ -43,3 +43,17 @@ def test_collection_lifecycle(spark):
     assert c.read().where(F.col("type") == "PDF").count() == 4
     assert c.clear() == {"success": True, "deleted": 4}
     assert c.read().count() == 0
+
+
+def test_scroll_pages_cover_everything(spark):
+    from docweave.operators.collection import scroll
+
+    p = pts(spark, range(23))
+    seen, after = [], None
+    while True:
+        page = [r.point_id for r in scroll(p, 5, after).collect()]
+        if not page:
+            break
+        seen += page
+        after = page[-1]
+    assert seen == sorted(f"id{i}" for i in range(23))
