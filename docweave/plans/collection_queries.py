@@ -105,7 +105,7 @@ def reindex_split(spark, sf):
     r = K.reindex(_mixed_dim_points(spark, sf), 64, lambda df, t, o: with_hash_embedding(df, t, o, 64))
     g = r.groupBy("filename").agg(F.count_if("reindex_ok").alias("upserted"), F.count_if("reembedded").alias("reembedded"),
                                   F.count_if(~F.col("reindex_ok")).alias("failed"),
-                                  F.sum(F.element_at("vector", 1)).alias("v0"))
+                                  F.sum(F.try_element_at("vector", F.lit(1))).alias("v0"))
     return g.select("filename", "upserted", "reembedded", "failed", F.round("v0", 6).alias("v0_sum"))
 
 

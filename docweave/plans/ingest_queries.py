@@ -119,7 +119,7 @@ def _payload_shapes(spark, sf):
 def coerce_embedding_payload(spark, sf):
     """Every payload shape back to its vector."""
     p = _payload_shapes(spark, sf).select("vec_id", coerce_vectors("payload").alias("vs"))
-    x = posexplode_kept(p, ["vec_id"], F.element_at("vs", 1), "dim_index", "value")
+    x = posexplode_kept(p, ["vec_id"], F.try_element_at("vs", F.lit(1)), "dim_index", "value")
     return x.select("vec_id", F.col("dim_index").cast("bigint"), F.round("value", 6).alias("value"))
 
 

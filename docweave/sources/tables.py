@@ -67,7 +67,7 @@ def requests_of(e: DataFrame) -> DataFrame:
     failed = F.col("event_type") == "error"
     return e.select(
         F.col("event_id").alias("request_id"),
-        F.element_at(endpoints, (k % 5) + 1).alias("endpoint"),
+        F.try_element_at(endpoints, (k % 5) + 1).alias("endpoint"),
         F.lit("POST").alias("method"),
         F.col("ts"),
         (~failed).alias("success"),
@@ -93,7 +93,7 @@ def marks_of(e: DataFrame) -> DataFrame:
     return e.where(is_start | (F.col("event_type") != "view")).select(
         (F.col("event_id") / 2).cast("bigint").alias("request_id"),
         F.when(is_start, F.lit("start")).otherwise(F.lit("end")).alias("mark"),
-        F.element_at(endpoints, (k % 5) + 1).alias("endpoint"),
+        F.try_element_at(endpoints, (k % 5) + 1).alias("endpoint"),
         F.col("ts"),
         (F.col("event_type") != "error").alias("success"),
         F.col("event_type"),
