@@ -23,6 +23,11 @@ def _bound(value: str, end_of_day: bool):
     raise ValueError(f"unparseable date bound: {value!r}")
 
 
+def _ntz(t: dt.datetime) -> Column:
+    """A wall-clock literal, independent of the session time zone."""
+    return F.lit(t.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
+
+
 def filter_condition(filters: dict | None, type_col: str = "type", ts_col: str = "uploaded_at") -> Column | None:
     """Column predicate for ``{file_type, date_from, date_to}``; empty values are ignored."""
     if not filters:
@@ -32,10 +37,10 @@ def filter_condition(filters: dict | None, type_col: str = "type", ts_col: str =
         conds.append(F.col(type_col) == F.lit(str(filters["file_type"]).upper()))
     if filters.get("date_from"):
         t, _ = _bound(str(filters["date_from"]), False)
-        conds.append(F.col(ts_col) >= F.lit(t).cast("timestamp_ntz"))
+        conds.append(F.col(ts_col) >= _ntz(t))
     if filters.get("date_to"):
         t, exclusive = _bound(str(filters["date_to"]), True)
-        conds.append(F.col(ts_col) < F.lit(t).cast("timestamp_ntz") if exclusive else F.col(ts_col) <= F.lit(t).cast("timestamp_ntz"))
+        conds.append(F.col(ts_col) < _ntz(t) if exclusive else F.col(ts_col) <= _ntz(t))
     return reduce(lambda a, b: a & b, conds) if conds else None
 
 

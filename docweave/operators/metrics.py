@@ -49,7 +49,7 @@ def paired_requests(marks: DataFrame) -> DataFrame:
     s = marks.where(F.col("mark") == "start").select("request_id", "endpoint", F.col("ts").alias("start_ts"), F.col("event_type").alias("start_type"))
     e = marks.where(F.col("mark") == "end").select("request_id", F.col("ts").alias("end_ts"), "success")
     j = s.join(e, "request_id")
-    dur = (F.unix_micros(F.col("end_ts").cast("timestamp")) - F.unix_micros(F.col("start_ts").cast("timestamp"))) / 1000.0
+    dur = F.timestamp_diff("MICROSECOND", F.col("start_ts"), F.col("end_ts")) / 1000.0
     return j.select("request_id", "endpoint", "start_type", "start_ts", "end_ts", "success", dur.alias("duration_ms"))
 
 
@@ -71,7 +71,7 @@ def stale_requests(marks: DataFrame, max_age_seconds: int = C.STALE_REQUEST_SECO
     """T3 batch: active requests older than ``max_age_seconds`` at "now" = the latest mark."""
     now = marks.agg(F.max("ts").alias("now"))  # one row
     a = attach_scalars(active_requests(marks), now)
-    age = (F.unix_micros(F.col("now").cast("timestamp")) - F.unix_micros(F.col("start_ts").cast("timestamp"))) / 1e6
+    age = F.timestamp_diff("MICROSECOND", F.col("start_ts"), F.col("now")) / 1e6
     return a.select("request_id", "endpoint", "start_ts", age.alias("age_seconds")).where(F.col("age_seconds") > max_age_seconds)
 
 
@@ -109,7 +109,7 @@ def health_summary(req: DataFrame, marks: DataFrame, threshold: float = C.ERROR_
     t = req.agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(~F.col("success")).alias("failed"),
-        ((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 1e6).alias("uptime_seconds"),
+        (F.timestamp_diff("MICROSECOND", F.min("ts"), F.max("ts")) / 1e6).alias("uptime_seconds"),
     )
     act = active_requests(marks).agg(F.count(F.lit(1)).alias("active_requests"))
     j = attach_scalars(t, act)

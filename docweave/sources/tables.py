@@ -45,7 +45,7 @@ def docs_of(d: DataFrame) -> DataFrame:
         F.col("doc_id"),
         filename.alias("filename"),
         file_type(filename).alias("type"),
-        F.timestamp_add("HOUR", F.col("doc_id"), F.lit(EPOCH).cast("timestamp_ntz")).alias("uploaded_at"),
+        F.timestamp_add("HOUR", F.col("doc_id"), F.lit(EPOCH.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")).alias("uploaded_at"),
         F.col("text"),
     )
 
