@@ -15,17 +15,19 @@ def _col(c) -> Column:
 def digest_chain_hex(text, dim: int = C.HASH_DIM_DEFAULT) -> Column:
     """Hex of md5(text) || md5(md5(text)) || ... - enough digests for ``dim`` bytes.
 
-    The chain runs on raw digest bytes (``md5(unhex(hex))``).
+    The chain runs on raw digest bytes (``md5(unhex(hex))``). The accumulator is
+    an array of digests (each step appends one reference), joined once at the end.
     """
     n_digests = (dim + 15) // 16
-    hexes = F.md5(_col(text))
-    if n_digests > 1:
-        hexes = F.aggregate(
-            F.sequence(F.lit(2), F.lit(n_digests)),
-            hexes,
-            lambda acc, _i: F.concat(acc, F.md5(F.unhex(F.substring(acc, -32, 32)))),
-        )
-    return hexes
+    first = F.md5(_col(text))
+    if n_digests == 1:
+        return first
+    chain = F.aggregate(
+        F.sequence(F.lit(2), F.lit(n_digests)),
+        F.array(first),
+        lambda acc, _i: F.concat(acc, F.array(F.md5(F.unhex(F.element_at(acc, -1))))),
+    )
+    return F.array_join(chain, "")
 
 
 def hash_embed_raw(text, dim: int = C.HASH_DIM_DEFAULT) -> Column:
