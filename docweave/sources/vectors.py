@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,7 +61,11 @@ def load_vectors(payloads: DataFrame, payload_col: str = "payload", demo: bool =
     """
     p = payloads.select(F.from_json(payload_col, UPLOAD_SCHEMA).alias("p"))
     docs = explode_kept(p, [], F.coalesce(F.col("p.documents"), F.when(F.col("p.document").isNotNull(), F.array("p.document"))), "d")
-    docs = docs.select(F.col("d.id").alias("id"), F.col("d.filename").alias("filename"), F.coalesce("d.chunks", F.array().cast(T.ArrayType(UPLOAD_CHUNK))).alias("chunks"))
+    # defaults: a content-derived id (idempotent, D2) and the upload-<epoch> name
+    docs = docs.select(
+        F.coalesce(F.col("d.id"), F.sha2(F.to_json("d"), 256)).alias("id"),
+        F.coalesce(F.col("d.filename"), F.lit(f"upload-{int(time.time())}")).alias("filename"),
+        F.coalesce("d.chunks", F.array().cast(T.ArrayType(UPLOAD_CHUNK))).alias("chunks"))
     vec = lambda c: F.coalesce(F.when(F.size(c["vector"]) > 0, c["vector"]), F.when(F.size(c["embed"]) > 0, c["embed"]))
     missing = F.transform("chunks", lambda c, i: F.when(vec(c).isNull(), i))
     first_missing = F.array_min(F.filter(missing, lambda x: x.isNotNull()))

@@ -58,3 +58,26 @@ def test_payload_shapes(spark):
     got = [one(spark, coerce_vectors(F.col("t")), s) for s in shapes]
     assert got[:6] == [[[1.0, 2.0]], [[1.0, 2.0], [3.0, 4.0]], [[1.0, 2.0]], [[1.0, 2.0]], [[1.0, 2.0]], [[1.0, 2.0]]]
     assert got[6] is None
+
+
+def test_load_vectors(spark):
+    from docweave.sources.vectors import load_vectors
+
+    payloads = [
+        '{"documents": [{"id": "a", "filename": "a.pdf", "chunks": [{"text": "t0", "vector": [1, 0]}, {"text": "t1", "embed": [0, 1], "chunk_index": 7}]},'
+        ' {"id": "b", "chunks": []}, {"id": "c", "chunks": [{"text": "x", "vector": []}]}]}',
+        '{"document": {"chunks": [{"text": "solo", "vector": [0.5, 0.5]}]}}',
+    ]
+    df = spark.createDataFrame([(p,) for p in payloads], "payload string")
+    chunks, report = load_vectors(df)
+    rep = {r.id: (r.status, r.reason, r.upserted) for r in report.collect()}
+    assert rep["a"] == ("upserted", None, 2)
+    assert rep["b"] == ("skipped", "no chunks provided", 0)
+    assert rep["c"] == ("skipped", "missing vector for chunk 0", 0)
+    assert len(rep) == 4  # the anonymous document gets a content-derived id
+    got = sorted((r.id, r.chunk_index, r.vector) for r in chunks.where("id = 'a'").collect())
+    assert got == [("a", 0, [1.0, 0.0]), ("a", 7, [0.0, 1.0])]
+    assert chunks.where("text = 'solo'").first().filename.startswith("upload-")
+    demo_chunks, demo_rep = load_vectors(df, demo=True, dim=8)
+    assert {r.id: r.status for r in demo_rep.collect()}["c"] == "upserted"
+    assert len(demo_chunks.where("id = 'c'").first().vector) == 8
