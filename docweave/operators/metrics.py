@@ -19,8 +19,12 @@ from docweave.operators.ordering import running_totals, trailing_rows_mean
 
 
 def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Add the columns of a one-row aggregate to every row (broadcast equi-join, one row)."""
-    return df.withColumn("__one", F.lit(1)).join(F.broadcast(one_row.withColumn("__one", F.lit(1))), "__one").drop("__one")
+    """Add the columns of a one-row aggregate to every row as scalar subqueries.
+
+    Each column becomes ``one_row.select(c).scalar()``: Spark runs the subquery
+    once and uses its value as a constant - no join, nothing broadcast per row.
+    """
+    return df.select("*", *[one_row.select(c).scalar().alias(c) for c in one_row.columns])
 
 
 def request_totals(req: DataFrame) -> DataFrame:
