@@ -11,6 +11,16 @@ from docweave.sources.tables import marks_of, requests_of
 from docweave.streaming.runner import run_append, run_complete
 
 
+def as_instant(ts_ntz) -> F.Column:
+    """Wall-clock ``timestamp_ntz`` read as UTC, as a ``TIMESTAMP`` (watermarks need one).
+
+    Built from microseconds since the epoch, so it does not depend on the
+    session time zone (a plain cast would, including daylight-saving jumps).
+    """
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, ts_ntz))
+
+
 def live_endpoint_stats(events_stream: DataFrame) -> DataFrame:
     """Per-endpoint counters, updated every micro-batch (complete mode)."""
     return run_complete(endpoint_stats(requests_of(events_stream)), "endpoint-stats")
@@ -25,9 +35,9 @@ def stale_request_stream(events_stream: DataFrame, max_age_seconds: int = C.STAL
     """
     marks = marks_of(events_stream)
     starts = marks.where(F.col("mark") == "start").select(
-        F.col("request_id").alias("sid"), "endpoint", F.col("ts").cast("timestamp").alias("start_ts")).withWatermark("start_ts", lateness)
+        F.col("request_id").alias("sid"), "endpoint", as_instant(F.col("ts")).alias("start_ts")).withWatermark("start_ts", lateness)
     ends = marks.where(F.col("mark") == "end").select(
-        F.col("request_id").alias("eid"), F.col("ts").cast("timestamp").alias("end_ts")).withWatermark("end_ts", lateness)
+        F.col("request_id").alias("eid"), as_instant(F.col("ts")).alias("end_ts")).withWatermark("end_ts", lateness)
     cond = (F.col("sid") == F.col("eid")) & (F.col("end_ts") >= F.col("start_ts")) & \
         (F.col("end_ts") <= F.col("start_ts") + F.expr(f"INTERVAL {int(max_age_seconds)} SECONDS"))
     j = starts.join(ends, cond, "leftOuter")
