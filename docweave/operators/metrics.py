@@ -9,7 +9,6 @@ aggregate with map-side partial aggregation; global orders use
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docweave import config as C
@@ -12,7 +11,7 @@ from docweave.functions.answers import parse_source_marker as _parse
 from docweave.functions.answers import user_facing_answer
 from docweave.operators import conversation as CV
 from docweave.operators import search as S
-from docweave.plans.search_queries import _ANSWER_TEXT, _answer_sql
+from docweave.plans.search_queries import _answer_sql
 from docweave.plans.views import chunk_points, question_queries
 from docweave.sources.tables import request_log, table
 

@@ -11,7 +11,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from docweave.functions.vectors import with_hash_embedding
 from docweave.operators.arrays import posexplode_kept
 from docweave.operators.embed import embed
 from docweave.session import scratch_path

@@ -1,6 +1,5 @@
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from docweave.operators import metrics as M
 from docweave.operators import search as S
