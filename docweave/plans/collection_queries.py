@@ -114,7 +114,26 @@ def ingest_report(spark, sf):
     return r.select("filename", "requested_chunks", "embedded_chunks", "failed_chunks")
 
 
+def collection_search(spark, sf):
+    """Store-backed search: points written to a versioned collection (partitioned by
+    type), read back with the P1 filter pruning partitions, then searched."""
+    import uuid
+
+    from docweave.operators.filters import metadata_filter
+    from docweave.operators.search import search
+    from docweave.plans.search_queries import FILTER
+    from docweave.plans.views import question_queries
+    from docweave.session import scratch_path
+
+    coll = K.Collection(spark, scratch_path(spark, f"collection-{uuid.uuid4().hex}"), "documents")
+    coll.create(64)
+    coll.upsert(chunk_points(spark, sf).select(*K.POINT_COLUMNS))
+    pts = metadata_filter(coll.read(), FILTER)
+    return search(pts, question_queries(spark, sf))
+
+
 QUERIES = {
+    "collection_search": collection_search,
     "list_documents": list_documents,
     "rebuild_document": rebuild_document,
     "point_count": point_count,
@@ -141,7 +160,14 @@ _MIXED = _CK + """,
     e48 AS (""" + hash_embed_sql("(SELECT * FROM pts WHERE type <> 'EN')", "point_id", "text", 48) + """),
     mixed AS (SELECT p.*, coalesce(a.vec, b.vec) AS vec FROM pts p LEFT JOIN e64 a USING (point_id) LEFT JOIN e48 b USING (point_id))"""
 
+def _collection_search_sql():
+    from docweave.plans.search_queries import _FILTERED_SEARCH, _SNIP
+    return _FILTERED_SEARCH + f"""
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, point_id, point_id AS doc_id, filename, {_SNIP} AS chunk_text, score FROM hits"""
+
+
 ORACLE = {
+    "collection_search": _collection_search_sql(),
     "list_documents": _CK + """
     SELECT filename, CAST(count(*) AS BIGINT) AS chunks, strftime(min(uploaded_at), '%Y-%m-%d %H:%M') AS uploaded_at, min(type) AS type
     FROM pts GROUP BY filename""",
