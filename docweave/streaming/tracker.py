@@ -1,0 +1,83 @@
+"""T3 as a custom stateful operator: the active-request tracker.
+
+Per request id the state holds the start (endpoint, start time); an end within
+``max_age_seconds`` closes it as ``completed`` with its duration; otherwise an
+event-time timeout (start + max age, against the watermark) evicts it as
+``stale`` - the reference's stale-request cleanup. An end with no start is an
+``orphan_end`` (the reference logs a warning for it); an end arriving after its
+request was evicted is one too.
+
+Event times travel as epoch microseconds (``ts_us``) so durations and timeouts
+do not depend on the session time zone.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from docweave import config as C
+from docweave.sources.tables import marks_of
+from docweave.streaming.monitor import as_instant
+from docweave.streaming.runner import run_append
+
+OUT_SCHEMA = "request_id long, endpoint string, status string, duration_ms double"
+STATE_SCHEMA = "endpoint string, start_us long"
+
+
+def _row(rid, endpoint, status, duration_ms=None) -> pd.DataFrame:
+    return pd.DataFrame({"request_id": [rid], "endpoint": [endpoint], "status": [status], "duration_ms": [duration_ms]})
+
+
+def _tracker(max_age_seconds: int):
+    max_age_us = int(max_age_seconds) * 1_000_000
+
+    def track(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rid = int(key[0])
+        if state.hasTimedOut:
+            endpoint, _start = state.get
+            state.remove()
+            yield _row(rid, endpoint, "stale")
+            return
+        pdf = pd.concat(list(pdfs), ignore_index=True)
+        starts, ends = pdf[pdf["mark"] == "start"], pdf[pdf["mark"] == "end"]
+        if state.exists:
+            endpoint, start_us = state.get
+        elif len(starts):
+            endpoint, start_us = starts["endpoint"].iloc[0], int(starts["ts_us"].min())
+        else:
+            for _ in range(len(ends)):
+                yield _row(rid, None, "orphan_end")
+            return
+        if len(ends):
+            state.remove()
+            took = int(ends["ts_us"].min()) - start_us
+            if took <= max_age_us:
+                yield _row(rid, endpoint, "completed", took / 1000.0)
+            else:  # evicted at start + max age; its end came too late
+                yield _row(rid, endpoint, "stale")
+            return
+        state.update((endpoint, start_us))
+        state.setTimeoutTimestamp(start_us // 1000 + max_age_us // 1000)
+
+    return track
+
+
+def request_tracker(events_stream: DataFrame, max_age_seconds: int = C.STALE_REQUEST_SECONDS) -> DataFrame:
+    """``request_id, endpoint, status, duration_ms`` rows as requests complete or go stale."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    m = marks_of(events_stream).select(
+        "request_id", "mark", "endpoint",
+        F.timestamp_diff("MICROSECOND", epoch, F.col("ts")).alias("ts_us"),
+        as_instant(F.col("ts")).alias("event_time"),
+    ).withWatermark("event_time", "0 seconds")
+    return m.groupBy("request_id").applyInPandasWithState(
+        _tracker(max_age_seconds), OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def track_requests_to_table(events_stream: DataFrame, **kw) -> DataFrame:
+    return run_append(request_tracker(events_stream, **kw), "tracker").drop("batch")
