@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave import config as C
-from docweave.operators.ordering import running_totals, trailing_rows_mean
+from docweave.operators.ordering import running_count, trailing_rows_mean
 
 
 def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -100,9 +100,8 @@ def recent_errors(req: DataFrame, shown: int = C.RECENT_ERRORS_SHOWN) -> DataFra
 
 def running_error_rate(req: DataFrame, threshold: float = C.ERROR_RATE_THRESHOLD) -> DataFrame:
     """At each failure, failed / total so far in time order, and the alert flag."""
-    r = req.select("request_id", "endpoint", "ts", F.lit(1).alias("__one"), (~F.col("success")).cast("int").alias("__failed"))
-    run = running_totals(r, ["ts", "request_id"], {"total_so_far": "__one", "failed_so_far": "__failed"})
-    f = run.where(F.col("__failed") == 1)
+    r = req.select("request_id", "endpoint", "ts", (~F.col("success")).alias("__failed"))
+    f = running_count(r, ["ts", "request_id"], "__failed", "total_so_far", "failed_so_far")
     rate = F.col("failed_so_far") / F.greatest(F.col("total_so_far"), F.lit(1))
     return f.select("request_id", "endpoint", "ts", "total_so_far", "failed_so_far", rate.alias("error_rate"), (rate > threshold).alias("alert"))
 

@@ -12,12 +12,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docweave.session import ensure_checkpoint_dir
+
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition id << 33 | row index
 
 
 def with_global_row_number(df: DataFrame, order_cols: list, out: str = "row_no") -> DataFrame:
-    """Add a 1-based global row number in ``order_cols`` order (make the order total)."""
-    s = df.orderBy(*order_cols).withColumn("__mid", F.monotonically_increasing_id())
+    """Add a 1-based global row number in ``order_cols`` order (make the order total).
+
+    The sorted, locally numbered rows are written once with a reliable
+    ``checkpoint()`` (under ``spark.checkpoint.dir``): the per-partition counts
+    and the final join both read that copy, so the data is sorted once, both
+    uses see identical partitions, and the lineage is cut.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    s = df.orderBy(*order_cols).withColumn("__mid", F.monotonically_increasing_id()).checkpoint()
     s = s.withColumn("__pid", F.shiftright("__mid", _LOCAL_BITS)).withColumn(
         "__loc", F.col("__mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
     counts = s.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
@@ -28,9 +37,11 @@ def with_global_row_number(df: DataFrame, order_cols: list, out: str = "row_no")
 
 
 def running_totals(df: DataFrame, order_cols: list, sum_cols: dict[str, str]) -> DataFrame:
-    """Running (inclusive) sums in a global order, e.g. ``{"failed_so_far": "is_failed"}``.
+    """Running (inclusive) sums of arbitrary columns in a global order.
 
-    Per-partition running sums plus per-partition offsets, as above.
+    Per-partition running sums plus per-partition offsets. The per-partition
+    window costs one hash shuffle on the partition id; running *counts* are
+    cheaper as row numbers (see ``running_count``).
     """
     s = df.orderBy(*order_cols).withColumn("__mid", F.monotonically_increasing_id())
     s = s.withColumn("__pid", F.shiftright("__mid", _LOCAL_BITS))
@@ -63,3 +74,11 @@ def trailing_rows_mean(df: DataFrame, order_cols: list, value: str, n_rows: int,
     w = Window.partitionBy("__bucket").orderBy("__rn").rowsBetween(-(n_rows - 1), Window.currentRow)
     res = both.withColumn(out, F.avg(value).over(w)).where(~F.col("__halo"))
     return res.drop("__bucket", "__halo")
+
+
+def running_count(df: DataFrame, order_cols: list, flag: str, total_out: str, flag_out: str) -> DataFrame:
+    """Rows where ``flag`` is true, with the number of rows and of flagged rows up
+    to and including each (global order): both are row numbers - of all rows, then
+    among the flagged rows - so no per-row window or hash shuffle is needed."""
+    allnum = with_global_row_number(df, order_cols, total_out)
+    return with_global_row_number(allnum.where(F.col(flag)), order_cols, flag_out)

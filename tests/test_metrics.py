@@ -32,3 +32,14 @@ def test_trailing_mean_with_halo(spark):
     p = pd.DataFrame(rows, columns=["id", "ts", "v", "f"]).sort_values(["ts", "id"])
     p["m"] = p["v"].rolling(10, min_periods=1).mean()
     assert all(abs(got[r.id] - r.m) < 1e-9 for r in p.itertuples())
+
+
+def test_running_count(spark):
+    from docweave.operators.ordering import running_count
+
+    df, rows = frame(spark)
+    got = {r.id: (r.n, r.nf) for r in running_count(df.withColumn("flag", F.col("f") == 1), ["ts", "id"], "flag", "n", "nf").collect()}
+    p = pd.DataFrame(rows, columns=["id", "ts", "v", "f"]).sort_values(["ts", "id"])
+    p["n"], p["nf"] = range(1, len(p) + 1), p["f"].cumsum()
+    want = {r.id: (r.n, r.nf) for r in p.itertuples() if r.f == 1}
+    assert got == want
