@@ -95,3 +95,17 @@ RECENT_ERRORS_SHOWN = 10
 MEMORY_WARNING_MB = 1024.0
 MEMORY_CRITICAL_MB = 2048.0
 MEMORY_SAMPLES_KEPT = 100
+
+# --- fixed values: parser outputs ({name} = file name, {n} = 1-based slide) ----
+PLACEHOLDER_PDF = "[Simulated PDF parsing for {name} - pdf parsing libraries missing or failed]"
+PLACEHOLDER_DOCX = "[Simulated DOCX parsing for {name} - python-docx missing or failed]"
+PLACEHOLDER_PPTX = "[Simulated PPTX parsing for {name} - python-pptx missing or failed]"
+PLACEHOLDER_OTHER = "[Simulated parsing for {name} - demo mode]\nContent not extracted."
+SHORTCUT_NO_URL = "Internet shortcut: {name}"
+SHORTCUT_HEAD = "**{title}**\n\nType: Internet Link / Shortcut\nDescription: This is a link to {title}.\n"
+SHORTCUT_POWERBI = "This is a Power BI report link.\n"
+SHORTCUT_SHAREPOINT = "This is a SharePoint link.\n"
+SHORTCUT_TAIL = "\nLink: [{title}]({url})\n\nKeywords: {title}, link, shortcut, URL\n"
+LINKS_HEADER = "**Links from document:**"
+SLIDE_MARKER = "\n--- Slide {n} ---\n"
+CONTEXT_BLOCK = "Source ({filename}): {text}"

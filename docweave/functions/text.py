@@ -6,6 +6,7 @@ as JVM higher-order functions; nothing here calls back into Python.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -23,6 +24,12 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def fill(template: str, **cols) -> Column:
+    """A fixed text template with ``{name}`` slots filled by Columns (one ``concat``)."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[F.lit(p) if i % 2 == 0 else cols[p] for i, p in enumerate(parts)])
+
+
 def normalize_ws(c) -> Column:
     """every whitespace run becomes one space, then trim."""
     return F.trim(F.regexp_replace(_col(c), WS_RUN, " "))
