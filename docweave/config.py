@@ -109,3 +109,13 @@ SHORTCUT_TAIL = "\nLink: [{title}]({url})\n\nKeywords: {title}, link, shortcut,
 LINKS_HEADER = "**Links from document:**"
 SLIDE_MARKER = "\n--- Slide {n} ---\n"
 CONTEXT_BLOCK = "Source ({filename}): {text}"
+
+# --- fixed values: health and upload reports --------------------------------------
+ISSUE_HIGH_ERROR_RATE = "High error rate: %.1f%%"
+ISSUE_MANY_ACTIVE = "Many active requests: %d"
+ISSUE_RESTART = "Recent restart detected"
+STATUS_HEALTHY, STATUS_DEGRADED = "healthy", "degraded"
+STATUS_INDEXED, STATUS_DIM_MISMATCH = "indexed", "embedding_dim_mismatch"
+STATUS_UPSERTED, STATUS_SKIPPED = "upserted", "skipped"
+REASON_NO_CHUNKS = "no chunks provided"
+REASON_MISSING_VECTOR = "missing vector for chunk {i}"

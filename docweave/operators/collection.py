@@ -70,7 +70,7 @@ def upload_status(points: DataFrame, dim: int, doc: str = "filename", vector: st
         F.count(F.lit(1)).alias("requested_chunks"),
         F.bool_or(F.coalesce(F.size(vector) != F.lit(dim), F.lit(False))).alias("__bad"),
     )
-    return g.select(doc, "requested_chunks", F.when(F.col("__bad"), F.lit("embedding_dim_mismatch")).otherwise(F.lit("indexed")).alias("status"))
+    return g.select(doc, "requested_chunks", F.when(F.col("__bad"), F.lit(C.STATUS_DIM_MISMATCH)).otherwise(F.lit(C.STATUS_INDEXED)).alias("status"))
 
 
 def reindex(points: DataFrame, dim: int, embed, text: str = "text", vector: str = "vector") -> DataFrame:
@@ -205,9 +205,9 @@ class Collection:
         ok, bad = dim_guard(points, m["dim"])
         n_bad = bad.count()
         if n_bad:
-            return {"error": "embedding_dim_mismatch", "rejected": n_bad}
+            return {"error": C.STATUS_DIM_MISMATCH, "rejected": n_bad}
         self.commit(append_points(self.read(), ok))
-        return {"status": "indexed", "version": self.meta()["version"]}
+        return {"status": C.STATUS_INDEXED, "version": self.meta()["version"]}
 
     def delete(self, filenames: DataFrame) -> int:
         """Returns the number of deleted points."""

@@ -117,12 +117,12 @@ def health_summary(req: DataFrame, marks: DataFrame, threshold: float = C.ERROR_
     j = attach_scalars(t, act)
     rate = F.when(F.col("total") > 0, F.col("failed") / F.col("total"))
     issues = F.array_compact(F.array(
-        F.when(rate > threshold, F.format_string("High error rate: %.1f%%", rate * 100)),
-        F.when(F.col("active_requests") > C.ACTIVE_REQUESTS_ALERT, F.format_string("Many active requests: %d", F.col("active_requests"))),
-        F.when(F.col("uptime_seconds") < C.RESTART_UPTIME_SECONDS, F.lit("Recent restart detected")),
+        F.when(rate > threshold, F.format_string(C.ISSUE_HIGH_ERROR_RATE, rate * 100)),
+        F.when(F.col("active_requests") > C.ACTIVE_REQUESTS_ALERT, F.format_string(C.ISSUE_MANY_ACTIVE, F.col("active_requests"))),
+        F.when(F.col("uptime_seconds") < C.RESTART_UPTIME_SECONDS, F.lit(C.ISSUE_RESTART)),
     ))
     return j.select(
-        F.when(F.size(issues) > 0, F.lit("degraded")).otherwise(F.lit("healthy")).alias("status"),
+        F.when(F.size(issues) > 0, F.lit(C.STATUS_DEGRADED)).otherwise(F.lit(C.STATUS_HEALTHY)).alias("status"),
         F.array_join(issues, "; ").alias("issues"),
         F.round(F.coalesce(rate, F.lit(0.0)), 6).alias("error_rate"),
         "active_requests", "total", "failed", F.round("uptime_seconds", 3).alias("uptime_seconds"),
@@ -137,7 +137,7 @@ def component_status(stats: DataFrame, threshold: float = C.ERROR_RATE_THRESHOLD
         .when(F.col("errors") / F.col("count") > threshold, F.lit("error"))
         .otherwise(F.lit("ok")).alias("status"),
     )
-    overall = comp.agg(F.when(F.bool_or(F.col("status").isin("error", "unavailable")), F.lit("degraded")).otherwise(F.lit("ok")).alias("status"))
+    overall = comp.agg(F.when(F.bool_or(F.col("status").isin("error", "unavailable")), F.lit(C.STATUS_DEGRADED)).otherwise(F.lit("ok")).alias("status"))
     return comp.unionByName(overall.select(F.lit("overall").alias("component"), "status"))
 
 

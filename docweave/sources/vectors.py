@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docweave import config as C
+from docweave.functions.text import fill
 from docweave.functions.vectors import with_hash_embedding
 from docweave.operators.arrays import explode_kept, posexplode_kept
 
@@ -70,13 +72,13 @@ def load_vectors(payloads: DataFrame, payload_col: str = "payload", demo: bool =
     missing = F.transform("chunks", lambda c, i: F.when(vec(c).isNull(), i))
     first_missing = F.array_min(F.filter(missing, lambda x: x.isNotNull()))
     docs = docs.withColumn("__miss", first_missing)
-    status = (F.when(F.size("chunks") == 0, F.lit("skipped"))
-              .when(F.col("__miss").isNotNull() & F.lit(not demo), F.lit("skipped")).otherwise(F.lit("upserted")))
-    reason = (F.when(F.size("chunks") == 0, F.lit("no chunks provided"))
-              .when(F.col("__miss").isNotNull() & F.lit(not demo), F.concat(F.lit("missing vector for chunk "), F.col("__miss").cast("string"))))
+    status = (F.when(F.size("chunks") == 0, F.lit(C.STATUS_SKIPPED))
+              .when(F.col("__miss").isNotNull() & F.lit(not demo), F.lit(C.STATUS_SKIPPED)).otherwise(F.lit(C.STATUS_UPSERTED)))
+    reason = (F.when(F.size("chunks") == 0, F.lit(C.REASON_NO_CHUNKS))
+              .when(F.col("__miss").isNotNull() & F.lit(not demo), fill(C.REASON_MISSING_VECTOR, i=F.col("__miss").cast("string"))))
     report = docs.select("id", status.alias("status"), reason.alias("reason"),
-                         F.when(status == "upserted", F.size("chunks")).otherwise(F.lit(0)).alias("upserted"))
-    ok = posexplode_kept(docs.where(status == "upserted"), ["id", "filename"], "chunks", "pos", "c")
+                         F.when(status == C.STATUS_UPSERTED, F.size("chunks")).otherwise(F.lit(0)).alias("upserted"))
+    ok = posexplode_kept(docs.where(status == C.STATUS_UPSERTED), ["id", "filename"], "chunks", "pos", "c")
     chunks = ok.select("id", "filename", F.coalesce(F.col("c.chunk_index"), F.col("pos")).alias("chunk_index"),
                        F.coalesce(F.col("c.text"), F.lit("")).alias("text"), vec(F.col("c")).alias("vector"))
     if demo:
