@@ -60,14 +60,12 @@ def build_context(spark, sf):
 
 
 def search_response(spark, sf):
-    """The demo ``/search`` answer per query: P6-confident hits -> A9 context -> F15/F16."""
-    hits = topk_search(spark, sf)
-    conf = S.build_context(S.relative_confidence(hits))
-    src = S.distinct_sources(hits)
+    """The demo ``/search`` answer per query: P6-confident hits -> A9 context -> F15/F16, plus A8 sources."""
+    parts = S.response_parts(topk_search(spark, sf))
     q = question_queries(spark, sf).select("query_id")
-    r = q.join(conf, "query_id", "left").join(src, "query_id", "left")
-    return r.select("query_id", route_answer(F.col("n_hits"), F.col("context")).alias("answer"),
-                    F.coalesce("sources", F.lit("")).alias("sources"), F.coalesce("n_hits", F.lit(0)).cast("bigint").alias("n_used"))
+    r = q.join(parts, "query_id", "left")
+    return r.select("query_id", route_answer(F.col("n_used"), F.col("context")).alias("answer"),
+                    F.coalesce("sources", F.lit("")).alias("sources"), F.coalesce("n_used", F.lit(0)).cast("bigint").alias("n_used"))
 
 
 QUERIES = {
