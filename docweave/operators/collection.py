@@ -28,9 +28,14 @@ def append_points(existing: DataFrame, incoming: DataFrame, key: str = "point_id
     return existing.unionByName(new)
 
 
-def replace_documents(existing: DataFrame, incoming: DataFrame, key: str = "filename") -> DataFrame:
-    """Documents present in ``incoming`` have all their points replaced."""
-    keep = existing.join(incoming.select(key).distinct(), key, "left_anti")
+def replace_documents(existing: DataFrame, incoming: DataFrame, key: str = "filename", keys: DataFrame | None = None) -> DataFrame:
+    """Documents present in ``incoming`` have all their points replaced.
+
+    ``keys`` (the replaced document names) may be given when they are cheaper to
+    get than from ``incoming`` itself, so ``incoming`` is computed once.
+    """
+    ks = (keys if keys is not None else incoming).select(key).distinct()
+    keep = existing.join(ks, key, "left_anti")
     return keep.unionByName(incoming)
 
 
@@ -76,12 +81,15 @@ def upload_status(points: DataFrame, dim: int, doc: str = "filename", vector: st
 def reindex(points: DataFrame, dim: int, embed, text: str = "text", vector: str = "vector") -> DataFrame:
     """Re-embed only the points whose vector is missing or of the wrong length.
 
-    ``embed(df, text_col, out_col)`` adds the new vector. Rows still wrong after
-    that keep ``reindex_ok = false`` (the reference counts them as failed).
+    One pass: ``embed(df, text_col, out_col)`` runs on a text column that is
+    null for points that are already fine, so they cost nothing and the input
+    is read once. Rows still wrong afterwards keep ``reindex_ok = false`` (the
+    reference counts them as failed).
     """
-    good, bad = dim_guard(points, dim, vector)
-    fixed = embed(bad.drop(vector), text, vector).select(*points.columns)
-    out = good.withColumn("reembedded", F.lit(False)).unionByName(fixed.withColumn("reembedded", F.lit(True)))
+    bad = ~F.coalesce(F.size(vector) == F.lit(dim), F.lit(False))
+    staged = points.withColumn("reembedded", bad).withColumn("__t", F.when(F.col("reembedded"), F.col(text)))
+    fixed = embed(staged, "__t", "__v")
+    out = fixed.withColumn(vector, F.when(F.col("reembedded"), F.col("__v")).otherwise(F.col(vector))).drop("__t", "__v")
     return out.withColumn("reindex_ok", F.coalesce(F.size(vector) == F.lit(dim), F.lit(False)))
 
 

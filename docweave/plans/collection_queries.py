@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docweave import config as C
-from docweave.functions.vectors import with_hash_embedding
+from docweave.functions.vectors import hash_embed_raw, l2_normalize, with_hash_embedding
 from docweave.operators import collection as K
 from docweave.operators.chunker import chunk_documents
 from docweave.plans.sql_blocks import DOCS_CTE, chunk_ctes, hash_embed_sql
 from docweave.plans.views import chunk_points, point_id
+from docweave.session import ensure_checkpoint_dir
 from docweave.sources.tables import docs_view, table
 
 TS = "yyyy-MM-dd HH:mm"
@@ -51,7 +52,10 @@ def lookup_documents(spark, sf):
 
 def append_points(spark, sf):
     """U1 twice = once: the English points exist, then every point is inserted."""
-    pts = chunk_points(spark, sf).select("point_id", "filename", "chunk_index", "type")
+    # the points are computed once and written (checkpoint under spark.checkpoint.dir):
+    # the stored side of an insert is a table, not a second run of the pipeline
+    ensure_checkpoint_dir(spark)
+    pts = chunk_points(spark, sf).select("point_id", "filename", "chunk_index", "type").checkpoint()
     res = K.append_points(pts.where(F.col("type") == "EN"), pts)
     return res.select("point_id", "filename", F.col("chunk_index").cast("bigint"))
 
@@ -62,7 +66,7 @@ def replace_document(spark, sf):
     old = chunk_points(spark, sf).select("filename", "chunk_index", "text")
     tox = d.join(_toxic_files(spark, sf).select("doc_id"), "doc_id", "left_semi")
     new = chunk_documents(tox, "text", keep=["filename"], size=100, overlap=25).select("filename", "chunk_index", F.col("chunk_text").alias("text"))
-    res = K.replace_documents(old, new)
+    res = K.replace_documents(old, new, keys=_toxic_files(spark, sf).select("filename"))
     return res.select("filename", F.col("chunk_index").cast("bigint"), F.size(F.split("text", " ")).cast("bigint").alias("n_words"))
 
 
@@ -91,9 +95,9 @@ def _mixed_dim_points(spark, sf):
     c = chunk_documents(d, "text", keep=["doc_id", "filename", "type", "uploaded_at"])
     c = c.select(point_id(F.col("filename"), F.col("chunk_index"), F.col("chunk_text")).alias("point_id"), "filename", "chunk_index",
                  F.col("chunk_text").alias("text"), "uploaded_at", "type")
-    en = with_hash_embedding(c.where(F.col("type") == "EN"), "text", "vector", 64)
-    other = with_hash_embedding(c.where(F.col("type") != "EN"), "text", "vector", 48)
-    return en.unionByName(other)
+    # one pass: the raw values of whichever dimension applies, then one normalisation
+    raw = F.when(F.col("type") == "EN", hash_embed_raw(F.col("text"), 64)).otherwise(hash_embed_raw(F.col("text"), 48))
+    return c.withColumn("__raw", raw).withColumn("vector", l2_normalize("__raw")).drop("__raw")
 
 
 def dim_guard(spark, sf):
