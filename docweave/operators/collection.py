@@ -73,7 +73,7 @@ def upload_status(points: DataFrame, dim: int, doc: str = "filename", vector: st
     """U7 per upload: the reference rejects a whole upload whose embeddings do not fit the collection."""
     g = points.groupBy(doc).agg(
         F.count(F.lit(1)).alias("requested_chunks"),
-        F.bool_or(F.coalesce(F.size(vector) != F.lit(dim), F.lit(False))).alias("__bad"),
+        F.bool_or(~F.coalesce(F.size(vector) == F.lit(dim), F.lit(False))).alias("__bad"),  # missing vectors fail too
     )
     return g.select(doc, "requested_chunks", F.when(F.col("__bad"), F.lit(C.STATUS_DIM_MISMATCH)).otherwise(F.lit(C.STATUS_INDEXED)).alias("status"))
 

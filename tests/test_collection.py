@@ -57,3 +57,17 @@ def test_scroll_pages_cover_everything(spark):
         seen += page
         after = page[-1]
     assert seen == sorted(f"id{i}" for i in range(23))
+
+
+def test_upload_status_and_reindex_with_missing_vectors(spark):
+    from pyspark.sql import functions as F
+
+    from docweave.functions.vectors import with_hash_embedding
+    from docweave.operators.collection import reindex, upload_status
+
+    p = pts(spark, range(4)).withColumn("vector", F.when(F.col("chunk_index") == 1, F.lit(None)).otherwise(F.col("vector")))
+    st = {r.filename: r.status for r in upload_status(p, 4).collect()}
+    assert st == {"f0.pdf": "indexed", "f1.pdf": "embedding_dim_mismatch", "f2.pdf": "indexed"}
+    r = reindex(p, 4, lambda df, t, o: with_hash_embedding(df, t, o, 4)).orderBy("chunk_index").collect()
+    assert [x.reembedded for x in r] == [False, True, False, False]
+    assert all(x.reindex_ok for x in r) and len(r[1].vector) == 4
