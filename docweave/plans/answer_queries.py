@@ -12,7 +12,9 @@ from docweave.functions.answers import user_facing_answer
 from docweave.operators import conversation as CV
 from docweave.operators import search as S
 from docweave.plans.search_queries import _answer_sql
-from docweave.plans.views import chunk_points, question_queries
+from docweave.functions.text import py_strip
+from docweave.functions.vectors import with_hash_embedding
+from docweave.plans.views import chunk_points
 from docweave.sources.tables import request_log, table
 
 
@@ -29,9 +31,10 @@ def build_prompt(spark, sf):
     last = pairs.groupBy("conv_id").agg(F.max("user_turn").alias("last_turn"))
     final_q = pairs.join(last, "conv_id").where(F.col("user_turn") == F.col("last_turn")).select("conv_id", F.col("user").alias("query"), "last_turn")
     hist = CV.last_n_pairs(pairs.join(last, "conv_id").where(F.col("user_turn") < F.col("last_turn")).drop("last_turn"))
-    hits = S.search(chunk_points(spark, sf), question_queries(spark, sf), C.TOP_K)
-    ctx = S.build_context(hits).select((F.col("query_id") / 1000).cast("bigint").alias("conv_id"), (F.col("query_id") % 1000).alias("last_turn"), "context")
-    ctx = final_q.join(ctx, ["conv_id", "last_turn"], "left").select("conv_id", "context")
+    # retrieval only for each conversation's final question (the one being answered)
+    qs = with_hash_embedding(final_q.select(F.col("conv_id").alias("query_id"), py_strip("query").alias("q")), "q", "vector", 64)
+    hits = S.search(chunk_points(spark, sf), qs, C.TOP_K)
+    ctx = S.build_context(hits).select(F.col("query_id").alias("conv_id"), "context")
     return CV.prompt_messages(final_q.select("conv_id", "query"), hist, ctx)
 
 
