@@ -48,7 +48,11 @@ def bounded_context(blocks: DataFrame, key: str, order: str, text: str, max_char
     total = blocks.groupBy(key).agg((F.sum(F.length(text) + sep) - sep).alias("n_chars"))
     agg = total.join(kept, key, "left")
     joined = F.array_join(F.transform(F.coalesce("__kept", F.array()), lambda s: s[text]), "\n\n")
-    return agg.select(key, truncate_context(joined, max_chars).alias("context"), F.col("n_chars").cast("bigint"),
+    # the prefix may end just short of the cut with more blocks to come: add the
+    # pending separator, and decide truncation from the full length
+    ext = F.when(F.col("n_chars") > F.length(joined), F.concat(joined, F.lit("\n\n"))).otherwise(joined)
+    context = F.when(F.col("n_chars") > max_chars, F.concat(F.substring(ext, 1, max_chars), F.lit(C.TRUNCATION_SUFFIX))).otherwise(ext)
+    return agg.select(key, context.alias("context"), F.col("n_chars").cast("bigint"),
                       (F.col("n_chars") > max_chars).alias("is_truncated"))
 
 

@@ -54,3 +54,26 @@ def test_generation_hook(spark):
     echo = generate(prompts, lambda msgs: f"[SOURCE:1] {len(msgs)} messages, last: {msgs[-1]['content']}").first().raw_response
     assert echo == "[SOURCE:1] 2 messages, last: question?"
     assert parse(spark, echo) == ("2 messages, last: question?", 1)
+
+
+def test_bounded_context_edges(spark):
+    from docweave.operators.conversation import bounded_context
+
+    def direct(blocks):
+        ctx = "\n\n".join(blocks)
+        return (ctx[:4000] + C.TRUNCATION_SUFFIX) if len(ctx) > 4000 else ctx
+
+    cases = {
+        1: [""] * 3000,                       # separators only: needs exactly max/2 + 1 blocks
+        2: ["x"] * 3000,
+        3: ["a" * 3999, "b"],                 # prefix ends one short of the cut
+        4: ["a" * 3998, "b" * 10],
+        5: ["a" * 1000, "b" * 1000],          # no truncation
+        6: ["a" * 4000],
+        7: ["a" * 4001],
+    }
+    rows = [(k, i, t) for k, bl in cases.items() for i, t in enumerate(bl)]
+    df = spark.createDataFrame(rows, "k long, i long, t string")
+    got = {r.k: r.context for r in bounded_context(df, "k", "i", "t").collect()}
+    for k, bl in cases.items():
+        assert got[k] == direct(bl), k
