@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docweave.llm.bpe_codec import encode_documents
+from docweave.llm.chat import conversation_digests, reconstruct, render, turns_as_events
 from docweave.llm.common import read_table
+from docweave.llm.packing import pack_documents
+from docweave.llm.secret_scan import scan_documents, span_digests
 from docweave.llm.token_counts import count_tokens
 
 
@@ -14,12 +18,31 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one more, -7, whose texts hold the template's own marks."""
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit("\\### Assistant: </turn> ok").alias("text"))
+    return conversation_digests(render(reconstruct(turns_as_events(turns.unionByName(extra)))))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digests(scan_documents(read_table(spark, sf_dir, "documents")))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 QUERIES = {
     "op1_bpe_codec": op1_bpe_codec,
+    "op5_packing": op5_packing,
+    "op6_chat_format": op6_chat_format,
+    "op7_secret_scan": op7_secret_scan,
     "op10_token_counts": op10_token_counts,
 }
 ORACLE: dict[str, str] = {}
