@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from docweave.llm.bpe_codec import encode_documents
 from docweave.llm.chat import conversation_digests, reconstruct, render, turns_as_events
 from docweave.llm.common import read_table
+from docweave.llm.jaccard_join import near_duplicates
 from docweave.llm.packing import pack_documents
 from docweave.llm.secret_scan import scan_documents, span_digests
+from docweave.llm.substring_dedup import remove_repeated_runs
+from docweave.llm.suffix_dedup import remove_repeated_bytes
 from docweave.llm.token_counts import count_tokens
 
 
@@ -18,6 +21,10 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_runs(read_table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -34,15 +41,26 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digests(scan_documents(read_table(spark, sf_dir, "documents")))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_bytes(read_table(spark, sf_dir, "documents"))
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 QUERIES = {
     "op1_bpe_codec": op1_bpe_codec,
+    "op3_substring_dedup": op3_substring_dedup,
     "op5_packing": op5_packing,
     "op6_chat_format": op6_chat_format,
     "op7_secret_scan": op7_secret_scan,
+    "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_token_counts": op10_token_counts,
 }
 ORACLE: dict[str, str] = {}
