@@ -15,12 +15,17 @@ from docweave.llm.secret_scan import scan_documents, span_digests
 from docweave.llm.substring_dedup import remove_repeated_runs
 from docweave.llm.suffix_dedup import remove_repeated_bytes
 from docweave.llm.token_counts import count_tokens
+from docweave.llm.vector_dedup import vector_links
 
 
 def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op2_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links(read_table(spark, sf_dir, "embeddings"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_runs(read_table(spark, sf_dir, "documents"))
 
@@ -55,6 +60,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe_codec": op1_bpe_codec,
+    "op2_vector_dedup": op2_vector_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op5_packing": op5_packing,
     "op6_chat_format": op6_chat_format,
