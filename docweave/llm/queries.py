@@ -11,6 +11,7 @@ from docweave.llm.chat import conversation_digests, reconstruct, render, turns_a
 from docweave.llm.common import read_table
 from docweave.llm.jaccard_join import near_duplicates
 from docweave.llm.packing import pack_documents
+from docweave.llm.quality import quality_report
 from docweave.llm.secret_scan import scan_documents, span_digests
 from docweave.llm.substring_dedup import remove_repeated_runs
 from docweave.llm.suffix_dedup import remove_repeated_bytes
@@ -30,6 +31,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_runs(read_table(spark, sf_dir, "documents"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(read_table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -62,6 +67,7 @@ QUERIES = {
     "op1_bpe_codec": op1_bpe_codec,
     "op2_vector_dedup": op2_vector_dedup,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
     "op6_chat_format": op6_chat_format,
     "op7_secret_scan": op7_secret_scan,
