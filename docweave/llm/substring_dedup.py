@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.common import id_and_text, slices
@@ -46,7 +46,12 @@ def is_cover(cover: tuple[int, ...], period: int) -> bool:
 def keyed_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, k1, k2): a null text as empty; k1 and k2 name the text."""
     d = id_and_text(df, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return d.select("doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text", F.length("text")).alias("k2"))
+    k1, k2 = text_keys(F.col("text"))
+    return d.select("doc_id", "text", k1.alias("k1"), k2.alias("k2"))
+
+
+def text_keys(text: Column) -> tuple[Column, Column]:
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text, F.length(text))
 
 
 def _anchors(texts: DataFrame, window: int, period: int, cover: tuple[int, ...]) -> DataFrame:

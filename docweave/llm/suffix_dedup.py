@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from docweave.llm.common import slices, written
 from docweave.llm.repeats import groups, repeated_rows, route, whole_partition
-from docweave.llm.substring_dedup import keyed_texts
+from docweave.llm.substring_dedup import keyed_texts, text_keys
 from docweave.llm.wordhash import mix, powers
 
 SIZE, KMER, HOT = 200, 32, 2000
@@ -255,19 +255,27 @@ def _hashed(candidates: DataFrame, size: int) -> DataFrame:
     return repeated_rows(rows, ["w1", "w2"], ["k1", "k2", "at"]).mapInArrow(join, _RUNS)
 
 
+def _whole_characters(data: np.ndarray, gone: np.ndarray) -> str:
+    """What is kept of UTF-8 bytes if a character that lost a byte goes too."""
+    character = np.cumsum((data & 0xC0) != 0x80) - 1
+    hurt = np.zeros(int(character[-1]) + 1, bool)
+    hurt[character[gone]] = True
+    return data[~hurt[character]].tobytes().decode()
+
+
 def _kept(texts: DataFrame, size: int, with_text: bool) -> DataFrame:
     fields = [("k1", pa.int64()), ("k2", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
-    fields += [("kept", pa.binary())] * with_text
+    fields += [("kept", pa.binary()), ("kept_text", pa.string())] * with_text
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", _SLICE):
             out: list[list] = [[] for _ in fields]
             for text, k1, k2, rows, runs in zip(*(batch.column(j).to_pylist() for j in range(5)), strict=True):
-                data = text.encode()
+                data, whole = text.encode(), text
                 n, removed, spans = len(data), 0, 0
                 if rows > 1 and n >= size:
-                    data, removed, spans = b"", n, 1
+                    data, whole, removed, spans = b"", "", n, 1
                 elif runs:
                     cover = np.zeros(n + 1, np.int64)
                     r = np.array([(x["at"], x["at"] + x["length"] - 1 + size) for x in runs], np.int64)
@@ -275,21 +283,22 @@ def _kept(texts: DataFrame, size: int, with_text: bool) -> DataFrame:
                     np.add.at(cover, r[:, 1], -1)
                     gone = np.cumsum(cover[:-1]) > 0
                     removed, spans = int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
-                    data = np.frombuffer(data, np.uint8)[~gone].tobytes()
-                row = (k1, k2, n, removed, spans, hashlib.sha256(data).hexdigest()) + ((data,) if with_text else ())
+                    data = np.frombuffer(data, np.uint8)
+                    whole = _whole_characters(data, gone) if with_text else ""
+                    data = data[~gone].tobytes()
+                row = (k1, k2, n, removed, spans, hashlib.sha256(data).hexdigest()) + ((data, whole) if with_text else ())
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types, strict=True)], schema=schema)
 
-    ddl = "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
+    ddl = "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, kept_text string" * with_text
     return texts.select("text", "k1", "k2", "rows", "runs").mapInArrow(run, ddl)
 
 
-def remove_repeated_bytes(df: DataFrame, size: int = SIZE, kmer: int = KMER, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes)."""
+def _judged(texts: DataFrame, size: int, kmer: int, hot: int, with_text: bool) -> DataFrame:
+    """For each distinct text (k1, k2), what is removed."""
     if not 0 < kmer <= size:
         raise ValueError("a k-mer must fit into a string")
-    texts = keyed_texts(df, id_col, text_col)
     one_each = texts.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("rows"))
     shared = written(repeated_rows(_anchor_rows(texts, size, kmer), ["anchor"], ["k1", "k2", "at"]).distinct(), "anchors")
     many = shared.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("anchor", F.lit(True).alias("hot"))
@@ -303,5 +312,21 @@ def remove_repeated_bytes(df: DataFrame, size: int = SIZE, kmer: int = KMER, hot
     if not many.isEmpty():
         runs = runs.unionByName(_hashed(of("hot"), size))
     runs = runs.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "length")).alias("runs"))
-    judged = _kept(one_each.join(runs, ["k1", "k2"], "left"), size, with_text)
-    return texts.select("doc_id", "k1", "k2").join(judged, ["k1", "k2"]).drop("k1", "k2")
+    return _kept(one_each.join(runs, ["k1", "k2"], "left"), size, with_text)
+
+
+def remove_repeated_bytes(df: DataFrame, size: int = SIZE, kmer: int = KMER, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes, also as whole characters)."""
+    texts = keyed_texts(df, id_col, text_col)
+    return texts.select("doc_id", "k1", "k2").join(_judged(texts, size, kmer, hot, with_text), ["k1", "k2"]).drop("k1", "k2")
+
+
+def keep_unrepeated(df: DataFrame, size: int = SIZE, kmer: int = KMER, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df`` with repeated bytes taken out of its texts, by whole characters; a null text stays null."""
+    texts = keyed_texts(df, id_col, text_col)
+    others = [c for c in df.columns if c != text_col]
+    key = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = df.select(F.struct(*others).alias("_row"), F.col(text_col).isNull().alias("_null"), *(c.alias(n) for c, n in zip(text_keys(key), ("k1", "k2"), strict=True)))
+    cut = _judged(texts, size, kmer, hot, True).select("k1", "k2", "kept_text")
+    out = rows.join(cut, ["k1", "k2"]).select("_row.*", F.when(~F.col("_null"), F.col("kept_text")).alias(text_col))
+    return out.select(df.columns)
