@@ -167,4 +167,6 @@ def keep_good(df: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     """The rows of ``df`` that pass all rules, with their columns unchanged."""
     held = F.struct(*[df[c] for c in df.columns]).alias("_row")
     d = df.select(held, df[text_col].cast("string").alias("_text"), df[lang_col].cast("string").alias("_lang"))
-    return _judged(d, "_text", "_lang").where(_kept()).select("_row.*")
+    # a plain filter would be pushed below and repeat every expression above; a generator's output is not
+    d = _judged(d, "_text", "_lang").select(F.posexplode_outer(F.when(_kept(), F.array("_row"))).alias("_at", "_row"))
+    return d.where(F.col("_row").isNotNull()).select("_row.*")
