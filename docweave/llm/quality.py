@@ -122,7 +122,7 @@ def distance(counts: Column, reference: Column) -> Column:
         terms = F.zip_with(counts, reference, lambda x, y: let(
             F.struct(share(x, s["a"]).alias("p"), share(y, s["b"]).alias("q")),
             lambda t: (part(t["p"], (t["p"] + t["q"]) / 2) + part(t["q"], (t["p"] + t["q"]) / 2)) / 2))
-        return F.sqrt(F.greatest(total(terms), F.lit(0.0)))
+        return F.when((s["a"] > 0) & (s["b"] > 0), F.sqrt(F.greatest(total(terms), F.lit(0.0))))
 
     return let(F.struct(total(counts).alias("a"), total(reference).alias("b")), both)
 
