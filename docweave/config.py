@@ -10,7 +10,6 @@ CHUNK_OVERLAP_WORDS = 50
 
 # --- fixed values: embeddings ----------------------------------------------
 HASH_DIM_DEFAULT = 64          # module-level hash fallback dimension
-EMBEDDING_DIM_SETTING = 3072   # collection dimension default setting
 DISTANCE = "Cosine"
 
 # --- fixed values: search ---------------------------------------------------
@@ -89,8 +88,8 @@ ERROR_RATE_THRESHOLD = 0.1
 ENDPOINT_BUDGETS_MS = [("/upload", 120000.0), ("/admin/upload_vectors", 300000.0)]
 STALE_REQUEST_SECONDS = 10800
 ACTIVE_REQUESTS_ALERT = 10
+EVENT_LATENESS = "10 minutes"   # how far behind the latest event a stream still waits
 RESTART_UPTIME_SECONDS = 60
-RECENT_ERRORS_KEPT = 100
 RECENT_ERRORS_SHOWN = 10
 MEMORY_WARNING_MB = 1024.0
 MEMORY_CRITICAL_MB = 2048.0

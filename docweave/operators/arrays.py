@@ -27,12 +27,12 @@ def explode_kept(df: DataFrame, keep: list, arr: Column | str, val: str) -> Data
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin across the cluster's cores when the input has fewer partitions.
+    """Round-robin across the cluster's cores when the input comes from fewer files.
 
-    Used before CPU-heavy per-row work (chunking). With large inputs (many
-    files / row groups) this is a no-op; streaming inputs are left alone.
+    Used before CPU-heavy per-row work (chunking). Only the file listing is
+    looked at, nothing runs; inputs of many files and streams are left alone.
     """
     if df.isStreaming:
         return df
     want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    return df if len(df.inputFiles()) >= want else df.repartition(want)

@@ -66,7 +66,7 @@ def chunk_documents(
     size: int = C.CHUNK_SIZE_WORDS,
     overlap: int = C.CHUNK_OVERLAP_WORDS,
 ) -> DataFrame:
-    """One row per chunk: ``keep`` columns, ``chunk_index`` (0-based), ``chunk_text``.
+    """One row per chunk: ``keep`` columns, ``chunk_index`` (0-based), ``chunk_text``; none for a null or blank text.
 
     Narrow: no shuffle, each document is chunked inside the task that read it.
     Three projections: sentences and word counts (JVM), bounds (Arrow UDF,
@@ -74,7 +74,7 @@ def chunk_documents(
     """
     keep = list(keep) if keep is not None else [c for c in df.columns if c != text_col]
     df = spread(df.select(*keep, text_col))
-    sents = df.select(*keep, split_sentences(normalize_ws(F.col(text_col))).alias("__s"))
+    sents = df.select(*keep, split_sentences(normalize_ws(F.coalesce(F.col(text_col), F.lit("")))).alias("__s"))
     counted = sents.select(*keep, "__s", F.transform("__s", lambda s: F.size(F.split(s, " "))).alias("__w"))
     bounded = counted.select(*keep, "__s", _bounds_udf(size, overlap)(F.col("__w")).alias("__b"))
     b = F.col("__b")

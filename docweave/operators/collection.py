@@ -11,11 +11,11 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave import config as C
-from docweave.functions.text import file_type
 
 POINT_COLUMNS = ["point_id", "filename", "chunk_index", "text", "uploaded_at", "type", "vector"]
 
@@ -131,18 +131,13 @@ def point_count(points: DataFrame) -> DataFrame:
     return points.agg(F.count(F.lit(1)).alias("points"))
 
 
-def with_file_type(df: DataFrame, default: str = "TXT") -> DataFrame:
-    return df.withColumn("type", file_type(F.col("filename"), default))
-
-
 # ----------------------------------------------------------------------------- storage
 
 class Collection:
     """A named point collection under ``root`` (any Hadoop-compatible shared path).
 
-    Layout: ``root/v=<n>/type=<T>/part-*.parquet`` plus ``root/_meta`` (a one-row
-    JSON table: ``collection, dim, distance, version``) and ``root/_current/v=<n>``
-    pointers. The newest pointer wins.
+    Layout: ``root/v=<n>/type=<T>/part-*.parquet`` plus ``root/_meta`` (JSON rows
+    ``collection, dim, distance, version``; the highest version is current).
     """
 
     def __init__(self, spark: SparkSession, root: str, name: str = "documents"):
@@ -154,17 +149,20 @@ class Collection:
 
     def meta(self) -> dict | None:
         try:
-            rows = self.spark.read.json(self._meta_path()).orderBy(F.col("version").desc()).limit(1).collect()
-        except Exception:  # noqa: BLE001 - missing collection
+            stored = self.spark.read.schema("collection string, dim int, distance string, version int").json(self._meta_path())
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return None
+        rows = stored.orderBy(F.col("version").desc()).limit(1).collect()
         return rows[0].asDict() if rows else None
 
     def create(self, dim: int, mode: str = "new", confirm: bool = False, distance: str = C.DISTANCE) -> dict:
         """``new`` fails if the collection exists; ``recreate`` needs ``confirm``."""
         if mode not in ("new", "recreate"):
-            raise ValueError("mode must be 'recreate' or 'new'")
+            raise ValueError(f"unknown mode {mode!r}: use new or recreate")
         if mode == "recreate" and not confirm:
-            raise ValueError("Set confirm=True to recreate (destructive).")
+            raise ValueError("recreating drops every stored point; pass confirm=True")
         if mode == "new" and self.meta() is not None:
             raise FileExistsError(f"collection {self.name} exists")
         version = (self.meta() or {}).get("version", -1) + 1

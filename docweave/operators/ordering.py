@@ -36,27 +36,6 @@ def with_global_row_number(df: DataFrame, order_cols: list, out: str = "row_no")
     return j.withColumn(out, F.col("__off") + F.col("__loc") + 1).drop("__mid", "__pid", "__loc", "__off")
 
 
-def running_totals(df: DataFrame, order_cols: list, sum_cols: dict[str, str]) -> DataFrame:
-    """Running (inclusive) sums of arbitrary columns in a global order.
-
-    Per-partition running sums plus per-partition offsets. The per-partition
-    window costs one hash shuffle on the partition id; running *counts* are
-    cheaper as row numbers (see ``running_count``).
-    """
-    s = df.orderBy(*order_cols).withColumn("__mid", F.monotonically_increasing_id())
-    s = s.withColumn("__pid", F.shiftright("__mid", _LOCAL_BITS))
-    w_local = Window.partitionBy("__pid").orderBy("__mid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    for out, src in sum_cols.items():
-        s = s.withColumn(f"__l_{out}", F.sum(src).over(w_local))
-    totals = s.groupBy("__pid").agg(*[F.sum(src).alias(f"__t_{out}") for out, src in sum_cols.items()])
-    w_prev = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("__pid", *[F.coalesce(F.sum(f"__t_{out}").over(w_prev), F.lit(0)).alias(f"__o_{out}") for out in sum_cols])
-    j = s.join(F.broadcast(offsets), "__pid")
-    for out in sum_cols:
-        j = j.withColumn(out, F.col(f"__o_{out}") + F.col(f"__l_{out}"))
-    return j.drop("__mid", "__pid", *[f"__l_{o}" for o in sum_cols], *[f"__o_{o}" for o in sum_cols])
-
-
 def trailing_rows_mean(df: DataFrame, order_cols: list, value: str, n_rows: int, out: str, bucket_rows: int = 100_000) -> DataFrame:
     """Mean of ``value`` over the last ``n_rows`` rows (current included) in a global order.
 

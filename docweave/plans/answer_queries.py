@@ -14,7 +14,7 @@ from docweave.operators import search as S
 from docweave.plans.search_queries import _answer_sql
 from docweave.functions.text import py_strip
 from docweave.functions.vectors import with_hash_embedding
-from docweave.plans.views import chunk_points
+from docweave.plans.views import chunk_points, question_id
 from docweave.sources.tables import request_log, table
 
 
@@ -47,9 +47,9 @@ def demo_answer(spark, sf):
 def parse_source_marker(spark, sf):
     """F11 over the demo generator's raw answers (documents as contexts) and over the
     assistant turns of the conversations (no marker)."""
-    d = table(spark, sf, "documents").select(F.lit("answer").alias("kind"), F.col("doc_id").alias("id"), _demo_answer("text")["text"].alias("raw"))
+    d = table(spark, sf, "documents").select(F.lit("answer").alias("kind"), F.col("doc_id").cast("string").alias("id"), _demo_answer("text")["text"].alias("raw"))
     c = table(spark, sf, "conversations").where(F.col("role") == "assistant").select(
-        F.lit("turn").alias("kind"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("raw"))
+        F.lit("turn").alias("kind"), question_id("conv_id", "turn").alias("id"), F.col("text").alias("raw"))
     p = d.unionByName(c).select("kind", "id", _parse("raw").alias("p"))
     return p.select("kind", "id", F.col("p.text").alias("text"), F.col("p.source").cast("string").alias("source"))
 
@@ -118,7 +118,7 @@ def _prompt_sql():
     sysm AS (
       SELECT f.conv_id, -1 AS o, 'system' AS role,
              '{head}' || 'CONTEXT: ' || coalesce(nullif({trunc}, ''), '[None]') || '{tail}' AS content
-      FROM finalq f LEFT JOIN ctx c ON c.query_id = f.conv_id * 1000 + f.user_turn),
+      FROM finalq f LEFT JOIN ctx c ON c.query_id = CAST(f.conv_id AS VARCHAR) || ':' || CAST(f.user_turn AS VARCHAR)),
     allm AS (SELECT * FROM sysm UNION ALL SELECT * FROM hmsg UNION ALL SELECT conv_id, 1000000, 'user', query FROM finalq)
     SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY o) - 1 AS BIGINT) AS msg_index, role, content FROM allm"""
 
@@ -145,8 +145,8 @@ ORACLE = {
     "demo_answer": f"SELECT doc_id, {_DOC_TEXT} AS answer, CASE WHEN NOT (text IS NULL OR regexp_matches(text, '^\\s*$')) THEN CAST({_DOC_SRC} AS VARCHAR) END AS source FROM documents",
     "parse_source_marker": f"""
         WITH raw AS (
-          SELECT 'answer' AS kind, doc_id AS id, {_DOC_TEXT} AS raw FROM documents
-          UNION ALL SELECT 'turn', conv_id * 1000 + turn, text FROM conversations WHERE role = 'assistant')
+          SELECT 'answer' AS kind, CAST(doc_id AS VARCHAR) AS id, {_DOC_TEXT} AS raw FROM documents
+          UNION ALL SELECT 'turn', CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR), text FROM conversations WHERE role = 'assistant')
         SELECT kind, id, {_PT} AS text, {_PS} AS source FROM raw""",
     "classify_error": f"""
         WITH r AS (

@@ -28,25 +28,33 @@ def chunk_points(spark: SparkSession, sf: str, dim: int = 64) -> DataFrame:
     return with_hash_embedding(c, "text", "vector", dim)
 
 
+def question_id(conv, turn):
+    """One name for each (conversation, turn)."""
+    return F.concat_ws(":", F.col(conv).cast("string"), F.col(turn).cast("string"))
+
+
 def question_queries(spark: SparkSession, sf: str, dim: int = 64) -> DataFrame:
     """User turns of the conversations as search queries (raw text, stripped, hash-embedded)."""
     u = table(spark, sf, "conversations").where(F.col("role") == "user")
-    q = u.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), py_strip("text").alias("query"))
+    q = u.select(question_id("conv_id", "turn").alias("query_id"), py_strip("text").alias("query"))
     return with_hash_embedding(q, "query", "vector", dim)
 
 
-def embedding_points(spark: SparkSession, sf: str) -> DataFrame:
-    """Pre-computed vectors as a collection; payload text from the document with the same id."""
-    e = table(spark, sf, "embeddings")
+def embedding_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Pre-computed vectors alone: ``point_id, vector``."""
+    return table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("point_id"), F.col("embedding").alias("vector"))
+
+
+def embedding_payload(spark: SparkSession, sf: str) -> DataFrame:
+    """What belongs to those vectors: the text is that of the document with the same id."""
+    e = table(spark, sf, "embeddings").select("vec_id", "label")
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text")
-    j = e.join(d, "vec_id", "left")
-    return j.select(
+    return e.join(d, "vec_id", "left").select(
         F.col("vec_id").cast("string").alias("point_id"),
         F.col("vec_id").alias("doc_id"),
         F.concat(F.lit("file_"), F.col("label").cast("string"), F.lit(".pdf")).alias("filename"),
         F.lit(0).alias("chunk_index"),
         "text",
-        F.col("embedding").alias("vector"),
     )
 
 

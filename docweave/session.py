@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "docweave") -> SparkSession:
@@ -36,11 +37,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; only when it is unset (tests,
-    single-machine runs) do we pick a fresh local folder.
+    A cluster names a shared folder there. Only a session on one machine may
+    leave it unset; it then gets a fresh local folder, which on a cluster other
+    machines could not read, so there it is an error.
     """
     cdir = spark.conf.get("spark.checkpoint.dir", None)
     if not cdir:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         cdir = tempfile.mkdtemp(prefix="docweave-ckpt-")
         spark.conf.set("spark.checkpoint.dir", cdir)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -52,3 +56,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for an intermediate table under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def read_parquet_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None if there is no such path; any other failure is raised."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None

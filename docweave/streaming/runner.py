@@ -2,46 +2,47 @@
 
 Sinks are ``foreachBatch`` writers keyed by the micro-batch id, so a batch
 replayed after a failure overwrites its own output instead of duplicating it.
-Checkpoints and outputs live under the shared ``spark.checkpoint.dir``.
+A failed query raises; a result is only read once the query has ended. Given a
+``location``, checkpoint and output stay there and a later run goes on where
+the last one stopped; else each run has a fresh place under the shared
+``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.session import scratch_path
+from docweave.session import read_parquet_if_there, scratch_path
 
 
-def fresh_location(spark: SparkSession, tag: str) -> tuple[str, str]:
-    """``(checkpoint, output)`` folders for one run."""
-    run = scratch_path(spark, f"stream-{tag}-{uuid.uuid4().hex}")
+def places(spark: SparkSession, tag: str, location: str | None = None) -> tuple[str, str]:
+    """``(checkpoint, output)`` folders."""
+    run = location.rstrip("/") if location else scratch_path(spark, f"stream-{tag}-{uuid.uuid4().hex}")
     return f"{run}/_checkpoint", f"{run}/out"
 
 
-def run_complete(stream: DataFrame, tag: str, available_now: bool = True, timeout_s: int = 600) -> DataFrame:
-    """Complete-mode aggregate: every micro-batch rewrites the whole result table."""
-    spark = stream.sparkSession
-    ckpt, out = fresh_location(spark, tag)
+def _run(stream: DataFrame, mode: str, checkpoint: str, write: Callable[[DataFrame, int], None]) -> None:
+    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()  # raises what ended a failed query
 
-    def write(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
 
-    q = stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", ckpt)
-    q = (q.trigger(availableNow=True) if available_now else q.trigger(processingTime="10 seconds")).start()
-    q.awaitTermination(timeout_s)
-    return spark.read.parquet(out)
+def run_complete(stream: DataFrame, tag: str, location: str | None = None) -> DataFrame:
+    """Complete-mode aggregate: every micro-batch rewrites the whole result table."""
+    checkpoint, out = places(stream.sparkSession, tag, location)
+    _run(stream, "complete", checkpoint, lambda batch, _epoch: batch.write.mode("overwrite").parquet(out))
+    return _stored(stream, out)
 
 
-def run_append(stream: DataFrame, tag: str, write_batch=None, timeout_s: int = 600) -> DataFrame:
+def run_append(stream: DataFrame, tag: str, write_batch=None, location: str | None = None) -> DataFrame:
     """Append-mode stream: each micro-batch lands in ``out/batch=<id>`` (overwritten on replay).
 
     ``write_batch(batch_df, batch_id, out)`` may replace the default writer
     (e.g. to deduplicate against what is already stored).
     """
-    spark = stream.sparkSession
-    ckpt, out = fresh_location(spark, tag)
+    checkpoint, out = places(stream.sparkSession, tag, location)
 
     def write(batch: DataFrame, epoch: int) -> None:
         if write_batch is not None:
@@ -49,9 +50,10 @@ def run_append(stream: DataFrame, tag: str, write_batch=None, timeout_s: int = 6
         else:
             batch.write.mode("overwrite").parquet(f"{out}/batch={epoch}")
 
-    q = stream.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
-    q.awaitTermination(timeout_s)
-    try:
-        return spark.read.parquet(out)
-    except Exception:  # noqa: BLE001 - nothing arrived
-        return spark.createDataFrame([], stream.schema)
+    _run(stream, "append", checkpoint, write)
+    return _stored(stream, out).drop("batch")
+
+
+def _stored(stream: DataFrame, out: str) -> DataFrame:
+    stored = read_parquet_if_there(stream.sparkSession, out)
+    return stream.sparkSession.createDataFrame([], stream.schema) if stored is None else stored

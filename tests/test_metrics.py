@@ -3,7 +3,7 @@ import datetime as dt
 import pandas as pd
 from pyspark.sql import functions as F
 
-from docweave.operators.ordering import running_totals, trailing_rows_mean, with_global_row_number
+from docweave.operators.ordering import trailing_rows_mean, with_global_row_number
 
 
 def frame(spark, n=997):
@@ -18,14 +18,6 @@ def test_global_row_number(spark):
     assert [got[i] for i in order] == list(range(1, len(rows) + 1))
 
 
-def test_running_totals(spark):
-    df, rows = frame(spark)
-    got = {r.id: (r.n, r.nf) for r in running_totals(df.withColumn("one", F.lit(1)), ["ts", "id"], {"n": "one", "nf": "f"}).collect()}
-    p = pd.DataFrame(rows, columns=["id", "ts", "v", "f"]).sort_values(["ts", "id"])
-    p["n"], p["nf"] = range(1, len(p) + 1), p["f"].cumsum()
-    assert all(got[r.id] == (r.n, r.nf) for r in p.itertuples())
-
-
 def test_trailing_mean_with_halo(spark):
     df, rows = frame(spark)
     got = {r.id: r.m for r in trailing_rows_mean(df, ["ts", "id"], "v", 10, "m", bucket_rows=37).collect()}
