@@ -16,7 +16,7 @@ from docweave.operators.embed import embed
 from docweave.session import scratch_path
 from docweave.sources import files as FS
 from docweave.sources.tables import table
-from docweave.sources.vectors import coerce_vectors, load_vectors
+from docweave.sources.vectors import coerce_status, coerce_vectors, load_vectors
 
 EXT_BY_LANG = {"en": "txt", "fr": "md", "de": "pdf", "es": "bin"}
 
@@ -104,22 +104,21 @@ def read_json_text(spark, sf):
 
 
 def _payload_shapes(spark, sf):
+    """One payload per vector, in ten shapes by id; the last three are errors."""
     e = table(spark, sf, "embeddings")
     v = F.to_json(F.col("embedding").cast("array<double>"))  # exact decimal form of each float
-    shape = F.col("label") % 5
-    payload = (F.when(shape == 0, F.concat(F.lit('{"embeddings": ['), v, F.lit("]}")))
-               .when(shape == 1, F.concat(F.lit('{"vectors": ['), v, F.lit("]}")))
-               .when(shape == 2, F.concat(F.lit('{"data": [{"embedding": '), v, F.lit("}]}")))
-               .when(shape == 3, F.concat(F.lit('{"embedding": '), v, F.lit("}")))
-               .otherwise(v))
+    shapes = ['{"embeddings": [@]}', '{"vectors": [@, @]}', '{"data": [{"embedding": @}, {"x": 1}, {"vector": @}]}', '{"embedding": @}', "@",
+              '{"embeddings": @}', '{"embedding": [@, @]}', '{"data": [{"embeddings": [@]}]}', '{"nothing": @}', '["a", @']
+    payload = F.element_at(F.array(*[F.replace(F.lit(s), F.lit("@"), v) for s in shapes]), (F.pmod("vec_id", F.lit(len(shapes))) + 1).cast("int"))
     return e.select("vec_id", payload.alias("payload"))
 
 
 def coerce_embedding_payload(spark, sf):
-    """Every payload shape back to its vector."""
-    p = _payload_shapes(spark, sf).select("vec_id", coerce_vectors("payload").alias("vs"))
-    x = posexplode_kept(p, ["vec_id"], F.try_element_at("vs", F.lit(1)), "dim_index", "value")
-    return x.select("vec_id", F.col("dim_index").cast("bigint"), F.round("value", 6).alias("value"))
+    """Every vector of every payload shape, and an error row for what fits none."""
+    p = _payload_shapes(spark, sf).select("vec_id", coerce_status("payload").alias("status"), coerce_vectors("payload").alias("vs"))
+    n = F.coalesce(F.size("vs"), F.lit(0)).cast("bigint")
+    total = F.aggregate(F.flatten("vs"), F.lit(0.0), lambda a, x: a + x)
+    return p.select("vec_id", "status", n.alias("n_vectors"), F.when(n > 0, F.size(F.element_at("vs", -1))).cast("bigint").alias("dim"), F.round(total, 4).alias("total"))
 
 
 def load_vectors_report(spark, sf):
@@ -216,7 +215,10 @@ ORACLE = {
         SELECT doc_id, CASE WHEN lang = 'es' THEN '<generated>' ELSE source || '_' || CAST(doc_id AS VARCHAR) || '.txt' END AS filename,
                lang = 'es' AS generated_name, CAST(length(text) AS BIGINT) AS n_chars FROM documents""",
     "coerce_embedding_payload": """
-        SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS dim_index, round(CAST(unnest(embedding) AS DOUBLE), 6) AS value FROM embeddings""",
+        WITH s AS (SELECT vec_id, list_sum(CAST(embedding AS DOUBLE[])) AS t, len(embedding) AS d,
+                          CASE WHEN vec_id % 10 IN (1, 2, 6) THEN 2 WHEN vec_id % 10 < 7 THEN 1 ELSE 0 END AS n FROM embeddings)
+        SELECT vec_id, CASE WHEN n > 0 THEN 'ok' ELSE 'error' END AS status, CAST(n AS BIGINT) AS n_vectors,
+               CASE WHEN n > 0 THEN CAST(d AS BIGINT) END AS dim, CASE WHEN n > 0 THEN round(n * t, 4) END AS total FROM s""",
     "load_vectors": """
         SELECT CAST(vec_id AS VARCHAR) AS id, CASE WHEN label = 0 THEN 'skipped' ELSE 'upserted' END AS status,
                CASE WHEN label = 0 THEN 'missing vector for chunk 0' END AS reason, CAST(CASE WHEN label = 0 THEN 0 ELSE 1 END AS BIGINT) AS upserted

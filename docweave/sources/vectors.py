@@ -14,34 +14,49 @@ from docweave.functions.vectors import with_hash_embedding
 from docweave.operators.arrays import explode_kept, posexplode_kept
 
 VEC = T.ArrayType(T.DoubleType())
-PAYLOAD_SCHEMA = T.StructType([
-    T.StructField("embeddings", T.ArrayType(VEC)),
-    T.StructField("vectors", T.ArrayType(VEC)),
-    T.StructField("data", T.ArrayType(T.StructType([
-        T.StructField("embedding", VEC), T.StructField("embeddings", VEC), T.StructField("vector", VEC)]))),
-    T.StructField("embedding", VEC),
-])
+#: Each field as its JSON text, so that its depth decides how it is read.
+PAYLOAD_SCHEMA = "embeddings string, vectors string, data string, embedding string"
+
+
+def _numbers(j: Column) -> Column:
+    """A flat JSON list of numbers, null if it is anything else."""
+    v = F.from_json(j, VEC)
+    return F.when(j.rlike(r"^\s*\[") & F.coalesce(F.forall(v, lambda x: x.isNotNull()), F.lit(False)), v)
+
+
+def _vectors(j: Column) -> Column:
+    """``array<array<double>>`` of a JSON list: a flat list of numbers is one vector; null if it does not fit."""
+    rows = F.transform(F.from_json(j, "array<string>"), _numbers)
+    return (F.when(j.rlike(r"^\s*\[\s*\]"), F.array().cast(T.ArrayType(VEC)))
+            .when(j.rlike(r"^\s*\[\s*\["), F.when(F.forall(rows, lambda r: r.isNotNull()), rows))
+            .otherwise(F.when(_numbers(j).isNotNull(), F.array(_numbers(j)))))
 
 
 def coerce_vectors(payload_json) -> Column:
-    """``array<array<double>>`` from any accepted payload shape (null when none fits).
+    """``array<array<double>>`` from any accepted payload shape; null when none fits (an error in the service).
 
     Shapes, in precedence order: ``{embeddings}``, ``{vectors}``,
-    ``{data: [{embedding | embeddings | vector}]}``, ``{embedding}``, a bare 2-D list,
-    a bare 1-D list (wrapped).
+    ``{data: [{embedding | embeddings | vector}]}``, ``{embedding}``, a bare list;
+    each list holds numbers (one vector) or lists of numbers.
     """
     j = F.col(payload_json) if isinstance(payload_json, str) else payload_json
     obj = F.from_json(j, PAYLOAD_SCHEMA)
-    data = F.filter(F.transform(obj["data"], lambda d: F.coalesce(d["embedding"], d["embeddings"], d["vector"])), lambda v: v.isNotNull())
-    data = F.when(F.size(data) > 0, data)
-    two_d = F.from_json(j, T.ArrayType(VEC))
-    one_d = F.from_json(j, VEC)
-    is_obj = F.ltrim(j).startswith("{")
-    from_obj = F.coalesce(obj["embeddings"], obj["vectors"], data, F.when(obj["embedding"].isNotNull(), F.array(obj["embedding"])))
-    from_list = F.coalesce(F.when(F.size(one_d) > 0, F.array(one_d)), two_d)
-    return F.when(is_obj, from_obj).otherwise(from_list)
+    is_list = lambda c: F.coalesce(c.startswith("["), F.lit(False))
+    items = F.transform(F.from_json(obj["data"], "array<string>"), lambda x: F.from_json(x, "map<string,string>"))
+    key = lambda m: F.when(F.map_contains_key(m, "embedding"), m["embedding"]).when(F.map_contains_key(m, "embeddings"), m["embeddings"]).when(F.map_contains_key(m, "vector"), m["vector"])
+    named = F.transform(F.filter(items, lambda m: F.coalesce(F.exists(F.map_keys(m), lambda k: k.isin("embedding", "embeddings", "vector")), F.lit(False))), lambda m: _numbers(key(m)))
+    data = F.when((F.size(named) > 0) & F.forall(named, lambda v: v.isNotNull()), named)
+    from_obj = (F.when(is_list(obj["embeddings"]), _vectors(obj["embeddings"])).when(is_list(obj["vectors"]), _vectors(obj["vectors"]))
+                .when(is_list(obj["data"]), data).when(is_list(obj["embedding"]), _vectors(obj["embedding"])))
+    return F.when(F.ltrim(j).startswith("{"), from_obj).otherwise(_vectors(F.ltrim(j)))
+
+
+def coerce_status(payload_json) -> Column:
+    """``ok``, or ``error`` for a payload that S14 accepts in no shape."""
+    return F.when(coerce_vectors(payload_json).isNotNull(), "ok").otherwise("error")
 
 
+REASON_NO_DOCUMENT = "no document in payload"
 UPLOAD_CHUNK = T.StructType([
     T.StructField("text", T.StringType()), T.StructField("vector", VEC), T.StructField("embed", VEC),
     T.StructField("chunk_index", T.IntegerType()),
@@ -57,16 +72,20 @@ def load_vectors(payloads: DataFrame, payload_col: str = "payload", demo: bool =
     """``(chunks, report)`` from vector-upload payloads.
 
     ``chunks``: ``id, filename, chunk_index, text, vector`` of accepted documents;
-    ``report``: ``id, status, reason, upserted``. A document with no chunks is
+    ``report``: ``id, status, reason, upserted``, with a row for a payload that holds no document or cannot be read. A document with no chunks is
     skipped; one chunk without a vector skips the whole document unless ``demo``,
     where such chunks are hash-embedded instead.
     """
-    p = payloads.select(F.from_json(payload_col, UPLOAD_SCHEMA).alias("p"))
-    docs = explode_kept(p, [], F.coalesce(F.col("p.documents"), F.when(F.col("p.document").isNotNull(), F.array("p.document"))), "d")
-    # defaults: a content-derived id (idempotent, D2) and the upload-<epoch> name
+    p = payloads.select(F.col(payload_col).alias("raw"), F.from_json(payload_col, UPLOAD_SCHEMA).alias("p"))
+    given = F.coalesce(F.when(F.size("p.documents") > 0, F.col("p.documents")), F.when(F.col("p.document").isNotNull(), F.array("p.document")))
+    none = p.where(given.isNull()).select(
+        F.sha2(F.coalesce("raw", F.lit("")), 256).alias("id"), F.lit(C.STATUS_SKIPPED).alias("status"), F.lit(REASON_NO_DOCUMENT).alias("reason"), F.lit(0).alias("upserted"))
+    docs = explode_kept(p, [], given, "d")
+    # defaults: a content-derived id (idempotent, D2), and a name that holds it, so unnamed uploads stay apart
+    unnamed = F.sha2(F.to_json("d"), 256)
     docs = docs.select(
-        F.coalesce(F.col("d.id"), F.sha2(F.to_json("d"), 256)).alias("id"),
-        F.coalesce(F.col("d.filename"), F.lit(f"upload-{int(time.time())}")).alias("filename"),
+        F.coalesce(F.col("d.id"), unnamed).alias("id"),
+        F.coalesce(F.col("d.filename"), F.concat(F.lit(f"upload-{int(time.time())}-"), F.substring(unnamed, 1, 16))).alias("filename"),
         F.coalesce("d.chunks", F.array().cast(T.ArrayType(UPLOAD_CHUNK))).alias("chunks"))
     vec = lambda c: F.coalesce(F.when(F.size(c["vector"]) > 0, c["vector"]), F.when(F.size(c["embed"]) > 0, c["embed"]))
     missing = F.transform("chunks", lambda c, i: F.when(vec(c).isNull(), i))
@@ -77,7 +96,7 @@ def load_vectors(payloads: DataFrame, payload_col: str = "payload", demo: bool =
     reason = (F.when(F.size("chunks") == 0, F.lit(C.REASON_NO_CHUNKS))
               .when(F.col("__miss").isNotNull() & F.lit(not demo), fill(C.REASON_MISSING_VECTOR, i=F.col("__miss").cast("string"))))
     report = docs.select("id", status.alias("status"), reason.alias("reason"),
-                         F.when(status == C.STATUS_UPSERTED, F.size("chunks")).otherwise(F.lit(0)).alias("upserted"))
+                         F.when(status == C.STATUS_UPSERTED, F.size("chunks")).otherwise(F.lit(0)).alias("upserted")).unionByName(none)
     ok = posexplode_kept(docs.where(status == C.STATUS_UPSERTED), ["id", "filename"], "chunks", "pos", "c")
     chunks = ok.select("id", "filename", F.coalesce(F.col("c.chunk_index"), F.col("pos")).alias("chunk_index"),
                        F.coalesce(F.col("c.text"), F.lit("")).alias("text"), vec(F.col("c")).alias("vector"))

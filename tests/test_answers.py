@@ -77,3 +77,11 @@ def test_bounded_context_edges(spark):
     got = {r.k: r.context for r in bounded_context(df, "k", "i", "t").collect()}
     for k, bl in cases.items():
         assert got[k] == direct(bl), k
+
+
+def test_marker_line_ends_and_wide_spaces(spark):
+    from docweave.functions.answers import parse_source_marker
+
+    for raw, want in {"[SOURCE:0]\r\nA\r\nB": ("A\nB", 0), "\u00a0[SOURCE:1]\u00a0x": ("x", 1), "A\r\nB": ("A\r\nB", None)}.items():
+        r = one(spark, parse_source_marker(F.col("t")), raw)
+        assert (r["text"], r["source"]) == want

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from conftest import one
 from docweave.sources import files as FS
-from docweave.sources.vectors import coerce_vectors
+from docweave.sources.vectors import coerce_status, coerce_vectors, load_vectors
 
 
 def lines_of(spark, text, name="f.csv"):
@@ -53,11 +53,24 @@ def test_links(spark):
 
 
 def test_payload_shapes(spark):
-    shapes = ['{"embeddings": [[1, 2]]}', '{"vectors": [[1, 2], [3, 4]]}', '{"data": [{"vector": [1, 2]}]}',
-              '{"embedding": [1, 2]}', "[1, 2]", "[[1, 2]]", '{"nothing": 1}']
-    got = [one(spark, coerce_vectors(F.col("t")), s) for s in shapes]
-    assert got[:6] == [[[1.0, 2.0]], [[1.0, 2.0], [3.0, 4.0]], [[1.0, 2.0]], [[1.0, 2.0]], [[1.0, 2.0]], [[1.0, 2.0]]]
-    assert got[6] is None
+    one_v, two_v = [[1.0, 2.0]], [[1.0, 2.0], [3.0, 4.0]]
+    shapes = {'{"embeddings": [[1, 2]]}': one_v, '{"vectors": [[1, 2], [3, 4]]}': two_v, '{"data": [{"vector": [1, 2]}]}': one_v,
+              '{"embedding": [1, 2]}': one_v, "[1, 2]": one_v, "[[1, 2]]": one_v, '{"embeddings": [1, 2]}': one_v, '{"vectors": [1, 2]}': one_v,
+              '{"embedding": [[1, 2], [3, 4]]}': two_v, '{"embeddings": null, "vectors": [1, 2]}': one_v, "[]": [],
+              '{"data": [{"embedding": [1, 2], "vector": [9]}, {"x": 1}, {"embeddings": [3, 4]}]}': two_v,
+              '{"nothing": 1}': None, '{"data": [{"embeddings": [[1, 2]]}]}': None, '{"data": []}': None, "[1, [2]]": None, "nonsense": None, '["a"]': None}
+    for text, want in shapes.items():
+        assert one(spark, coerce_vectors(F.col("t")), text) == want, text
+        assert one(spark, coerce_status(F.col("t")), text) == ("error" if want is None else "ok"), text
+    assert one(spark, coerce_vectors(F.col("t")), None) is None
+
+
+def test_payloads_without_a_document_are_reported(spark):
+    raw = ['{"documents": [], "document": {"id": "d", "chunks": [{"text": "t", "vector": [1]}]}}', "not json", '{"documents": []}', None, '{"document": {"id": "e", "chunks": []}}']
+    chunks, report = load_vectors(spark.createDataFrame([(r,) for r in raw], "payload string"))
+    assert sorted((r.status, r.reason or "", r.upserted) for r in report.collect()) == [
+        ("skipped", "no chunks provided", 0), *[("skipped", "no document in payload", 0)] * 3, ("upserted", "", 1)]
+    assert [(r.id, r.vector) for r in chunks.collect()] == [("d", [1.0])]
 
 
 def test_load_vectors(spark):
