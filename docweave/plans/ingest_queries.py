@@ -61,11 +61,28 @@ def csv_ingest(spark, sf):
     return lines.select(F.url_decode(F.regexp_extract("filename", r"p_brand=([^/]+)/", 1)).alias("brand"), "line")
 
 
+#: CSV texts of a part, by p_partkey mod 5: quoted, indexed, too long (falls back), labelled, with missing cells.
+_CSV_SHAPES = ['name,price\n"@n, ""x""",@p\n', "name,price\n7,@n,@p\n8,@n\n", "name,price\n@n,@p\n\n1,2,3", "Sheet: One\nname;price\n@n;@p\n", "name,price,\nNA,@p,\n@n,null,z\n"]
+
+
+def csv_documents(spark, sf):
+    """A CSV upload for each part, as its parsed text."""
+    p = table(spark, sf, "part")
+    shape = F.element_at(F.array(*map(F.lit, _CSV_SHAPES)), (F.pmod("p_partkey", F.lit(len(_CSV_SHAPES))) + 1).cast("int"))
+    text = F.replace(F.replace(shape, F.lit("@n"), F.col("p_name")), F.lit("@p"), F.col("p_size").cast("string"))
+    name = F.concat(F.lit("part_"), F.col("p_partkey").cast("string"), F.lit(".csv"))
+    return p.select("p_partkey", FS.csv_text(name, text).alias("text"))
+
+
 def url_shortcut(spark, sf):
-    """An Internet-shortcut file per page."""
+    """An Internet-shortcut file per page; some lead to report or share sites, some nowhere."""
     p = table(spark, sf, "pages")
     fn = F.concat(F.lit("Page_Link_"), F.col("page_id").cast("string"), F.lit(".url"))
-    content = F.concat(F.lit("[InternetShortcut]\r\nURL="), F.col("url"), F.lit("\r\nIconIndex=0\r\n"))
+    site = F.pmod("page_id", F.lit(10))
+    url = (F.when(site == 0, F.concat(F.lit("https://app.powerbi.com/r/"), F.col("page_id").cast("string")))
+           .when(site == 1, F.concat(F.lit("https://x.sharepoint.com/s/"), F.col("page_id").cast("string"))).otherwise(F.col("url")))
+    line = F.when(site == 2, F.lit("")).otherwise(F.concat(F.lit("URL="), url))
+    content = F.concat(F.lit("[InternetShortcut]\r\n"), line, F.lit("\r\nIconIndex=0\r\n"))
     return p.select("page_id", FS.parse_url_shortcut(fn, content).alias("text"))
 
 
@@ -118,7 +135,7 @@ def coerce_embedding_payload(spark, sf):
     p = _payload_shapes(spark, sf).select("vec_id", coerce_status("payload").alias("status"), coerce_vectors("payload").alias("vs"))
     n = F.coalesce(F.size("vs"), F.lit(0)).cast("bigint")
     total = F.aggregate(F.flatten("vs"), F.lit(0.0), lambda a, x: a + x)
-    return p.select("vec_id", "status", n.alias("n_vectors"), F.when(n > 0, F.size(F.element_at("vs", -1))).cast("bigint").alias("dim"), F.round(total, 4).alias("total"))
+    return p.select("vec_id", "status", n.alias("n_vectors"), F.when(n > 0, F.size(F.element_at("vs", -1))).otherwise(0).cast("bigint").alias("dim"), F.round(total, 4).alias("total"))
 
 
 def load_vectors_report(spark, sf):
@@ -147,6 +164,7 @@ QUERIES = {
     "linearize_rows": linearize_rows,
     "read_files": read_files,
     "csv_ingest": csv_ingest,
+    "csv_documents": csv_documents,
     "url_shortcut": url_shortcut,
     "extract_links": extract_links,
     "flatten_parts": flatten_parts,
@@ -181,10 +199,20 @@ ORACLE = {
                     WHEN {_EXT} = 'pdf' THEN '[Simulated PDF parsing for ' || source || '_' || CAST(doc_id AS VARCHAR) || '.pdf - pdf parsing libraries missing or failed]'
                     ELSE '[Simulated parsing for ' || source || '_' || CAST(doc_id AS VARCHAR) || '.bin - demo mode]' || chr(10) || 'Content not extracted.' END AS text
         FROM documents""",
+    "csv_documents": """
+        WITH c AS (SELECT p_partkey, p_name AS n, CAST(p_size AS VARCHAR) AS p, '**Data from part_' || CAST(p_partkey AS VARCHAR) || '.csv**' || chr(10) || chr(10) AS h FROM part)
+        SELECT p_partkey, CASE p_partkey % 5
+            WHEN 0 THEN h || 'name: ' || n || ', "x" | price: ' || p || chr(10)
+            WHEN 1 THEN h || 'name: ' || n || ' | price: ' || p || chr(10) || 'name: ' || n || chr(10)
+            WHEN 2 THEN 'name, price' || chr(10) || n || ', ' || p || chr(10) || chr(10) || '1, 2, 3'
+            WHEN 3 THEN h || 'name: ' || n || ' | price: ' || p || chr(10)
+            ELSE h || 'price: ' || p || chr(10) || 'name: ' || n || ' | Unnamed: 2: z' || chr(10) END AS text FROM c""",
     "csv_ingest": f"SELECT p_brand AS brand, {_concat_ws(_CSV_COLS)} AS line FROM part",
     "url_shortcut": f"""
-        WITH u AS (SELECT page_id, url, 'Page Link ' || CAST(page_id AS VARCHAR) AS name,
-                          regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1) AS d0 FROM pages),
+        WITH w AS (SELECT page_id, CASE page_id % 10 WHEN 0 THEN 'https://app.powerbi.com/r/' || CAST(page_id AS VARCHAR)
+                          WHEN 1 THEN 'https://x.sharepoint.com/s/' || CAST(page_id AS VARCHAR) WHEN 2 THEN '' ELSE url END AS url FROM pages),
+        u AS (SELECT page_id, url, 'Page Link ' || CAST(page_id AS VARCHAR) AS name,
+                          regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1) AS d0 FROM w),
         v AS (SELECT *, CASE WHEN d0 = '' THEN 'Unknown domain' ELSE d0 END AS dom FROM u)
         SELECT page_id, CASE WHEN coalesce(url, '') <> '' THEN
             '**' || name || '**' || chr(10) || chr(10) || 'Type: Internet Link / Shortcut' || chr(10) || 'Description: This is a link to ' || name || '.' || chr(10)
@@ -218,7 +246,7 @@ ORACLE = {
         WITH s AS (SELECT vec_id, list_sum(CAST(embedding AS DOUBLE[])) AS t, len(embedding) AS d,
                           CASE WHEN vec_id % 10 IN (1, 2, 6) THEN 2 WHEN vec_id % 10 < 7 THEN 1 ELSE 0 END AS n FROM embeddings)
         SELECT vec_id, CASE WHEN n > 0 THEN 'ok' ELSE 'error' END AS status, CAST(n AS BIGINT) AS n_vectors,
-               CASE WHEN n > 0 THEN CAST(d AS BIGINT) END AS dim, CASE WHEN n > 0 THEN round(n * t, 4) END AS total FROM s""",
+               CAST(CASE WHEN n > 0 THEN d ELSE 0 END AS BIGINT) AS dim, CASE WHEN n > 0 THEN round(n * t, 4) END AS total FROM s""",
     "load_vectors": """
         SELECT CAST(vec_id AS VARCHAR) AS id, CASE WHEN label = 0 THEN 'skipped' ELSE 'upserted' END AS status,
                CASE WHEN label = 0 THEN 'missing vector for chunk 0' END AS reason, CAST(CASE WHEN label = 0 THEN 0 ELSE 1 END AS BIGINT) AS upserted

@@ -21,7 +21,18 @@ def test_csv_sheet_label_and_prose(spark):
 
 def test_csv_no_separator_and_fallback(spark):
     assert lines_of(spark, "title\nvalue") == ["title: value"]
-    assert lines_of(spark, "a,b\n1,2,3") == ["a, b", "1, 2, 3"]
+    assert lines_of(spark, "a,b\n1,2,3") == ["a: 2 | b: 3"]  # the leading cell is an index
+    assert lines_of(spark, "a,b\n1,2\n1,2,3") == ["a, b", "1, 2", "1, 2, 3"]
+    assert lines_of(spark, "") == [] and lines_of(spark, "a,b") == []
+
+
+def test_csv_quotes_missing_cells_and_names(spark):
+    assert lines_of(spark, 'a,b\n"x, y",2\n"say ""hi""",NA\n,null') == ["a: x, y | b: 2", 'a: say "hi"', ""]
+    assert lines_of(spark, "a,,a\n1,2,3\n4") == ["a: 1 | Unnamed: 1: 2 | a.1: 3", "a: 4"]
+    assert lines_of(spark, "a,b\n1,2,3\n4,5") == ["a: 2 | b: 3", "a: 5"]
+    df = spark.createDataFrame([("f.csv", bytearray(b"a;b\n1;2\n")), ("g.csv", bytearray(b"a,b\n1,2\n1,2,3\n"))], "filename string, content binary")
+    got = {r.filename: r.text for r in FS.parse_uploads(df).collect()}
+    assert got == {"f.csv": "**Data from f.csv**\n\na: 1 | b: 2\n", "g.csv": "a, b\n1, 2\n1, 2, 3"}
 
 
 def shortcut(spark, name, body):
