@@ -10,6 +10,7 @@ from docweave.llm.bpe_codec import encode_documents
 from docweave.llm.chat import conversation_digests, reconstruct, render, turns_as_events
 from docweave.llm.common import read_table
 from docweave.llm.jaccard_join import near_duplicates
+from docweave.llm.oracles import ORACLE
 from docweave.llm.packing import pack_documents
 from docweave.llm.quality import quality_report
 from docweave.llm.secret_scan import scan_documents, span_digests
@@ -32,7 +33,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_report(read_table(spark, sf_dir, "documents"))
+    return quality_report(read_table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +64,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+__all__ = ["ORACLE", "QUERIES"]
+
 QUERIES = {
     "op1_bpe_codec": op1_bpe_codec,
     "op2_vector_dedup": op2_vector_dedup,
@@ -75,4 +78,3 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_token_counts": op10_token_counts,
 }
-ORACLE: dict[str, str] = {}
