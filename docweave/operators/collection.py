@@ -1,21 +1,25 @@
-"""Point collections as versioned Parquet.
+"""Point collections as partitioned Parquet.
 
 State changes are DataFrame transformations (anti / semi joins and unions on
-keys); ``Collection`` writes each new state to a fresh version directory and
-only then moves the ``current`` pointer, so a reader never sees a partial
-write and an input is never overwritten while it is being read. Data is
-partitioned by ``type`` so the P1 file-type filter prunes directories.
+keys). ``Collection`` stores points partitioned by ``type`` and by a hash bucket
+of the file name, so the P1 file-type filter prunes directories, an insert only
+appends, and a replace or delete rewrites the buckets of the files it names and
+no others. What a change writes is staged once in the shared scratch folder, so
+vectors are computed once and nothing is overwritten while it is being read.
+One writer at a time.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave import config as C
+from docweave.session import scratch_path
 
 POINT_COLUMNS = ["point_id", "filename", "chunk_index", "text", "uploaded_at", "type", "vector"]
 
@@ -136,28 +140,36 @@ def point_count(points: DataFrame) -> DataFrame:
 class Collection:
     """A named point collection under ``root`` (any Hadoop-compatible shared path).
 
-    Layout: ``root/v=<n>/type=<T>/part-*.parquet`` plus ``root/_meta`` (JSON rows
-    ``collection, dim, distance, version``; the highest version is current).
+    Layout: ``root/points/type=<T>/bucket=<n>/part-*.parquet`` and ``root/meta``, one
+    JSON row ``collection, dim, distance, buckets``.
     """
 
     def __init__(self, spark: SparkSession, root: str, name: str = "documents"):
         self.spark, self.root, self.name = spark, root.rstrip("/"), name
 
-    # -- metadata
-    def _meta_path(self) -> str:
-        return f"{self.root}/_meta"
+    @property
+    def path(self) -> str:
+        return f"{self.root}/points"
 
+    # -- metadata
     def meta(self) -> dict | None:
+        """What ``create`` stored, or None without a collection."""
         try:
-            stored = self.spark.read.schema("collection string, dim int, distance string, version int").json(self._meta_path())
+            stored = self.spark.read.schema("collection string, dim int, distance string, buckets int").json(f"{self.root}/meta")
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             return None
-        rows = stored.orderBy(F.col("version").desc()).limit(1).collect()
+        rows = stored.collect()  # one row
         return rows[0].asDict() if rows else None
 
-    def create(self, dim: int, mode: str = "new", confirm: bool = False, distance: str = C.DISTANCE) -> dict:
+    def _known(self) -> dict:
+        m = self.meta()
+        if m is None:
+            raise FileNotFoundError(f"collection {self.name} not found under {self.root}")
+        return m
+
+    def create(self, dim: int, mode: str = "new", confirm: bool = False, distance: str = C.DISTANCE, buckets: int = 16) -> dict:
         """``new`` fails if the collection exists; ``recreate`` needs ``confirm``."""
         if mode not in ("new", "recreate"):
             raise ValueError(f"unknown mode {mode!r}: use new or recreate")
@@ -165,10 +177,9 @@ class Collection:
             raise ValueError("recreating drops every stored point; pass confirm=True")
         if mode == "new" and self.meta() is not None:
             raise FileExistsError(f"collection {self.name} exists")
-        version = (self.meta() or {}).get("version", -1) + 1
-        empty = self.spark.createDataFrame([], self.schema(dim))
-        self._write(empty, version)
-        self._write_meta(dim, distance, version)
+        self._empty()
+        row = json.dumps({"collection": self.name, "dim": dim, "distance": distance, "buckets": buckets})
+        self.spark.createDataFrame([(row,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/meta")
         return {"status": "recreated" if mode == "recreate" else "created", "collection": self.name, "size": dim}
 
     @staticmethod
@@ -182,50 +193,90 @@ class Collection:
             T.StructField("vector", T.ArrayType(T.DoubleType())),
         ])
 
-    def _write_meta(self, dim: int, distance: str, version: int) -> None:
-        row = json.dumps({"collection": self.name, "dim": dim, "distance": distance, "version": version})
-        self.spark.createDataFrame([(row,)], "value string").coalesce(1).write.mode("append").text(self._meta_path())
+    # -- files
+    def _delete(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def _empty(self) -> None:
+        self._delete(self.path)
+        self.spark.createDataFrame([], self.schema(0).add("bucket", "integer")).write.partitionBy("type", "bucket").parquet(self.path)
+
+    def _bucketed(self, points: DataFrame) -> DataFrame:
+        return points.select(*POINT_COLUMNS).withColumn("bucket", F.pmod(F.xxhash64(F.coalesce("filename", F.lit(""))), F.lit(self._known()["buckets"])).cast("int"))
+
+    def _stored(self) -> DataFrame:
+        return self.spark.read.schema(self.schema(0).add("bucket", "integer")).parquet(self.path)
 
-    def _write(self, df: DataFrame, version: int) -> None:
-        df.select(*POINT_COLUMNS).write.mode("errorifexists").partitionBy("type").parquet(f"{self.root}/v={version}")
+    def _staged(self, df: DataFrame) -> DataFrame:
+        path = scratch_path(self.spark, f"staged-{uuid.uuid4().hex}")
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _rewrite(self, touched: DataFrame, rows: DataFrame) -> None:
+        """Replace the partitions in ``touched`` (type, bucket) by ``rows``, all of which lie in them."""
+        staged = self._staged(rows)
+        staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("type", "bucket").parquet(self.path)
+        gone = touched.join(staged.select("type", "bucket").distinct(), ["type", "bucket"], "left_anti")
+        for r in gone.collect():  # at most buckets x types, from the layout
+            self._delete(f"{self.path}/type={r['type']}/bucket={r['bucket']}")
 
     # -- data
     def read(self) -> DataFrame:
-        """The current version (no page caps, D3)."""
-        m = self.meta()
-        if m is None:
-            raise FileNotFoundError(f"collection {self.name} not found under {self.root}")
-        return self.spark.read.schema(self.schema(m["dim"])).parquet(f"{self.root}/v={m['version']}")
+        """All points (no page caps, D3)."""
+        self._known()
+        return self._stored().drop("bucket")
 
-    def commit(self, new_state: DataFrame) -> int:
-        """Write ``new_state`` as the next version, then advance the pointer."""
-        m = self.meta()
-        version = m["version"] + 1
-        self._write(new_state, version)
-        self._write_meta(m["dim"], m["distance"], version)
-        return version
+    def _fitting(self, points: DataFrame) -> tuple[DataFrame, int]:
+        """The points, computed once, and how many do not fit the collection."""
+        staged = self._staged(self._bucketed(points))
+        return staged, dim_guard(staged, self._known()["dim"])[1].count()
 
     def upsert(self, points: DataFrame) -> dict:
-        """U1 + U7: reject a batch whose vectors do not fit, else append idempotently."""
-        m = self.meta()
-        ok, bad = dim_guard(points, m["dim"])
-        n_bad = bad.count()
+        """U1 + U7: reject a batch whose vectors do not fit, else append what is not stored yet."""
+        staged, n_bad = self._fitting(points)
+        if n_bad:
+            return {"error": C.STATUS_DIM_MISMATCH, "rejected": n_bad}
+        key = ["type", "bucket", "point_id"]
+        new = self._staged(staged.dropDuplicates(key).join(self._stored().select(key), key, "left_anti").select(staged.columns))
+        new.write.mode("append").partitionBy("type", "bucket").parquet(self.path)
+        return {"status": C.STATUS_INDEXED, "inserted": new.count()}
+
+    def replace(self, points: DataFrame) -> dict:
+        """U2 + U7: the files in ``points`` have all their points replaced."""
+        staged, n_bad = self._fitting(points)
         if n_bad:
             return {"error": C.STATUS_DIM_MISMATCH, "rejected": n_bad}
-        self.commit(append_points(self.read(), ok))
-        return {"status": C.STATUS_INDEXED, "version": self.meta()["version"]}
+        names = staged.select("type", "bucket", "filename").distinct()
+        touched = names.select("type", "bucket").distinct()
+        kept = self._stored().join(touched, ["type", "bucket"], "left_semi").join(names, ["type", "bucket", "filename"], "left_anti")
+        self._rewrite(touched, kept.select(staged.columns).unionByName(staged))
+        return {"status": C.STATUS_INDEXED, "inserted": staged.count()}
+
+    def reindex(self, embed) -> dict:
+        """Points whose vector does not fit the dimension are embedded anew, in the buckets that hold such points."""
+        dim = self._known()["dim"]
+        bad = self._stored().where(~F.coalesce(F.size("vector") == dim, F.lit(False)))
+        touched = self._staged(bad.select("type", "bucket").distinct())
+        done = reindex(self._stored().join(touched, ["type", "bucket"], "left_semi"), dim, embed)
+        staged = self._staged(done)
+        self._rewrite(touched, staged.where("reindex_ok").select(*POINT_COLUMNS, "bucket"))
+        r = staged.agg(F.count_if("reembedded").alias("n"), F.count_if(~F.col("reindex_ok")).alias("failed")).first()
+        return {"reembedded": r["n"], "failed": r["failed"]}
 
     def delete(self, filenames: DataFrame) -> int:
         """Returns the number of deleted points."""
-        cur = self.read()
-        n = cur.join(filenames.select("filename").distinct(), "filename", "left_semi").count()
+        names = filenames.select("filename").distinct()
+        hit = self._staged(self._stored().join(names, "filename", "left_semi").select("type", "bucket", "filename"))
+        n = hit.count()
         if n:
-            self.commit(delete_documents(cur, filenames))
+            touched = hit.select("type", "bucket").distinct()
+            kept = self._stored().join(touched, ["type", "bucket"], "left_semi").join(names, "filename", "left_anti")
+            self._rewrite(touched, kept.select(*POINT_COLUMNS, "bucket"))
         return n
 
     def clear(self) -> dict:
         """U4."""
-        cur = self.read()
-        n = cur.count()
-        self.commit(cur.limit(0))
+        n = self.read().count()
+        self._empty()
         return {"success": True, "deleted": n}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from docweave import config as C
@@ -10,7 +13,7 @@ from docweave.operators import collection as K
 from docweave.operators.chunker import chunk_documents
 from docweave.plans.sql_blocks import DOCS_CTE, chunk_ctes, hash_embed_sql
 from docweave.plans.views import chunk_points, point_id
-from docweave.session import ensure_checkpoint_dir
+from docweave.session import ensure_checkpoint_dir, scratch_path
 from docweave.sources.tables import docs_view, table
 
 TS = "yyyy-MM-dd HH:mm"
@@ -36,11 +39,47 @@ def point_count(spark, sf):
     return K.point_count(p).select(F.lit("documents").alias("collection"), F.col("points").cast("bigint"))
 
 
+def _new_collection(spark, dim=64):
+    coll = K.Collection(spark, scratch_path(spark, f"collection-{uuid.uuid4().hex}"), "documents")
+    coll.create(dim)
+    return coll
+
+
+def _stored_points(spark, sf):
+    return chunk_points(spark, sf).select(*K.POINT_COLUMNS)
+
+
+def _state(coll, step, result):
+    """One row with what the collection holds, read back from its files, and what the step reported."""
+    m = coll.meta()
+    report = F.to_json(F.create_map(*[x for k, v in sorted(result.items()) for x in (F.lit(k), F.lit(str(v).lower()))]))
+    return coll.read().agg(F.lit(step).alias("step"), F.lit(m["collection"]).alias("collection"), F.lit(m["dim"]).cast("bigint").alias("dim"), F.lit(m["distance"]).alias("distance"),
+                           F.count(F.lit(1)).cast("bigint").alias("points"), report.alias("report"))
+
+
 def create_collection(spark, sf):
-    """U5 metadata for a collection built from the chunk points: dimension taken from the data."""
-    p = chunk_points(spark, sf)
-    return p.agg(F.lit("documents").alias("collection"), F.max(F.size("vector")).alias("dim"),
-                 F.lit(C.DISTANCE).alias("distance"), F.count(F.lit(1)).cast("bigint").alias("points"))
+    """U5 and U1 on a stored collection: created, filled, filled again, created anew; the state after each step."""
+    coll = K.Collection(spark, scratch_path(spark, f"collection-{uuid.uuid4().hex}"), "documents")
+    out = [_written(_state(coll, "new", coll.create(64)))]
+    out.append(_written(_state(coll, "insert", coll.upsert(_stored_points(spark, sf)))))
+    out.append(_written(_state(coll, "insert again", coll.upsert(coll.read()))))
+    out.append(_written(_state(coll, "recreate", coll.create(32, mode="recreate", confirm=True, distance="Dot"))))
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
+def stored_changes(spark, sf):
+    """U3, U2 on a stored collection: toxic files deleted, then the Spanish files replaced by their first chunks."""
+    coll = _new_collection(spark)
+    coll.upsert(_stored_points(spark, sf))
+    coll.delete(_toxic_files(spark, sf).select("filename"))
+    coll.replace(coll.read().where((F.col("type") == "ES") & (F.col("chunk_index") == 0)))
+    return coll.read().select("point_id", "filename", F.col("chunk_index").cast("bigint"), "type")
+
+
+def _written(df):
+    path = scratch_path(df.sparkSession, f"state-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def lookup_documents(spark, sf):
@@ -86,7 +125,10 @@ def delete_state(spark, sf):
 
 
 def clear_collection(spark, sf):
-    return K.clear_report(chunk_points(spark, sf).select("point_id")).select("success", F.col("deleted").cast("bigint"))
+    """U4 on a stored collection: what clearing reports, and what is left."""
+    coll = _new_collection(spark)
+    coll.upsert(_stored_points(spark, sf))
+    return _written(_state(coll, "clear", coll.clear()))
 
 
 def _mixed_dim_points(spark, sf):
@@ -119,21 +161,16 @@ def ingest_report(spark, sf):
 
 
 def collection_search(spark, sf):
-    """Store-backed search: points written to a versioned collection (partitioned by
-    type), read back with the P1 filter pruning partitions, then searched."""
-    import uuid
-
+    """Store-backed search: points written to a collection (partitioned by type),
+    read back with the P1 filter pruning partitions, then searched."""
     from docweave.operators.filters import metadata_filter
     from docweave.operators.search import search
     from docweave.plans.search_queries import FILTER
     from docweave.plans.views import question_queries
-    from docweave.session import scratch_path
 
-    coll = K.Collection(spark, scratch_path(spark, f"collection-{uuid.uuid4().hex}"), "documents")
-    coll.create(64)
-    coll.upsert(chunk_points(spark, sf).select(*K.POINT_COLUMNS))
-    pts = metadata_filter(coll.read(), FILTER)
-    return search(pts, question_queries(spark, sf))
+    coll = _new_collection(spark)
+    coll.upsert(_stored_points(spark, sf))
+    return search(metadata_filter(coll.read(), FILTER), question_queries(spark, sf), distance=coll.meta()["distance"])
 
 
 QUERIES = {
@@ -142,6 +179,7 @@ QUERIES = {
     "rebuild_document": rebuild_document,
     "point_count": point_count,
     "create_collection": create_collection,
+    "stored_changes": stored_changes,
     "lookup_documents": lookup_documents,
     "append_points": append_points,
     "replace_document": replace_document,
@@ -178,7 +216,16 @@ ORACLE = {
     "rebuild_document": _CK + """
     SELECT filename, string_agg(text, chr(10) ORDER BY chunk_index) AS text, CAST(count(*) AS BIGINT) AS chunks FROM pts GROUP BY filename""",
     "point_count": _CK + "\n    SELECT 'documents' AS collection, CAST(count(*) AS BIGINT) AS points FROM pts",
-    "create_collection": _CK + "\n    SELECT 'documents' AS collection, 64 AS dim, 'Cosine' AS distance, CAST(count(*) AS BIGINT) AS points FROM pts",
+    "create_collection": _CK + """,
+    n AS (SELECT count(*) AS n FROM pts)
+    SELECT 'new' AS step, 'documents' AS collection, CAST(64 AS BIGINT) AS dim, 'Cosine' AS distance, CAST(0 AS BIGINT) AS points,
+           '{"collection":"documents","size":"64","status":"created"}' AS report
+    UNION ALL SELECT 'insert', 'documents', 64, 'Cosine', n, '{"inserted":"' || CAST(n AS VARCHAR) || '","status":"indexed"}' FROM n
+    UNION ALL SELECT 'insert again', 'documents', 64, 'Cosine', n, '{"inserted":"0","status":"indexed"}' FROM n
+    UNION ALL SELECT 'recreate', 'documents', 32, 'Dot', 0, '{"collection":"documents","size":"32","status":"recreated"}'""",
+    "stored_changes": _CK + """
+    SELECT point_id, filename, CAST(chunk_index AS BIGINT) AS chunk_index, type FROM pts
+    WHERE filename NOT IN (SELECT filename FROM tox) AND (type <> 'ES' OR chunk_index = 0)""",
     "lookup_documents": _CK + """
     SELECT filename, CAST(chunk_index AS BIGINT) AS chunk_index, text FROM pts
     WHERE filename IN (SELECT d.filename FROM docs d JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality = 1)""",
@@ -193,7 +240,9 @@ ORACLE = {
     SELECT r.filename, CAST(coalesce((SELECT count(*) FROM pts p WHERE p.filename = r.filename), 0) AS BIGINT) AS deleted FROM req r""",
     "delete_state": _CK + """
     SELECT point_id, filename, CAST(chunk_index AS BIGINT) AS chunk_index FROM pts WHERE filename NOT IN (SELECT filename FROM tox)""",
-    "clear_collection": _CK + "\n    SELECT true AS success, CAST(count(*) AS BIGINT) AS deleted FROM pts",
+    "clear_collection": _CK + """
+    SELECT 'clear' AS step, 'documents' AS collection, CAST(64 AS BIGINT) AS dim, 'Cosine' AS distance, CAST(0 AS BIGINT) AS points,
+           '{"deleted":"' || CAST(count(*) AS VARCHAR) || '","success":"true"}' AS report FROM pts""",
     "dim_guard": _MIXED + """
     SELECT filename, CAST(count(*) AS BIGINT) AS requested_chunks,
            CASE WHEN bool_or(len(vec) <> 64) THEN 'embedding_dim_mismatch' ELSE 'indexed' END AS status FROM mixed GROUP BY filename""",

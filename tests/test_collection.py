@@ -71,3 +71,35 @@ def test_upload_status_and_reindex_with_missing_vectors(spark):
     r = reindex(p, 4, lambda df, t, o: with_hash_embedding(df, t, o, 4)).orderBy("chunk_index").collect()
     assert [x.reembedded for x in r] == [False, True, False, False]
     assert all(x.reindex_ok for x in r) and len(r[1].vector) == 4
+
+
+def test_replace_and_reindex_touch_only_their_buckets(spark, tmp_path):
+    from pathlib import Path
+
+    from docweave.functions.vectors import with_hash_embedding
+
+    c = Collection(spark, f"{tmp_path}/c")
+    c.create(4, buckets=8)
+    c.upsert(pts(spark, range(30)))
+    files = lambda: {p: p.stat().st_mtime_ns for p in Path(f"{tmp_path}/c/points").rglob("part-*.parquet")}
+    before = files()
+    new = pts(spark, [1]).withColumn("text", F.lit("new")).withColumn("point_id", F.lit("n1"))
+    assert c.replace(new) == {"status": "indexed", "inserted": 1}
+    got = {r.point_id: r.text for r in c.read().collect()}
+    assert len(got) == 21 and got["n1"] == "new" and "id1" not in got and "id0" in got
+    kept = {p for p in before if p in files()}
+    assert kept and len(kept) < len(before)
+    assert c.replace(pts(spark, [2], dim=3))["rejected"] == 1
+    other = Collection(spark, f"{tmp_path}/d")
+    other.create(3)
+    other.upsert(pts(spark, range(6), dim=3))
+    other._known = lambda: {"dim": 4, "buckets": 16}  # the collection moves to another dimension
+    assert other.reindex(lambda df, t, o: with_hash_embedding(df, t, o, 4)) == {"reembedded": 6, "failed": 0}
+    assert {len(r.vector) for r in other.read().collect()} == {4}
+    assert c.create(5, mode="recreate", confirm=True)["status"] == "recreated"
+    assert c.read().count() == 0 and c.meta()["dim"] == 5
+
+
+def test_an_unreadable_place_is_an_error(spark):
+    with pytest.raises(Exception):  # noqa: B017 - whatever the file system raises
+        Collection(spark, "nosuchscheme://x/c").meta()
