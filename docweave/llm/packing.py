@@ -29,13 +29,16 @@ _FAR = np.int64(1) << 60
 
 
 class WordTokenizer:
-    """Ids of whole texts for a vocabulary that drops white space.
+    """Ids of whole texts for a vocabulary that drops white space and case.
 
     No match of its pattern contains white space, so the ids of a text are those
-    of its words; each distinct word is encoded by the library once while known.
+    of its words. Words not known yet go to the library many at once, with a word
+    between them that is one token and stands in none of them.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    BETWEEN = "\x01"
+
+    def __init__(self, path: str, limit: int = 900_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -43,24 +46,39 @@ class WordTokenizer:
         self.library.no_truncation()
         self.limit = limit
         self.known: dict[bytes, bytes] = {}
+        (self.between,) = self._encode(self.BETWEEN)
+
+    def _encode(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
+
+    @staticmethod
+    def words(text: str) -> list[bytes]:
+        if "<|" not in text and max(text, default="") < "\u0100":  # lower case is one to one, and no special string appears
+            text = text.lower()
+        return text.encode().split()
 
     def learn(self, words: set[bytes]) -> None:
         if len(self.known) + len(words) > self.limit:
             self.known.clear()
         new = [w for w in words if w not in self.known]
-        for start in range(0, len(new), 4096):
-            part = new[start : start + 4096]
-            for word, e in zip(part, self.library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[word] = np.array(e.ids, "<u4").tobytes()
-
-    def ids(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        words = text.encode().split()
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            self.learn(set(words))
-            return b"".join(map(self.known.__getitem__, words))
+        alone = [w for w in new if b"\x01" in w or b"<|" in w or len(w) > 1000]
+        for w in alone:
+            self.known[w] = np.array(self._encode(w.decode()), "<u4").tobytes()
+        new = [w for w in new if w not in self.known]
+        mark = f"\n{self.BETWEEN}\n"
+        for start in range(0, len(new), 2000):
+            part = new[start : start + 2000]
+            ids = np.array(self._encode(mark.join([w.decode() for w in part])), "<u4")
+            cut = np.flatnonzero(ids == self.between)
+            if len(cut) != len(part) - 1:
+                raise ValueError("the word between words stands in one of them")
+            data = ids.tobytes()
+            begin, end = [0, *(4 * cut + 4).tolist()], [*(4 * cut).tolist(), len(data)]
+            self.known.update(zip(part, [data[i:j] for i, j in zip(begin, end, strict=True)], strict=True))
+
+    def ids(self, words: list[bytes]) -> bytes:
+        """Ids of known words as little-endian unsigned 32-bit integers."""
+        return b"".join(map(self.known.__getitem__, words))
 
 
 @lru_cache(maxsize=2)
@@ -139,8 +157,8 @@ def pack_documents(df: DataFrame, vocabulary_path: str, end_id: int = 1, size: i
                 rows.clear()
 
         for batch in slices(batches):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            words.learn({w for t in texts for w in t.encode().split()})
+            texts = [words.words(t or "") for t in batch.column(1).to_pylist()]
+            words.learn(set().union(*texts))
             for doc, text in zip(batch.column(0).to_pylist(), texts, strict=True):
                 ids = words.ids(text) + end
                 total = len(ids) // 4
