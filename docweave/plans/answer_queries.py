@@ -55,7 +55,10 @@ def parse_source_marker(spark, sf):
 
 
 def classify_error(spark, sf):
+    """F17; every third failure names the content filter, every seventh the usage policy."""
     r = request_log(spark, sf).where(~F.col("success"))
+    named = F.when(F.pmod("request_id", F.lit(3)) == 0, " Content_Filter hit").when(F.pmod("request_id", F.lit(7)) == 0, " ResponsibleAIPolicyViolation").otherwise("")
+    r = r.withColumn("error", F.concat("error", named))
     c = r.select("request_id", "status_code", _classify_error(F.col("error"), F.col("status_code")).alias("cleaned"))
     return c.select("request_id", "status_code", "cleaned", user_facing_answer("cleaned").alias("answer"))
 
@@ -152,7 +155,7 @@ ORACLE = {
         WITH r AS (
           SELECT event_id AS request_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events WHERE event_type = 'error'),
         c AS (SELECT request_id, CASE WHEN k % 2 = 0 THEN 400 ELSE 500 END AS status_code,
-                     'request failed k=' || CAST(k AS VARCHAR) AS error FROM r)
+                     'request failed k=' || CAST(k AS VARCHAR) || CASE WHEN request_id % 3 = 0 THEN ' Content_Filter hit' WHEN request_id % 7 = 0 THEN ' ResponsibleAIPolicyViolation' ELSE '' END AS error FROM r)
         SELECT request_id, status_code,
                CASE WHEN contains(lower(error), 'content_filter') OR contains(lower(error), 'responsibleaipolicyviolation') OR status_code = 400
                     THEN '{C.CONTENT_FILTER_MARKER}' ELSE '{C.GENERIC_FAILURE_ANSWER}' END AS cleaned,

@@ -33,14 +33,17 @@ def matrix_topk(spark, sf):
     return h.select("query_id", "rank", "point_id", "score")
 
 
+WIDE = 300  # hits per query, enough that some lie below every threshold
+
+
 def score_threshold(spark, sf):
-    fetch = min(2 * C.TOP_K, C.MAX_SEARCH_LIMIT)
+    fetch = WIDE
     h = S.store_threshold(S.exact_topk(embedding_vectors(spark, sf), label_centroid_queries(spark, sf), fetch))
     return h.select("query_id", "rank", "point_id", "score", (F.col("score") > C.SIMILARITY_THRESHOLD).alias("above_hit_threshold"))
 
 
 def relative_confidence(spark, sf):
-    h = S.search(embedding_vectors(spark, sf), label_centroid_queries(spark, sf), C.TOP_K, payload_from=embedding_payload(spark, sf))
+    h = S.exact_topk(embedding_vectors(spark, sf), label_centroid_queries(spark, sf), WIDE)
     return S.relative_confidence(h).select("query_id", "rank", "point_id", "score")
 
 
@@ -233,8 +236,8 @@ ORACLE = {
     "topk_search": _CHUNK_SEARCH + _SEARCH_OUT,
     "filtered_search": _FILTERED_SEARCH + _SEARCH_OUT,
     "matrix_topk": _EMB + ",\n    hits AS (" + _topk("epoints", "centroids", C.TOP_K, "p.point_id") + ")\n    SELECT query_id, CAST(rank AS INTEGER) AS rank, point_id, score FROM hits",
-    "score_threshold": _EMB + ",\n    hits AS (" + _topk("epoints", "centroids", 10, "p.point_id") + ")\n    SELECT query_id, CAST(rank AS INTEGER) AS rank, point_id, score, score > 0.3 AS above_hit_threshold FROM hits WHERE score >= 0.15",
-    "relative_confidence": _EMB + ",\n    hits AS (" + _topk("epoints", "centroids", C.TOP_K, "p.point_id") + "),\n    " + _CONF + "\n    SELECT query_id, CAST(rank AS INTEGER) AS rank, point_id, score FROM hits2",
+    "score_threshold": _EMB + ",\n    hits AS (" + _topk("epoints", "centroids", WIDE, "p.point_id") + ")\n    SELECT query_id, CAST(rank AS INTEGER) AS rank, point_id, score, score > 0.3 AS above_hit_threshold FROM hits WHERE score >= 0.15",
+    "relative_confidence": _EMB + ",\n    hits AS (" + _topk("epoints", "centroids", WIDE, "p.point_id") + "),\n    " + _CONF + "\n    SELECT query_id, CAST(rank AS INTEGER) AS rank, point_id, score FROM hits2",
     "search_index_sources": _SI_HITS + "\n    SELECT query_id, CAST(rank AS INTEGER) AS rank, title, round(score, 3) AS similarity_score FROM sel WHERE is_new_title",
     "search_index_context": _SI_HITS + "\n    SELECT query_id, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS context, CAST(count(*) AS BIGINT) AS n_chunks FROM sel GROUP BY query_id",
     "distinct_sources": _CHUNK_SEARCH + "\n    SELECT query_id, string_agg(DISTINCT filename, ', ' ORDER BY filename) AS sources FROM hits GROUP BY query_id",

@@ -54,13 +54,23 @@ def _user_turns(spark, sf):
     return table(spark, sf, "conversations").where(F.col("role") == "user")
 
 
+#: What user turns are made into, by conv_id mod 9, so that every rule meets text it decides on ("@" is the turn).
+ASKED = ["@", "outlook printer @", "recipe for @", "Windows cooking @", "12 + 7 * (3 - 1)", "what is 12 plus 7", "  ", "teams login password @", "@ @ @ @ @ @ @ @ @ @ @ @ @ @ @ @ @ @ @ @ @ @ @ @"]
+
+
+def asked(spark, sf):
+    """The user turns, some turned into questions of each kind that the rules tell apart."""
+    kind = F.element_at(F.array(*map(F.lit, ASKED)), (F.pmod("conv_id", F.lit(len(ASKED))) + 1).cast("int"))
+    return _user_turns(spark, sf).select("conv_id", "turn", F.replace(kind, F.lit("@"), F.coalesce("text", F.lit(""))).alias("text"))
+
+
 def expand_query(spark, sf):
-    q = _user_turns(spark, sf)
+    q = asked(spark, sf)
     return q.select("conv_id", "turn", T.expand_query("text").alias("expanded"))
 
 
 def classify_domain(spark, sf):
-    c = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    c = asked(spark, sf)
     b = table(spark, sf, "benchmark").select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("item_id").alias("turn"), "text")
     u = c.unionByName(b)
     d = u.select("conv_id", "turn", T.classify_domain("text").alias("d"), T.is_math("text").alias("is_math"))
@@ -68,7 +78,7 @@ def classify_domain(spark, sf):
 
 
 def validate_query(spark, sf):
-    q = _user_turns(spark, sf)
+    q = asked(spark, sf)
     v = q.select("conv_id", "turn", T.validate_query("text").alias("v"))
     return v.select("conv_id", "turn", F.col("v.is_valid").alias("is_valid"), F.col("v.message").alias("message"))
 
@@ -106,6 +116,11 @@ def _domain_sql(col):
     return blank, math, dom
 
 
+def _asked_sql():
+    kinds = " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(ASKED))
+    return f"(SELECT conv_id, turn, replace(CASE conv_id % {len(ASKED)} {kinds} END, '@', coalesce(text, '')) AS text FROM conversations WHERE role = 'user')"
+
+
 def _oracle():
     from docweave import config as C
     blank, math, dom = _domain_sql("text")
@@ -131,11 +146,11 @@ def _oracle():
             FROM docs""",
         "expand_query": f"""
             SELECT conv_id, turn, {_SYN} AS expanded
-            FROM (SELECT conv_id, turn, {_NORM} AS q FROM conversations WHERE role = 'user')""",
+            FROM (SELECT conv_id, turn, {_NORM} AS q FROM {_asked_sql()})""",
         "classify_domain": f"""
             SELECT conv_id, turn, {dom} AS domain, CASE WHEN {blank} THEN false ELSE ({dom}) IN ('it', 'unknown') END AS is_it,
                    coalesce({math}, false) AS is_math
-            FROM (SELECT conv_id, turn, text FROM conversations
+            FROM (SELECT conv_id, turn, text FROM {_asked_sql()}
                   UNION ALL SELECT CAST(-1 AS BIGINT), item_id, text FROM benchmark)""",
         "validate_query": f"""
             SELECT conv_id, turn, message IS NULL AS is_valid, message FROM (
@@ -143,7 +158,7 @@ def _oracle():
                 CASE WHEN {blank} THEN '{C.EMPTY_QUERY_MESSAGE}'
                      WHEN length(text) > {C.MAX_QUERY_CHARS} THEN '{C.LONG_QUERY_MESSAGE}'
                      WHEN ({dom}) = 'non_it' THEN '{C.NON_IT_MESSAGE.replace("'", "''")}' END AS message
-              FROM conversations WHERE role = 'user')""",
+              FROM {_asked_sql()})""",
     }
 
 
