@@ -1,10 +1,13 @@
-"""Global row order without a single-partition window.
+"""Global order over time without a single-partition window of rows, and without writing anything.
 
-``row_number() over (order by ...)`` with no partition key pulls every row into
-one task. Instead: range-partition and sort (``orderBy``), number rows inside
-each partition, count rows per partition (a table with one row per partition,
-so its size is bounded by the partition count and it is safe to broadcast),
-prefix-sum those counts and add the offset back.
+Rows are put into time buckets (a minute by default). A small table of counts
+per bucket is summed up in bucket order; inside a bucket rows are numbered by a
+window, and the bucket's offset is added. So one shuffle by bucket numbers all
+rows; the only window without a key runs over buckets, whose number follows from
+the time span, not from the number of rows. ``bucket`` must be fine enough that
+one bucket's rows fit a task (a second, for very dense logs).
+
+The first order column is the time; the order must be total.
 """
 
 from __future__ import annotations
@@ -12,52 +15,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.session import ensure_checkpoint_dir
+BUCKET = "MINUTE"
 
-_LOCAL_BITS = 33  # monotonically_increasing_id = partition id << 33 | row index
 
+def _numbered(df: DataFrame, order_cols: list, bucket: str, flag: str | None) -> DataFrame:
+    """``df`` with ``__row`` and, for a flag column, ``__flagged``: running counts in the global order, inclusive."""
+    d = df.withColumn("__bucket", F.date_trunc(bucket, F.col(order_cols[0])))
+    flagged = F.coalesce(F.col(flag), F.lit(False)).cast("long") if flag else F.lit(0).cast("long")
+    counts = d.groupBy("__bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(flagged).alias("f"))
+    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offset = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    offsets = counts.select("__bucket", offset("n").alias("__n"), offset("f").alias("__f"))
+    inside = Window.partitionBy("__bucket").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("__i", F.row_number().over(inside)).withColumn("__j", F.sum(flagged).over(inside))
+    j = d.join(offsets, d["__bucket"].eqNullSafe(offsets["__bucket"])).drop(offsets["__bucket"])
+    return j.withColumn("__row", F.col("__n") + F.col("__i")).withColumn("__flagged", F.col("__f") + F.col("__j")).drop("__bucket", "__n", "__f", "__i", "__j")
 
-def with_global_row_number(df: DataFrame, order_cols: list, out: str = "row_no") -> DataFrame:
-    """Add a 1-based global row number in ``order_cols`` order (make the order total).
 
-    The sorted, locally numbered rows are written once with a reliable
-    ``checkpoint()`` (under ``spark.checkpoint.dir``): the per-partition counts
-    and the final join both read that copy, so the data is sorted once, both
-    uses see identical partitions, and the lineage is cut.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    s = df.orderBy(*order_cols).withColumn("__mid", F.monotonically_increasing_id()).checkpoint()
-    s = s.withColumn("__pid", F.shiftright("__mid", _LOCAL_BITS)).withColumn(
-        "__loc", F.col("__mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
-    counts = s.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = counts.select(
-        "__pid", F.coalesce(F.sum("__n").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
-    j = s.join(F.broadcast(offsets), "__pid")
-    return j.withColumn(out, F.col("__off") + F.col("__loc") + 1).drop("__mid", "__pid", "__loc", "__off")
-
-
-def trailing_rows_mean(df: DataFrame, order_cols: list, value: str, n_rows: int, out: str, bucket_rows: int = 100_000) -> DataFrame:
+def with_global_row_number(df: DataFrame, order_cols: list, out: str = "row_no", bucket: str = BUCKET) -> DataFrame:
+    """Add a 1-based global row number in ``order_cols`` order; rows without a time come first."""
+    return _numbered(df, order_cols, bucket, None).withColumnRenamed("__row", out).drop("__flagged")
+
+
+def trailing_rows_mean(df: DataFrame, order_cols: list, value: str, n_rows: int, out: str, bucket_rows: int = 100_000, bucket: str = BUCKET) -> DataFrame:
     """Mean of ``value`` over the last ``n_rows`` rows (current included) in a global order.
 
-    Rows are cut into fixed-size buckets by global row number; each bucket also
-    receives the last ``n_rows - 1`` rows of the bucket before it (a halo), so a
-    window partitioned by bucket sees everything it needs. Buckets have a fixed
-    size, so no key can be hot.
+    Rows are cut into parts of fixed size by global row number; each part also
+    receives the last ``n_rows - 1`` rows of the part before it, so a window
+    by part sees all it needs and no part is larger than another.
     """
-    numbered = with_global_row_number(df, order_cols, "__rn")
-    b = F.floor((F.col("__rn") - 1) / bucket_rows)
-    own = numbered.withColumn("__bucket", b).withColumn("__halo", F.lit(False))
-    pos_in_bucket = (F.col("__rn") - 1) % bucket_rows
-    halo = numbered.where(pos_in_bucket >= bucket_rows - (n_rows - 1)).withColumn("__bucket", b + 1).withColumn("__halo", F.lit(True))
-    both = own.unionByName(halo)
-    w = Window.partitionBy("__bucket").orderBy("__rn").rowsBetween(-(n_rows - 1), Window.currentRow)
-    res = both.withColumn(out, F.avg(value).over(w)).where(~F.col("__halo"))
-    return res.drop("__bucket", "__halo")
-
-
-def running_count(df: DataFrame, order_cols: list, flag: str, total_out: str, flag_out: str) -> DataFrame:
-    """Rows where ``flag`` is true, with the number of rows and of flagged rows up
-    to and including each (global order): both are row numbers - of all rows, then
-    among the flagged rows - so no per-row window or hash shuffle is needed."""
-    allnum = with_global_row_number(df, order_cols, total_out)
-    return with_global_row_number(allnum.where(F.col(flag)), order_cols, flag_out)
+    numbered = with_global_row_number(df, order_cols, "__rn", bucket)
+    part = F.floor((F.col("__rn") - 1) / bucket_rows)
+    own = F.struct(part.alias("part"), F.lit(False).alias("halo"))
+    next_ = F.when((F.col("__rn") - 1) % bucket_rows >= bucket_rows - (n_rows - 1), F.struct((part + 1).alias("part"), F.lit(True).alias("halo")))
+    both = numbered.withColumn("__at", F.explode(F.filter(F.array(own, next_), lambda x: x.isNotNull())))
+    w = Window.partitionBy("__at.part").orderBy("__rn").rowsBetween(-(n_rows - 1), Window.currentRow)
+    return both.withColumn(out, F.avg(value).over(w)).where(~F.col("__at.halo")).drop("__at", "__rn")
+
+
+def running_count(df: DataFrame, order_cols: list, flag: str, total_out: str, flag_out: str, bucket: str = BUCKET) -> DataFrame:
+    """Rows where ``flag`` is true, with the number of rows and of flagged rows up to and including each."""
+    n = _numbered(df, order_cols, bucket, flag)
+    return n.where(F.col(flag)).withColumnRenamed("__row", total_out).withColumnRenamed("__flagged", flag_out)
