@@ -81,7 +81,13 @@ def metric_window(spark, sf):
     return m.select("sample_id", F.round("rss_mb", 3).alias("rss_mb"), "level", F.round("rss_mean_window", 6).alias("rss_mean_window"))
 
 
+def orphan_ends(spark, sf):
+    """Ends of requests whose start was never tracked."""
+    return M.orphan_ends(request_marks(spark, sf)).select("request_id", F.date_format("end_ts", "yyyy-MM-dd HH:mm:ss").alias("end_ts"))
+
+
 QUERIES = {
+    "orphan_ends": orphan_ends,
     "request_totals": request_totals,
     "endpoint_stats": endpoint_stats,
     "request_durations": request_durations,
@@ -106,10 +112,11 @@ REQ_CTE = """
              value * 1000.0 AS duration_ms
       FROM ev),
     marks AS (
-      SELECT event_id // 2 AS request_id, CASE WHEN event_id % 2 = 0 THEN 'start' ELSE 'end' END AS mark,
+      SELECT event_id // 2 AS request_id, CASE WHEN event_id % 2 = 0 AND event_type = 'error' THEN 'refused' WHEN event_id % 2 = 0 THEN 'start'
+                  WHEN event_type = 'view' THEN 'progress' ELSE 'end' END AS mark,
              ['/upload', '/search', '/documents', '/optimize', '/reset'][(k % 5) + 1] AS endpoint, ts,
              event_type <> 'error' AS success, event_type
-      FROM ev WHERE event_id % 2 = 0 OR event_type <> 'view'),
+      FROM ev),
     starts AS (SELECT * FROM marks WHERE mark = 'start'),
     ends AS (SELECT * FROM marks WHERE mark = 'end'),
     active AS (SELECT s.* FROM starts s ANTI JOIN ends e ON s.request_id = e.request_id)"""
@@ -121,6 +128,8 @@ _STATS = ("SELECT endpoint, count(*) AS count, CAST(count_if(NOT success) AS BIG
 _BUDGET = "CASE WHEN endpoint = '/upload' THEN 120000.0 WHEN endpoint = '/admin/upload_vectors' THEN 300000.0 ELSE 10000.0 END"
 
 ORACLE = {
+    "orphan_ends": W + f"""
+    SELECT request_id, {F_TS.format(c='ts')} AS end_ts FROM ends e ANTI JOIN starts s ON s.request_id = e.request_id""",
     "request_totals": W + f"""
         SELECT count(*) AS total, CAST(count_if(success) AS BIGINT) AS success, CAST(count_if(NOT success) AS BIGINT) AS failed,
                round(coalesce(avg(duration_ms), 0.0), 2) AS avg_latency_ms, {F_TS.format(c='max(ts)')} AS last_request_ts FROM req""",

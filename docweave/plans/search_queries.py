@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docweave import config as C
 from docweave.functions.answers import route_answer
 from docweave.operators import search as S
+from docweave.operators.collection import scroll as scroll_page
 from docweave.operators.filters import metadata_filter
 from docweave.sources.tables import table
 from docweave.plans.text_queries import _SYN
@@ -122,7 +123,15 @@ def search_index_end_to_end(spark, sf):
                     F.array_join(F.transform("s", lambda x: x["title"]), " | ").alias("sources"), F.col("n_chunks").cast("bigint"))
 
 
+def scroll(spark, sf):
+    """The third page of 50 points in key order."""
+    points = embedding_payload(spark, sf).select("point_id", "filename")
+    second = scroll_page(points, 100).agg(F.max("point_id").alias("last")).first()["last"]  # the key a client would send back
+    return scroll_page(points, 50, after=second)
+
+
 QUERIES = {
+    "scroll": scroll,
     "cosine_search": cosine_search,
     "vector_dot": vector_dot,
     "vector_cosine": vector_cosine,
@@ -219,6 +228,7 @@ _EXPANDED_CTE = """
     queries AS (""" + hash_embed_sql("qtext", "query_id", "query", 64) + ")"
 
 ORACLE = {
+    "scroll": "SELECT CAST(vec_id AS VARCHAR) AS point_id, 'file_' || CAST(label AS VARCHAR) || '.pdf' AS filename FROM embeddings ORDER BY point_id LIMIT 50 OFFSET 100",
     "cosine_search": _EMB + ",\n    lpoints AS (SELECT point_id, list_transform(vec, lambda x: x * (1 + CAST(point_id AS BIGINT) % 7)) AS vec FROM epoints),\n    hits AS (" + _topk("lpoints", "centroids", C.TOP_K, "p.point_id") + ")\n    SELECT query_id, CAST(rank AS INTEGER) AS rank, point_id, score FROM hits",
     "search_index_end_to_end": "WITH RECURSIVE " + chunk_points_ctes(64) + "," + _EXPANDED_CTE
     + ",\n    fpoints AS (SELECT * FROM points WHERE type = 'EN' AND uploaded_at >= TIMESTAMP '2024-01-05' AND uploaded_at < TIMESTAMP '2024-02-11')"

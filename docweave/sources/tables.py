@@ -80,8 +80,11 @@ def requests_of(e: DataFrame) -> DataFrame:
 
 
 def request_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Start / end marks of requests: even event ids start request ``id div 2``,
-    odd ones end it; odd ``view`` events are lost ends (requests still active)."""
+    """Marks of requests, one per event: even ids start request ``id div 2``, odd ones end it.
+
+    An even ``error`` event is a request refused before its start was tracked (its
+    end is an orphan), an odd ``view`` event a sign of progress (the request goes on).
+    """
     return marks_of(table(spark, sf_dir, "events"))
 
 
@@ -90,9 +93,11 @@ def marks_of(e: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     endpoints = F.array(*[F.lit(x) for x in ENDPOINTS])
     is_start = F.col("event_id") % 2 == 0
-    return e.where(is_start | (F.col("event_type") != "view")).select(
+    kind = (F.when(is_start & (F.col("event_type") == "error"), "refused").when(is_start, "start")
+            .when(F.col("event_type") == "view", "progress").otherwise("end"))
+    return e.select(
         (F.col("event_id") / 2).cast("bigint").alias("request_id"),
-        F.when(is_start, F.lit("start")).otherwise(F.lit("end")).alias("mark"),
+        kind.alias("mark"),
         F.try_element_at(endpoints, (k % 5) + 1).alias("endpoint"),
         F.col("ts"),
         (F.col("event_type") != "error").alias("success"),
