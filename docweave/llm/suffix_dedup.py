@@ -15,7 +15,7 @@ that starts ``d`` bytes before its anchor is repeated exactly when another
 suffix lies in its interval of common prefix ``size - d`` and in its interval of
 common preceding text ``d``. So decisions rest on bytes, not on hashes.
 
-A k-mer with more than ``hot`` anchors is not gathered in one task: its strings
+A k-mer with more than ``hot`` anchors (some 40 MB) is not gathered in one task: its strings
 are matched by 128-bit hashes, spread by string. Equal texts are one unit.
 
 Defined results: a null text counts as empty; a text below ``size`` bytes loses
@@ -38,7 +38,7 @@ from docweave.llm.repeats import groups, repeated_rows, route, whole_partition
 from docweave.llm.substring_dedup import keyed_texts, text_keys
 from docweave.llm.wordhash import mix, powers
 
-SIZE, KMER, HOT = 200, 32, 2000
+SIZE, KMER, HOT = 200, 32, 100_000
 _SLICE = 2 << 20
 _PLACE = np.uint64((1 << 24) - 1)
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -196,7 +196,8 @@ def _suffixes(candidates: DataFrame, size: int, kmer: int) -> DataFrame:
             place = b.begin[text] + value["at"]
             for s in range(0, len(text), 8192):
                 t, p = text[s : s + 8192], place[s : s + 8192, None] + step
-                inside = (p >= b.begin[t][:, None]) & (p < b.end[t][:, None])
+                least, most = value["lo"][s : s + 8192, None], value["hi"][s : s + 8192, None]
+                inside = (p >= b.begin[t][:, None]) & (p < b.end[t][:, None]) & (step >= -most) & (step < size - least)  # what a string can reach
                 around = np.where(inside, b.data[np.where(inside, p, 0)], 0).astype(np.uint8)
                 raw = pa.Array.from_buffers(pa.binary(back + ahead), len(t), [None, pa.py_buffer(around.tobytes())])
                 own = {n: pa.array(v[s : s + 8192]) for n, v in value.items()}
