@@ -55,8 +55,12 @@ def text_keys(text: Column) -> tuple[Column, Column]:
 
 
 def _anchors(texts: DataFrame, window: int, period: int, cover: tuple[int, ...]) -> DataFrame:
-    """(to, sure, anchor, k1, k2, at) for every cover position from which a window or its rest may start."""
-    names = ["anchor", "k1", "k2", "at", "to", "sure"]
+    """(k1, at, to, sure) for every cover position from which a window or its rest may start.
+
+    ``to`` is the anchor's hash, but for sure rows that are spread. Texts are named by k1
+    alone here: where two share it, both get the other's places, which only adds candidates.
+    """
+    names = ["k1", "at", "to", "sure"]
     schema = pa.schema([(n, pa.int64()) for n in names])
     in_cover = np.zeros(period, bool)
     in_cover[list(cover)] = True
@@ -76,20 +80,21 @@ def _anchors(texts: DataFrame, window: int, period: int, cover: tuple[int, ...])
             if not len(chosen):
                 continue
             anchor, text, at = w.runs(size)[chosen], text[chosen], at[chosen]
-            k1, k2 = batch.column(1).to_numpy()[text], batch.column(2).to_numpy()[text]
+            k1 = batch.column(1).to_numpy()[text]
             to, sure = route(k1, anchor)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (anchor.view(np.int64), k1, k2, at.astype(np.int64), to, sure.astype(np.int64))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (k1, at.astype(np.int64), to, sure.astype(np.int64))], schema=schema)
 
     return texts.select("text", "k1", "k2").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def _windows(candidates: DataFrame, window: int, period: int) -> DataFrame:
-    """(w1, w2, doc, k1, k2, at, length, to): windows over shared anchors, the earliest of each slice alone.
+    """(w2, doc, k1, at, length, to): windows over shared anchors, the earliest of each slice alone.
 
     A window that a smaller id of its slice also holds is a copy already; runs of those come out
-    with ``length`` > 0 and go to any partition. The others have length 0 and go by their hash.
+    with ``length`` > 0 and go to any partition. The others have length 0 and go by their hash,
+    whose halves are ``to`` and ``w2``. (k1, doc) names the text.
     """
-    names = ["w1", "w2", "doc", "k1", "k2", "at", "length", "to"]
+    names = ["w2", "doc", "k1", "at", "length", "to"]
     schema = pa.schema([(n, pa.int64()) for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +102,7 @@ def _windows(candidates: DataFrame, window: int, period: int) -> DataFrame:
             w = Words([t.encode() for t in batch.column(0).to_pylist()])
             n = np.diff(w.first)
             wanted = np.zeros(len(w.hash) + 1, np.int64)
-            for i, anchors in enumerate(batch.column(4).to_pylist()):
+            for i, anchors in enumerate(batch.column(3).to_pylist()):
                 at = np.unique(np.array(anchors, np.int64))
                 lo, hi = np.maximum(at - period + 1, 0), np.minimum(at, n[i] - window) + 1
                 ok = lo < hi
@@ -111,7 +116,7 @@ def _windows(candidates: DataFrame, window: int, period: int) -> DataFrame:
             w2 = w.runs(window)[place]
             text = np.searchsorted(w.first, place, "right") - 1
             at = place - w.first[text]
-            k1, k2, doc = (batch.column(j).to_numpy()[text] for j in (1, 2, 3))
+            k1, doc = (batch.column(j).to_numpy()[text] for j in (1, 2))
             order, first = groups(w1, w2)
             earliest = np.minimum.reduceat(doc[order], np.flatnonzero(first))
             copy = np.empty(len(place), bool)
@@ -126,15 +131,15 @@ def _windows(candidates: DataFrame, window: int, period: int) -> DataFrame:
             rows = np.concatenate([runs, rest])
             size = np.concatenate([length, np.zeros(len(rest), np.int64)])
             to = np.concatenate([mix(w1[runs] + runs.astype(np.uint64)), w1[rest]]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w1[rows].view(np.int64), w2[rows].view(np.int64), doc[rows], k1[rows], k2[rows], at[rows].astype(np.int64), size.astype(np.int64), to)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w2[rows].view(np.int64), doc[rows], k1[rows], at[rows].astype(np.int64), size.astype(np.int64), to)], schema=schema)
 
-    return candidates.select("text", "k1", "k2", "doc", "anchors").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return candidates.select("text", "k1", "doc", "anchors").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def _copies(windows: DataFrame) -> DataFrame:
-    """(k1, k2, at, length): runs of consecutive window starts whose window a smaller id holds."""
+    """(k1, doc, at, length): runs of consecutive window starts whose window a smaller id holds."""
     names = windows.columns
-    schema = pa.schema([(n, pa.int64()) for n in ("k1", "k2", "at", "length")])
+    schema = pa.schema([(n, pa.int64()) for n in ("k1", "doc", "at", "length")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = whole_partition(batches, names)
@@ -144,15 +149,15 @@ def _copies(windows: DataFrame) -> DataFrame:
         open_ = np.flatnonzero(~done)
         chosen = np.zeros(len(done), bool)
         if len(open_):
-            order, first = groups(c["w1"][open_], c["w2"][open_])
+            order, first = groups(c["to"][open_], c["w2"][open_])
             doc = c["doc"][open_][order]
             earliest = np.minimum.reduceat(doc, np.flatnonzero(first))
             chosen[open_[order]] = doc > earliest[np.cumsum(first) - 1]
         rows = np.flatnonzero(done | chosen)
         length = np.maximum(c["length"][rows], 1)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c["k1"][rows], c["k2"][rows], c["at"][rows], length)], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c["k1"][rows], c["doc"][rows], c["at"][rows], length)], schema=schema)
 
-    return windows.repartition("to").mapInArrow(run, "k1 long, k2 long, at long, length long")
+    return windows.repartition("to").mapInArrow(run, "k1 long, doc long, at long, length long")
 
 
 def _result(texts: DataFrame, window: int, with_text: bool) -> DataFrame:
@@ -191,11 +196,13 @@ def remove_repeated_runs(df: DataFrame, window: int = WINDOW, period: int = PERI
     texts = keyed_texts(df, id_col, text_col)
     rows = texts.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), "doc_id", "k1", "k2")
     units = rows.groupBy("k1", "k2").agg(F.min("doc").alias("doc"))
-    shared = repeated_rows(_anchors(texts, window, period, cover), ["anchor"], ["k1", "k2"])
-    anchors = shared.groupBy("k1", "k2").agg(F.collect_set("at").alias("anchors"))
+    shared = repeated_rows(_anchors(texts, window, period, cover), ["to"], ["k1"])
+    anchors = shared.groupBy("k1").agg(F.collect_set("at").alias("anchors"))
+    named = units.join(anchors, "k1")
     one_each = texts.groupBy("k1", "k2").agg(F.first("text").alias("text"))
-    candidates = one_each.join(anchors, ["k1", "k2"]).join(units, ["k1", "k2"])
-    copies = _copies(_windows(candidates, window, period)).groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "length")).alias("runs"))
+    candidates = one_each.join(named, ["k1", "k2"])
+    copies = _copies(_windows(candidates, window, period)).groupBy("k1", "doc").agg(F.collect_list(F.struct("at", "length")).alias("runs"))
+    copies = copies.join(units, ["k1", "doc"]).select("k1", "k2", "runs")
     judged = _result(one_each.join(copies, ["k1", "k2"], "left"), window, with_text)
     later = (F.col("doc") > F.col("first_doc")) & (F.col("n_words") >= window)
     empty = F.sha2(F.lit(""), 256)
