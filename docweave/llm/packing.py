@@ -38,7 +38,7 @@ class WordTokenizer:
 
     BETWEEN = "\x01"
 
-    def __init__(self, path: str, limit: int = 900_000):
+    def __init__(self, path: str, limit: int = 1_500_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -61,6 +61,15 @@ class WordTokenizer:
         if len(self.known) + len(words) > self.limit:
             self.known.clear()
         new = [w for w in words if w not in self.known]
+        ended = []  # letters, then stops: the pattern parts them there
+        for w in new:
+            core = w.rstrip(b".,;:!?")
+            if len(core) < len(w) and core.isalpha():
+                ended.append((w, core, w[len(core) :]))
+        if ended:
+            done = {w for w, _, _ in ended}
+            parts = {p for _, core, stops in ended for p in (core, stops)}
+            new = [*(w for w in new if w not in done), *(p for p in parts if p not in self.known and p not in words)]
         alone = [w for w in new if b"\x01" in w or b"<|" in w or len(w) > 1000]
         for w in alone:
             self.known[w] = np.array(self._encode(w.decode()), "<u4").tobytes()
@@ -75,6 +84,9 @@ class WordTokenizer:
             data = ids.tobytes()
             begin, end = [0, *(4 * cut + 4).tolist()], [*(4 * cut).tolist(), len(data)]
             self.known.update(zip(part, [data[i:j] for i, j in zip(begin, end, strict=True)], strict=True))
+        known = self.known
+        for w, core, stops in ended:
+            known[w] = known[core] + known[stops]
 
     def ids(self, words: list[bytes]) -> bytes:
         """Ids of known words as little-endian unsigned 32-bit integers."""
