@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,14 +45,15 @@ class Memo(dict):
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that each slice holds about ``limit`` bytes of text, one row at least."""
+    """Cut Arrow batches by the running sum of text bytes: at most ``limit`` in a slice, or one longer row alone."""
     for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        whole = batch.column(batch.schema.get_field_index(text)).nbytes
-        rows = max(1, min(batch.num_rows, int(batch.num_rows * limit / max(whole, 1))))
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0)
+        end = np.cumsum(size.to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = done = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(end, done + limit, "right")))
+            yield batch.slice(start, stop - start)
+            start, done = stop, int(end[stop - 1])
 
 
 def arrow_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:

@@ -40,6 +40,8 @@ from docweave.llm.wordhash import mix, powers
 
 SIZE, KMER, HOT = 200, 32, 100_000
 _SLICE = 2 << 20
+#: Starts worked through at once, whatever a text's length; places in such a part fit below _PLACE.
+_PART = 2 << 20
 _PLACE = np.uint64((1 << 24) - 1)
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -52,24 +54,49 @@ class Bytes:
         self.end = np.cumsum(np.array([len(t) for t in texts], np.int64))
         self.begin = self.end - np.array([len(t) for t in texts], np.int64)
 
-    def hashes(self, length: int, base: np.uint64 = _B1) -> np.ndarray:
-        """Hash of the ``length`` bytes from each place at which so many are left."""
-        n = len(self.data)
+    def hashes(self, length: int, base: np.uint64 = _B1, start: int = 0, stop: int | None = None) -> np.ndarray:
+        """Hash of the ``length`` bytes from each place in [start, stop) at which so many are left."""
+        data = self.data[start:] if stop is None else self.data[start : stop + length - 1]
+        n = len(data)
         if n < length:
             return np.zeros(0, np.uint64)
         total = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers(base, n), out=total[1:])
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(base, n), out=total[1:])
         inverse = np.uint64(pow(int(base), -1, 1 << 64))
         return mix((total[length:] - total[:-length]) * powers(inverse, n)[: n - length + 1])
 
-    def anchors(self, size: int, kmer: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(k-mer hash, text, place, least and most bytes from a string's start to its anchor), over all strings."""
-        h = self.hashes(kmer)
+    def hashes_at(self, place: np.ndarray, length: int, base: np.uint64 = _B1, part: int = _PART) -> np.ndarray:
+        """The same at chosen places alone, part by part."""
+        out = np.empty(len(place), np.uint64)
+        for s in range(0, len(self.data), part):
+            inside = np.flatnonzero((place >= s) & (place < s + part))
+            if len(inside):
+                out[inside] = self.hashes(length, base, s, s + part)[place[inside] - s]
+        return out
+
+    def anchors(self, size: int, kmer: int, part: int = _PART) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(k-mer hash, text, place, least and most bytes from a string's start to its anchor), over all strings.
+
+        Worked through in parts of ``part`` starts, which overlap by what their last strings reach.
+        """
+        found = [self._anchors_from(s, part, size, kmer) for s in range(0, max(len(self.data), 1), part)]
+        h, text, place, lo, hi = (np.concatenate(c) for c in zip(*found, strict=True))
+        # an anchor whose starts lie in several parts stands once for each, one after the other
+        first = np.flatnonzero(np.diff(place, prepend=-1))
+        if len(first) < len(place):
+            lo, hi = np.minimum.reduceat(lo, first), np.maximum.reduceat(hi, first)
+        return h[first], text[first], place[first], lo, hi
+
+    def _anchors_from(self, begin: int, part: int, size: int, kmer: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``anchors`` of the strings that start in [begin, begin + part)."""
         width = size - kmer + 1
-        n = len(self.data) - size + 1
+        n = min(len(self.data) - size + 1 - begin, part)
         empty = np.zeros(0, np.int64)
         if n < 1:
             return empty.view(np.uint64), empty, empty, empty, empty
+        h = self.hashes(kmer, start=begin, stop=begin + n + width - 1)
+        if len(h) > int(_PLACE):
+            raise ValueError("a part must be short enough for its places to be packed")
         key = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
         blocks = np.full(-(-len(key) // width) * width, np.uint64((1 << 64) - 1))
         blocks[: len(key)] = key
@@ -77,15 +104,15 @@ class Bytes:
         ahead = np.minimum.accumulate(blocks, axis=1).ravel()
         behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
         least = (np.minimum(behind[:n], ahead[width - 1 : width - 1 + n]) & _PLACE).astype(np.int64)
-        text = np.searchsorted(self.end, np.arange(n), "right")
-        start = np.flatnonzero(np.arange(n) + size <= self.end[text])
+        text = np.searchsorted(self.end, np.arange(begin, begin + n), "right")
+        start = np.flatnonzero(np.arange(begin, begin + n) + size <= self.end[text])
         if not len(start):
             return empty.view(np.uint64), empty, empty, empty, empty
         at, text = least[start], text[start]
         first = np.flatnonzero(np.diff(at, prepend=-1))
         last = np.append(first[1:], len(at)) - 1
         place = at[first]
-        return h[place], text[first], place, place - start[last], place - start[first]
+        return h[place], text[first], place + begin, place - start[last], place - start[first]
 
 
 def _leading_bytes(x: np.ndarray) -> np.ndarray:
@@ -233,7 +260,6 @@ def _hashed(candidates: DataFrame, size: int) -> DataFrame:
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", _SLICE):
             b = Bytes([t.encode() for t in batch.column(0).to_pylist()])
-            w1, w2 = b.hashes(size), b.hashes(size, _B2)
             start, text = [], []
             for i, anchors in enumerate(batch.column(3).to_pylist()):
                 for x in anchors:
@@ -241,11 +267,12 @@ def _hashed(candidates: DataFrame, size: int) -> DataFrame:
                     start.append(own)
                     text.append(np.full(len(own), i))
             start, text = np.concatenate(start), np.concatenate(text)
-            to, sure = route(np.arange(len(start)), w1[start], w2[start])
+            w1, w2 = b.hashes_at(start, size), b.hashes_at(start, size, _B2)
+            to, sure = route(np.arange(len(start)), w1, w2)
             k1, k2 = batch.column(1).to_numpy()[text], batch.column(2).to_numpy()[text]
             for s in range(0, len(start), 1 << 16):
                 cut = slice(s, s + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(x[cut]) for x in (w1[start].view(np.int64), w2[start].view(np.int64), k1, k2, start - b.begin[text], to, sure.astype(np.int64))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(x[cut]) for x in (w1.view(np.int64), w2.view(np.int64), k1, k2, start - b.begin[text], to, sure.astype(np.int64))], schema=schema)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = whole_partition(batches, ["k1", "k2", "at"])

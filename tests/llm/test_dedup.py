@@ -1,13 +1,15 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import jaccard_components, repeated_bytes, smallest_reachable, substring_dedup
 
+from docweave.llm.common import slices
 from docweave.llm.components import components
 from docweave.llm.jaccard_join import near_duplicates
 from docweave.llm.substring_dedup import COVER, PERIOD, is_cover, remove_repeated_runs
-from docweave.llm.suffix_dedup import keep_unrepeated, remove_repeated_bytes
+from docweave.llm.suffix_dedup import Bytes, keep_unrepeated, remove_repeated_bytes
 from docweave.llm.vector_dedup import collisions_needed, vector_links
 
 WORDS = [f"w{i}" for i in range(4000)] + ["É", "ñandú", "中文", "A", "a"]
@@ -67,6 +69,32 @@ def test_suffix_dedup_by_suffixes_and_by_hashes(spark, seed):
     assert got == repeated_bytes(rows, 40)
 
 
+def test_suffix_dedup_behind_16_mib(spark):
+    letters = np.random.default_rng(7).integers(97, 123, (17 << 20) + 1000, np.uint8).tobytes().decode()
+    long, passage, tail = letters[: 17 << 20], letters[17 << 20 :][:300], letters[17 << 20 :][300:350]
+    rows = [(1, long + "É" + passage + tail), (2, "x" + passage), (3, letters[-500:])]
+    for hot in (100_000, 1):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in remove_repeated_bytes(frame(spark, rows), hot=hot).collect()}
+        assert got == {1: ((17 << 20) + 352, 300, 1), 2: (301, 300, 1), 3: (500, 0, 0)}
+
+
+def test_anchors_of_parts_are_those_of_the_whole():
+    texts = [t.encode() for _, t in corpus(8) if t]
+    want = [c.tolist() for c in Bytes(texts).anchors(200, 32)]
+    for part in (50, 333, 4096):
+        assert [c.tolist() for c in Bytes(texts).anchors(200, 32, part)] == want
+    place = np.arange(0, 5000, 3)
+    assert (Bytes(texts).hashes_at(place, 200, part=700) == Bytes(texts).hashes(200)[place]).all()
+
+
+def test_slices_follow_the_running_sum_of_bytes():
+    texts = ["a"] * 50 + ["b" * 90] * 5 + [None, "", "c" * 300] + ["é" * 10] * 9
+    got = [b.column(0).to_pylist() for b in slices([pa.RecordBatch.from_pydict({"text": texts})], limit=100)]
+    assert [t for b in got for t in b] == texts
+    assert all(len(b) == 1 or sum(len((t or "").encode()) for t in b) <= 100 for b in got)
+    assert list(slices([pa.RecordBatch.from_pydict({"text": pa.array([], pa.string())})])) == []
+
+
 def test_texts_stay_whole_characters(spark):
     same = "ñ" * 150
     rows = [(1, "é" + same), (2, "è" + same + "x"), (3, None), (4, "clean")]
