@@ -3,8 +3,12 @@ r"""Secrets in texts: fixed patterns, and values in credential contexts that are
 The cost of a value is the least sum, over all ways to cut it into segments, of
 the decimal logarithms of the guesses each segment takes: a known word (by rank,
 with capitals and look-alike digits), a date, a repeat, a walk on the keyboard,
-or characters tried one by one. Values whose cost reaches a threshold are added
-as ``guess`` spans; spans of the fixed patterns are always kept.
+or characters tried one by one. Known words are the usual passwords, then the
+words and parts of words of a public tokenizer's vocabulary, most usual first.
+Marks that open or close a phrase around a value cost nothing. Values whose cost
+reaches a threshold are added as ``guess`` spans; the threshold is higher by
+``PROSE`` where only a blank or "is" joins name and value, as prose has that too.
+Spans of the fixed patterns are always kept.
 
 Spans are in code points, ends exclusive; they cover the whole match of a fixed
 pattern and the value alone for ``guess``. Defined results: a null or empty text
@@ -14,10 +18,13 @@ has no spans; repeated rows each give a row; a null id stays null.
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -30,7 +37,11 @@ _HEX = re.compile(rb"[0-9a-f]{24,}")
 _ASSIGN_HINTS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 #: Names before a value that make it a credential.
 _CONTEXT_HINTS = (*_ASSIGN_HINTS, b"passphrase", b"passcode", b"pwd", b"credential", b"bearer", b"access_key", b"private_key", b"auth")
-_CONTEXT = re.compile(rb"""(?i:password|passwd|passphrase|passcode|pwd|secret|credentials?|token|bearer|api_?key|access_?key|private_?key|auth)(?i:["']?[\x20\t]*(?:[:=]+>?|\x20is\x20)[\x20\t]*["']?|\x20+)([!-&(-~]{6,})""")
+_CONTEXT = re.compile(rb"""(?i:password|passwd|passphrase|passcode|pwd|secret|credentials?|token|bearer|api_?key|access_?key|private_?key|auth)(?i:["']?(?:\x20+is)?[\x20\t]*(?P<mark>[:=]+>?)[\x20\t]*["']?|\x20+(?:is\x20+)?["']?)(?P<value>[!-&(-~]{6,})""")
+#: What may stand around a value in a phrase.
+_OPEN, _CLOSE = b"([{<*`\"", b".,;:!?)]}>*`\""
+#: What the cost must reach beyond the threshold where no : or = follows the name.
+PROSE = 4.0
 
 # --- fixed values: words tried first, most usual first -----------------------
 USUAL = (
@@ -41,12 +52,23 @@ USUAL = (
     "june july august september october november december monday tuesday wednesday thursday friday saturday sunday "
     "the and you that was for are with his they this have from one had word but not what all were when your can said"
 ).split()
-_RANK = {w: i + 1 for i, w in enumerate(USUAL)}
+#: Its vocabulary is in the order of use.
+WORDS = "word_bpe_49k.json"
+_LONGEST_WORD = 16
 _LOOKALIKE = str.maketrans("@4310$57!", "aaeiosstl"[:9])
 _ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
 _NEXT = {a + b for row in _ROWS for a, b in zip(row, row[1:], strict=False)} | {b + a for row in _ROWS for a, b in zip(row, row[1:], strict=False)}
 _DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d")
-_LONGEST_WORD = max(map(len, USUAL))
+
+
+@lru_cache(maxsize=1)
+def _ranks() -> dict[str, int]:
+    """Known words by rank, loaded once for each Python worker."""
+    with open(public_tokenizers.path(WORDS), encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    words = (w.removesuffix("</w>") for w in sorted(vocabulary, key=vocabulary.__getitem__))
+    known = dict.fromkeys([*USUAL, *(w for w in words if w.isascii() and w.isalpha() and 3 <= len(w) <= _LONGEST_WORD)])
+    return {w: i + 1 for i, w in enumerate(known)}
 
 
 def _single(c: str) -> float:
@@ -57,6 +79,7 @@ def _single(c: str) -> float:
 def guess_cost(value: str) -> float:
     """Decimal logarithm of the guesses that the cheapest segmentation of ``value`` takes."""
     n = len(value)
+    rank = _ranks()
     low = value.lower()
     plain = low.translate(_LOOKALIKE)
     best = [0.0] + [math.inf] * n
@@ -75,9 +98,9 @@ def guess_cost(value: str) -> float:
         steps = [(i + 1, _single(value[i]))]
         for j in range(i + 3, min(n, i + _LONGEST_WORD) + 1):
             for form, extra in ((low[i:j], 0.0), (plain[i:j], 0.5)):
-                if form in _RANK:
+                if form in rank:
                     capitals = sum(c.isupper() for c in value[i:j])
-                    steps.append((j, math.log10(_RANK[form]) + 0.5 + extra + min(capitals, j - i - capitals, 4) * 0.7 + (0.3 if capitals else 0)))
+                    steps.append((j, math.log10(rank[form]) + 0.5 + extra + min(capitals, j - i - capitals, 4) * 0.7 + (0.3 if capitals else 0)))
                     break
         steps += [(j, math.log10(365 * 120 if j - i > 4 else 120)) for j in dates.get(i, ())]
         if repeat_to[i] - i >= 3:
@@ -90,6 +113,17 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
+def _context_values(data: bytes, threshold: float) -> Iterator[tuple[int, int]]:
+    """(start, end) of the values in credential contexts that are costly to guess, without closing marks."""
+    for m in _CONTEXT.finditer(data):
+        start, end = m.span("value")
+        if m["value"].isalpha():
+            continue
+        bare = m["value"].lstrip(_OPEN).rstrip(_CLOSE)
+        if guess_cost(bare.decode()) >= (threshold if m["mark"] else threshold + PROSE):
+            yield start, start + len(m["value"].rstrip(_CLOSE.translate(None, b"!?*")))
+
+
 def find_spans(text: str, threshold: float = 8.0) -> list[tuple[str, int, int]]:
     """(kind, start, end), sorted by start, then kind as listed."""
     data = text.encode()
@@ -101,7 +135,7 @@ def find_spans(text: str, threshold: float = 8.0) -> list[tuple[str, int, int]]:
         found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(data) if m.end() - m.start() >= 20]
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(data)]
     if any(h in low for h in _CONTEXT_HINTS):
-        found += [(m.start(1), 3, m.end(1)) for m in _CONTEXT.finditer(data) if guess_cost(m[1].decode()) >= threshold and not m[1].isalpha()]
+        found += [(start, 3, end) for start, end in _context_values(data, threshold)]
     if not found:
         return []
     if len(text) != len(data):  # bytes to code points

@@ -98,6 +98,16 @@ def test_secret_spans(spark):
     assert scan_documents(df.limit(0)).count() == 0
 
 
+def test_clean_prose_after_names_has_no_spans():
+    prose = """They kept the secret forever. It was a secret place, far away. The password is required! A token limit, as set. Every password is
+        "mandatory", she said. The token expires; the credentials (optional) follow. Their secret agreement. Is the passphrase correct? Bearer instruments: none.
+        Password requirements: eight characters. Passcode: forgotten. The secret ingredient... is a well-known one. Token management, auth middleware, secret
+        negotiations; the token ceremony. Passwords expire. The password is case-sensitive. Credentials: required."""
+    assert find_spans(prose) == [] and redact(prose) == prose
+    real = "the password is G7#kq!vZ29xW. (token: #Q8&kv!P2m), 'pwd': 'xK9$wq2L!'"
+    assert [real[s:e] for _, s, e in find_spans(real)] == ["G7#kq!vZ29xW", "#Q8&kv!P2m", "xK9$wq2L!"]
+
+
 def test_guess_cost_takes_the_cheapest_cut():
     assert guess_cost("password") < 1 < guess_cost("qzjxvkwp") and guess_cost("") == 0
     assert guess_cost("aaaaaaaaaaaa") < 3 and guess_cost("19991231") < 5 and guess_cost("qwertyuiop") < 4
