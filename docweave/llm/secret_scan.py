@@ -37,7 +37,8 @@ _HEX = re.compile(rb"[0-9a-f]{24,}")
 _ASSIGN_HINTS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 #: Names before a value that make it a credential.
 _CONTEXT_HINTS = (*_ASSIGN_HINTS, b"passphrase", b"passcode", b"pwd", b"credential", b"bearer", b"access_key", b"private_key", b"auth")
-_CONTEXT = re.compile(rb"""(?i:password|passwd|passphrase|passcode|pwd|secret|credentials?|token|bearer|api_?key|access_?key|private_?key|auth)(?i:["']?(?:\x20+is)?[\x20\t]*(?P<mark>[:=]+>?)[\x20\t]*["']?|\x20+(?:is\x20+)?["']?)(?P<value>[!-&(-~]{6,})""")
+_CONTEXT = re.compile(rb"""(?i:password|passwd|passphrase|passcode|pwd|secret|credentials?|token|bearer|api_?key|access_?key|private_?key|auth)(?i:["']?(?:\x20+is)?[\x20\t]*(?P<mark>[:=]+>?)[\x20\t]*["']?|\x20+(?:is\x20+)?["']?)(?=[!-&(-~]{6})""")
+_VALUE = re.compile(rb"[!-&(-~]+")
 #: What may stand around a value in a phrase.
 _OPEN, _CLOSE = b"([{<*`\"", b".,;:!?)]}>*`\""
 #: What the cost must reach beyond the threshold where no : or = follows the name.
@@ -114,14 +115,22 @@ def guess_cost(value: str) -> float:
 
 
 def _context_values(data: bytes, threshold: float) -> Iterator[tuple[int, int]]:
-    """(start, end) of the values in credential contexts that are costly to guess, without closing marks."""
+    """(start, end) of the values in credential contexts that are costly to guess, without closing marks.
+
+    Every name is looked at, also one that stands where another's value would: the value then is
+    that of the later name. A value inside one that is reported is not reported again.
+    """
+    run = done = 0
     for m in _CONTEXT.finditer(data):
-        start, end = m.span("value")
-        if m["value"].isalpha():
+        start = m.end()
+        if start < done or _CONTEXT.match(data, start):
             continue
-        bare = m["value"].lstrip(_OPEN).rstrip(_CLOSE)
-        if guess_cost(bare.decode()) >= (threshold if m["mark"] else threshold + PROSE):
-            yield start, start + len(m["value"].rstrip(_CLOSE.translate(None, b"!?*")))
+        if start >= run:  # values that start in one run of characters end together
+            run = _VALUE.match(data, start).end()
+        value = data[start:run]
+        if guess_cost(value.lstrip(_OPEN).rstrip(_CLOSE).decode()) >= (threshold if m["mark"] else threshold + PROSE):
+            done = start + len(value.rstrip(_CLOSE.translate(None, b"!?*")))
+            yield start, done
 
 
 def find_spans(text: str, threshold: float = 8.0) -> list[tuple[str, int, int]]:

@@ -108,6 +108,16 @@ def test_clean_prose_after_names_has_no_spans():
     assert [real[s:e] for _, s, e in find_spans(real)] == ["G7#kq!vZ29xW", "#Q8&kv!P2m", "xK9$wq2L!"]
 
 
+def test_values_of_letters_and_after_several_names_are_found():
+    for name in ("auth token: ", "bearer token: ", "secret password: ", "Authorization: Bearer ", "token=password=", "the secret passphrase is "):
+        text = f"é {name}G7#kq!vZ29xW, and on"
+        assert [text[s:e] for k, s, e in find_spans(text) if k == "guess"] == ["G7#kq!vZ29xW"] and "vZ29xW" not in redact(text)
+    for text in ("pwd: xKqzvWnRtYpLmB", "passphrase: QkzWvxnTrPlmAb", "pwd xKqzvWnRtYpLmB"):
+        assert [(k, text[s:e]) for k, s, e in find_spans(text)] == [("guess", text.split()[1])]
+    assert [x for x in find_spans("pwd:G7#ktoken=a1Zq9!xx") if x[0] == "guess"] == [("guess", 4, 22)]
+    assert len(find_spans("token=" * 100_000)) < 2
+
+
 def test_guess_cost_takes_the_cheapest_cut():
     assert guess_cost("password") < 1 < guess_cost("qzjxvkwp") and guess_cost("") == 0
     assert guess_cost("aaaaaaaaaaaa") < 3 and guess_cost("19991231") < 5 and guess_cost("qwertyuiop") < 4
