@@ -58,6 +58,20 @@ def test_stages_against_plain_versions(spark, tmp_path):
     assert tokens == {d: len(library.encode(t, add_special_tokens=False).ids) + 1 for d, t in want.items()}
 
 
+def test_repeated_and_null_id_rows_stay_once(spark, tmp_path):
+    rng = random.Random(12)
+    text = {k: " ".join(f"{rng.randrange(10**6)}w" for _ in range(60)) for k in "abcdef"}
+    rows = [(1, "a"), (1, "a"), (2, "b"), (None, "b"), (None, "c"), (None, "c"), (None, "c"), (3, "d"), (4, "d"), (None, "d"), (5, "e"), (5, "e"), (6, "e"), (None, "f")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    df = spark.createDataFrame([(d, text[k], "en", f"s{i}", len(text[k])) for i, (d, k) in enumerate(rows)], schema)
+    stage = p.ngram_jaccard_join(spark, df, str(tmp_path))
+    want = sorted((d or 0, text[k]) for d, k in [(1, "a"), (2, "b"), (None, "c"), (3, "d"), (5, "e"), (None, "f")])
+    assert stage.columns == df.columns and sorted((r.doc_id or 0, r.text) for r in stage.collect()) == want
+    cut = p.suffix_array_dedup(spark, stage, str(tmp_path))
+    assert sorted((r.doc_id or 0, r.text) for r in cut.collect()) == want
+    assert [tuple(r) for r in p.one_row_each(df.where("source = 's0'")).collect()] == [(1, text["a"], "en", "s0", len(text["a"]))]
+
+
 def test_empty_table(spark, tmp_path):
     docs(spark).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert p.run(spark, str(tmp_path)).count() == 0
