@@ -1,15 +1,14 @@
-"""Removal of repeated byte strings by merging shards' sorted suffixes.
+"""Removal of repeated byte strings by an anchored radix sort of suffixes.
 
 Only suffixes at anchors are sorted: the anchor of a ``size``-byte string is its
 leftmost least k-mer by hash, so equal strings have their anchor at the same
 place, and every string has one. Anchors whose k-mer occurs once are settled.
-For the others each shard (a slice of texts) sends the text before the anchor,
-as a Burrows-Wheeler transform holds what precedes a suffix, and the text from
-the anchor on.
+For the others each shard (a slice of texts) sends the text before the anchor
+and the text from the anchor on. Shards sort nothing.
 
-Where shards meet, their suffixes start out interleaved by k-mer alone, and the
-interleave is refined eight bytes at a time, only inside intervals that are not
-settled yet; the round in which two neighbours part gives their common prefix.
+Where shards meet, the suffixes of a k-mer are sorted eight bytes at a time, only
+inside intervals that are not settled yet; the round in which two neighbours part
+gives their common prefix.
 The same is done with the texts before the anchors, read backwards. A string
 that starts ``d`` bytes before its anchor is repeated exactly when another
 suffix lies in its interval of common prefix ``size - d`` and in its interval of
