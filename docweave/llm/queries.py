@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docweave.llm.bin_completion import pack_by_completion
 from docweave.llm.bpe_codec import encode_documents
 from docweave.llm.chat import conversation_digests, reconstruct, render, turns_as_events
 from docweave.llm.common import read_table
@@ -64,6 +65,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_by_completion(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 __all__ = ["ORACLE", "QUERIES"]
 
 QUERIES = {
@@ -77,4 +82,5 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_token_counts": op10_token_counts,
+    "op11_bin_completion": op11_bin_completion,
 }
