@@ -13,6 +13,7 @@ from docweave.llm.common import read_table
 from docweave.llm.jaccard_join import near_duplicates
 from docweave.llm.oracles import ORACLE
 from docweave.llm.packing import pack_documents
+from docweave.llm.periodic_runs import periodic_runs, run_digests, with_periodic_tails
 from docweave.llm.quality import quality_report
 from docweave.llm.secret_scan import scan_documents, span_digests
 from docweave.llm.substring_dedup import remove_repeated_runs
@@ -69,6 +70,10 @@ def op11_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_by_completion(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(with_periodic_tails(read_table(spark, sf_dir, "documents"))))
+
+
 __all__ = ["ORACLE", "QUERIES"]
 
 QUERIES = {
@@ -83,4 +88,5 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_token_counts": op10_token_counts,
     "op11_bin_completion": op11_bin_completion,
+    "op12_periodic_runs": op12_periodic_runs,
 }
