@@ -99,10 +99,53 @@ def _part(p: str, q: str) -> str:
     return f"CASE WHEN {p} > 0 THEN {p} * log2({p} / (({p} + {q}) / 2)) ELSE 0.0 END"
 
 
+COLLOCATIONS = rf"""
+    WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{_A}', '{_Z}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    p AS (SELECT row_number() OVER () AS id, lang, piece FROM t),
+    w AS (SELECT id, lang, unnest(ws) AS w1, generate_subscripts(ws, 1) AS i FROM (SELECT id, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p)),
+    g AS (SELECT lang, w1, lead(w1, 1) OVER (PARTITION BY id ORDER BY i) AS w2, lead(w1, 2) OVER (PARTITION BY id ORDER BY i) AS w3 FROM w),
+    f AS MATERIALIZED (
+      SELECT lang, 1 AS words, w1 AS phrase, count(*) AS n FROM g GROUP BY lang, w1
+      UNION ALL SELECT lang, 2, w1 || ' ' || w2, count(*) FROM g WHERE w2 IS NOT NULL GROUP BY lang, w1, w2
+      UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3, count(*) FROM g WHERE w3 IS NOT NULL GROUP BY lang, w1, w2, w3),
+    c AS (SELECT lang, words, phrase, n AS a, string_split(phrase, ' ') AS ws FROM f WHERE words > 1 AND n >= 10),
+    key AS MATERIALIZED (SELECT lang || chr(10) || phrase AS key, n FROM f),
+    cut AS MATERIALIZED (SELECT c.*, k, lang || chr(10) || array_to_string(ws[1:k], ' ') AS lk, lang || chr(10) || array_to_string(ws[k + 1:], ' ') AS rk FROM c, unnest(range(1, words)) AS u(k)),
+    left_n AS MATERIALIZED (SELECT cut.*, key.n AS l FROM cut JOIN key ON key.key = lk),
+    s AS (SELECT lang, words, phrase, a, k, l, key.n AS r, CAST((1000000::HUGEINT * a * a) // (l::HUGEINT * key.n) AS BIGINT) AS score FROM left_n JOIN key ON key.key = rk),
+    b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    inside AS (SELECT lang, a AS longer, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase FROM c WHERE words = 3),
+    gone AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN inside USING (lang, phrase) WHERE 100 * longer >= 50 * a),
+    total AS (SELECT lang, sum(n) AS n FROM f WHERE words = 1 GROUP BY lang),
+    o AS (SELECT b.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b ANTI JOIN gone USING (lang, phrase))
+    SELECT lang, rank, phrase, a, l, r, CAST(total.n AS BIGINT) AS n, score FROM o JOIN total USING (lang) WHERE rank <= 2000"""
+
+_BYTE = "list_reduce([{c}, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+_CRC32 = f"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)),
+            lambda crc, d: {_BYTE.format(c="xor(crc, d)")}))"""
+
+PERIODIC_RUNS = f"""
+    WITH h AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS ws, {_CRC32} AS h FROM documents),
+    g AS (SELECT doc_id, ws, len(ws) AS n, h, h // 10 AS g, CASE WHEN len(ws) > 0 THEN (h // 10) % len(ws) END AS a FROM h),
+    p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM g),
+    w AS (SELECT doc_id, i, CASE WHEN h % 10 = 0 AND i >= a THEN ws[1 + a + (i - a) % p] ELSE ws[1 + i] END AS word, n FROM p, unnest(range(0, n)) AS u(i)),
+    eq AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+    island AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length
+               FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM eq) GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+    run AS (SELECT doc_id, start, length, min(q) AS q FROM island GROUP BY doc_id, start, length),
+    best AS (SELECT doc_id, count(*) AS n_runs, min((-length, start, q)) AS b, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS lines FROM run GROUP BY doc_id),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(start + q, start + length)) AS i FROM run),
+    kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM w ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+    SELECT documents.doc_id, coalesce(n_runs, 0) AS n_runs, b[2] AS start, -b[1] AS length, b[3] AS period, 1000 * -b[1] // b[3] AS exponent_milli,
+           sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+    FROM documents LEFT JOIN best ON best.doc_id = documents.doc_id LEFT JOIN kept ON kept.doc_id = documents.doc_id"""
+
 ORACLE = {
     "op2_vector_dedup": VECTOR_DEDUP,
     "op3_substring_dedup": SUBSTRING_DEDUP,
     "op4_quality_rules": _quality(),
     "op6_chat_format": CHAT_FORMAT,
     "op9_jaccard_join": JACCARD_JOIN,
+    "op12_periodic_runs": PERIODIC_RUNS,
+    "op13_collocations": COLLOCATIONS,
 }

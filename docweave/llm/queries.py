@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from docweave.llm.bin_completion import pack_by_completion
 from docweave.llm.bpe_codec import encode_documents
 from docweave.llm.chat import conversation_digests, reconstruct, render, turns_as_events
+from docweave.llm.collocations import collocations
 from docweave.llm.common import read_table
 from docweave.llm.jaccard_join import near_duplicates
 from docweave.llm.oracles import ORACLE
@@ -74,6 +75,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(with_periodic_tails(read_table(spark, sf_dir, "documents"))))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
 __all__ = ["ORACLE", "QUERIES"]
 
 QUERIES = {
@@ -89,4 +94,5 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
     "op11_bin_completion": op11_bin_completion,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_collocations": op13_collocations,
 }
