@@ -120,12 +120,29 @@ def _scan(rows: DataFrame, step: int, shards: int, reached: dict[int, np.ndarray
     return counted.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
 
 
-def _newly_reached(sums: DataFrame, least: int) -> dict[int, np.ndarray]:
-    """Hash values of the phrases with ``least`` occurrences, by length: bits, so at most 2^BITS / 32 rows for each length."""
-    many = sums.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    entry = many.select("words", _entry().alias("e"))
-    bits = entry.groupBy("words", F.shiftright("e", 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(e & 31 AS int))")).alias("bits"))
-    got = bits.toArrow()
+def _bits(phrases: DataFrame) -> DataFrame:
+    """Hash values of phrases as bits, by length: (words, at, bits), at most 2^BITS / 32 rows for each length."""
+    entry = phrases.select("words", _entry().alias("e"))
+    return entry.groupBy("words", F.shiftright("e", 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(e & 31 AS int))")).alias("bits"))
+
+
+def _added_up(sums: DataFrame, least: int, steps: int) -> DataFrame:
+    """(lang, words, phrase, n) of the phrases with ``least`` occurrences in ``steps`` sums.
+
+    Such a phrase has its share of them in one step; only phrases with the hash value of one that
+    has are shuffled. That table has a fixed size, so it may go to every task.
+    """
+    share = -(-least // steps)
+    if steps > 1:
+        likely = F.broadcast(_bits(sums.where(F.col("n") >= share)))
+        found = sums.withColumn("e", _entry()).withColumn("at", F.shiftright("e", 5)).join(likely, ["words", "at"])
+        sums = found.where(F.expr("bits & shiftleft(1L, cast(e & 31 AS int)) != 0")).select("lang", "words", "phrase", "n")
+    return sums.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+
+
+def _entries_of(phrases: DataFrame) -> dict[int, np.ndarray]:
+    """Hash values of phrases, by length, on the driver: the rows of ``_bits``."""
+    got = _bits(phrases).toArrow()
     out = {}
     words, at, value = (got.column(i).to_numpy() for i in range(3))
     for length in np.unique(words).tolist():
@@ -159,7 +176,7 @@ def phrase_counts(df: DataFrame, longest: int = 3, least: int = LEAST, shards: i
         sums.append(written(_scan(shard, step, shards, reached, longest), "phrase-sums"))
         if step < (longest - 1) * shards:  # the last phrases that others wait for end their cycle then
             shorter = reduce(DataFrame.unionByName, sums).where(F.col("words") < longest)
-            for length, entries in _newly_reached(shorter, least).items():
+            for length, entries in _entries_of(_added_up(shorter, least, min(step + 1, shards))).items():
                 table = reached[length]
                 new = entries[table[entries] == _NEVER]
                 table[new] = step + 1
@@ -184,7 +201,7 @@ def collocations(df: DataFrame, longest: int = 3, least: int = LEAST, inside_per
     """
     sums = phrase_counts(df, longest, least, shards, **columns)
     words = sums.where("words = 1").groupBy("lang").agg(F.sum("n").alias("n"))
-    frequent = written(sums.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "phrases")
+    frequent = written(_added_up(sums, least, shards), "phrases")
     candidates = frequent.where("words > 1").select("lang", "words", "phrase", F.col("n").alias("a"), F.split("phrase", " ").alias("ws"))
     cuts = F.transform(
         F.sequence(F.lit(1), F.col("words") - 1),
