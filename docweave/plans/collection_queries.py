@@ -172,7 +172,8 @@ def collection_search(spark, sf):
 
     coll = _new_collection(spark)
     coll.upsert(_stored_points(spark, sf))
-    return search(metadata_filter(coll.read(), FILTER), question_queries(spark, sf), distance=coll.meta()["distance"])
+    points = metadata_filter(coll.read(), FILTER)
+    return search(points, question_queries(spark, sf), payload_from=points, distance=coll.meta()["distance"])
 
 
 QUERIES = {
