@@ -15,6 +15,7 @@ from docweave.operators.arrays import posexplode_kept
 from docweave.operators.embed import embed
 from docweave.session import scratch_path
 from docweave.sources import files as FS
+from docweave.sources.csv_records import csv_file_rows
 from docweave.sources.tables import table
 from docweave.sources.vectors import coerce_status, coerce_vectors, load_vectors
 
@@ -61,6 +62,15 @@ def csv_ingest(spark, sf):
     return lines.select(F.url_decode(F.regexp_extract("filename", r"p_brand=([^/]+)/", 1)).alias("brand"), "line")
 
 
+def csv_large_file(spark, sf):
+    """S1 + S5 + S6: all order lines in one CSV file, above one partition's size, with line breaks, quotes and separators in cells."""
+    out = _fresh(spark, "csv-large")
+    note = F.when(F.pmod("l_partkey", F.lit(4)) == 0, F.concat(F.lit('part "'), F.col("l_partkey").cast("string"), F.lit('";\nsupplier\n\n'), F.col("l_suppkey").cast("string"), F.lit(", end")))
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("order"), F.col("l_linenumber").alias("line no"), note.alias("note"), F.col("l_linestatus").alias("status"), F.col("l_shipdate").cast("date").alias("shipped"))
+    rows.coalesce(1).write.option("header", True).option("sep", ";").option("escape", '"').csv(out)  # one file, as one upload would be
+    return csv_file_rows(spark, out).select("line", "fallback")
+
+
 #: CSV texts of a part, by p_partkey mod 5: quoted, indexed, too long (falls back), labelled, with missing cells.
 _CSV_SHAPES = ['name,price\n"@n, ""x""",@p\n', "name,price\n7,@n,@p\n8,@n\n", "name,price\n@n,@p\n\n1,2,3", "Sheet: One\nname;price\n@n;@p\n", "name,price,\nNA,@p,\n@n,null,z\n"]
 
@@ -165,6 +175,7 @@ QUERIES = {
     "read_files": read_files,
     "csv_ingest": csv_ingest,
     "csv_documents": csv_documents,
+    "csv_large_file": csv_large_file,
     "url_shortcut": url_shortcut,
     "extract_links": extract_links,
     "flatten_parts": flatten_parts,
@@ -207,6 +218,10 @@ ORACLE = {
             WHEN 2 THEN 'name, price' || chr(10) || n || ', ' || p || chr(10) || chr(10) || '1, 2, 3'
             WHEN 3 THEN h || 'name: ' || n || ' | price: ' || p || chr(10)
             ELSE h || 'price: ' || p || chr(10) || 'name: ' || n || ' | Unnamed: 2: z' || chr(10) END AS text FROM c""",
+    "csv_large_file": """
+        SELECT concat_ws(' | ', 'order: ' || l_orderkey, 'line no: ' || l_linenumber,
+                         CASE WHEN l_partkey % 4 = 0 THEN 'note: part "' || l_partkey || '";' || chr(10) || 'supplier' || chr(10) || chr(10) || l_suppkey || ', end' END,
+                         'status: ' || l_linestatus, 'shipped: ' || CAST(l_shipdate AS DATE)) AS line, false AS fallback FROM lineitem""",
     "csv_ingest": f"SELECT p_brand AS brand, {_concat_ws(_CSV_COLS)} AS line FROM part",
     "url_shortcut": f"""
         WITH w AS (SELECT page_id, CASE page_id % 10 WHEN 0 THEN 'https://app.powerbi.com/r/' || CAST(page_id AS VARCHAR)
