@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from docweave.llm.common import scratch, slices, written
 
-SHARDS = 4
+SHARDS = 3
 LEAST = 10            # occurrences of a candidate
 INSIDE_PERCENT = 50   # a longer candidate with this share of a phrase's occurrences drops it
 TOP = 2000
@@ -100,7 +100,7 @@ def slice_counts(lang: str, texts: list[bytes], step: int, shards: int, reached:
 
 
 def _scan(rows: DataFrame, step: int, shards: int, reached: dict[int, np.ndarray], longest: int) -> DataFrame:
-    """(lang, words, phrase, n) of one shard in one step, added up."""
+    """(lang, words, phrase, n, e) of one shard in one step, added up; e is the phrase's hash value."""
     schema = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,17 +117,16 @@ def _scan(rows: DataFrame, step: int, shards: int, reached: dict[int, np.ndarray
                     )
 
     counted = rows.mapInArrow(run, "lang string, words int, phrase string, n long")
-    return counted.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
+    return counted.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).withColumn("e", _entry().cast("int"))
 
 
 def _bits(phrases: DataFrame) -> DataFrame:
     """Hash values of phrases as bits, by length: (words, at, bits), at most 2^BITS / 32 rows for each length."""
-    entry = phrases.select("words", _entry().alias("e"))
-    return entry.groupBy("words", F.shiftright("e", 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(e & 31 AS int))")).alias("bits"))
+    return phrases.groupBy("words", F.shiftright("e", 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, e & 31)")).alias("bits"))
 
 
 def _added_up(sums: DataFrame, least: int, steps: int) -> DataFrame:
-    """(lang, words, phrase, n) of the phrases with ``least`` occurrences in ``steps`` sums.
+    """(lang, words, phrase, e, n) of the phrases with ``least`` occurrences in ``steps`` sums.
 
     Such a phrase has its share of them in one step; only phrases with the hash value of one that
     has are shuffled. That table has a fixed size, so it may go to every task.
@@ -135,9 +134,9 @@ def _added_up(sums: DataFrame, least: int, steps: int) -> DataFrame:
     share = -(-least // steps)
     if steps > 1:
         likely = F.broadcast(_bits(sums.where(F.col("n") >= share)))
-        found = sums.withColumn("e", _entry()).withColumn("at", F.shiftright("e", 5)).join(likely, ["words", "at"])
-        sums = found.where(F.expr("bits & shiftleft(1L, cast(e & 31 AS int)) != 0")).select("lang", "words", "phrase", "n")
-    return sums.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        found = sums.withColumn("at", F.shiftright("e", 5)).join(likely, ["words", "at"])
+        sums = found.where(F.expr("bits & shiftleft(1L, e & 31) != 0"))
+    return sums.groupBy("lang", "words", "phrase", "e").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
 def _entries_of(phrases: DataFrame) -> dict[int, np.ndarray]:
@@ -159,7 +158,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def phrase_counts(df: DataFrame, longest: int = 3, least: int = LEAST, shards: int = SHARDS, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """(lang, words, phrase, n), in partial sums: of all words, and of every longer phrase that may occur ``least`` times.
+    """(lang, words, phrase, n, e), in partial sums: of all words, and of every longer phrase that may occur ``least`` times.
 
     A row is the sum of one step; adding up a phrase's rows gives its exact number of occurrences.
     """
@@ -201,7 +200,7 @@ def collocations(df: DataFrame, longest: int = 3, least: int = LEAST, inside_per
     """
     sums = phrase_counts(df, longest, least, shards, **columns)
     words = sums.where("words = 1").groupBy("lang").agg(F.sum("n").alias("n"))
-    frequent = written(_added_up(sums, least, shards), "phrases")
+    frequent = written(_added_up(sums, least, shards).drop("e"), "phrases")
     candidates = frequent.where("words > 1").select("lang", "words", "phrase", F.col("n").alias("a"), F.split("phrase", " ").alias("ws"))
     cuts = F.transform(
         F.sequence(F.lit(1), F.col("words") - 1),
