@@ -64,8 +64,8 @@ def _entry() -> Column:
     return F.crc32(F.concat("lang", F.lit("\0"), "phrase").cast("binary")).bitwiseAND(F.lit((1 << BITS) - 1))
 
 
-def slice_counts(lang: str, texts: list[bytes], step: int, shards: int, reached: dict[int, np.ndarray], longest: int) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
-    """(words, phrases, counts) of the phrases that are active in this step, by length."""
+def slice_counts(lang: str, texts: list[bytes], step: int, shards: int, reached: dict[int, np.ndarray], longest: int) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray]]:
+    """(words, phrases, counts, first steps) of the phrases that are active in this step, by length."""
     prefix = lang.encode() + b"\0"
     words = _BREAK.join(texts).translate(_TO).replace(_BREAK, b" \xff ").split()
     known = _Numbers()
@@ -75,7 +75,7 @@ def slice_counts(lang: str, texts: list[bytes], step: int, shards: int, reached:
     if not phrases:
         return
     if step < shards:
-        yield 1, phrases, np.bincount(ids[ids >= 0], minlength=len(phrases))
+        yield 1, phrases, np.bincount(ids[ids >= 0], minlength=len(phrases)), np.zeros(len(phrases), np.int64)
     last = np.array(phrases, object)
     final = np.arange(len(phrases))  # the last word of each phrase
     for length in range(2, longest + 1):
@@ -96,12 +96,12 @@ def slice_counts(lang: str, texts: list[bytes], step: int, shards: int, reached:
             left, final = left[active], final[active]
         phrases = [phrases[i] + b" " + w for i, w in zip(left.tolist(), last[final].tolist(), strict=True)]
         if len(active):
-            yield length, phrases if length == longest else [phrases[i] for i in active.tolist()], count[active]
+            yield length, phrases if length == longest else [phrases[i] for i in active.tolist()], count[active], start[active]
 
 
 def _scan(rows: DataFrame, step: int, shards: int, reached: dict[int, np.ndarray], longest: int) -> DataFrame:
-    """(lang, words, phrase, n, e) of one shard in one step, added up; e is the phrase's hash value."""
-    schema = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
+    """(lang, words, start, phrase, n, e) of one shard in one step, added up; e is the phrase's hash value, start its first step."""
+    schema = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("start", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=_SLICE):
@@ -109,15 +109,15 @@ def _scan(rows: DataFrame, step: int, shards: int, reached: dict[int, np.ndarray
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 by_lang.setdefault(lang, []).append(text)
             for lang, texts in by_lang.items():
-                for length, phrases, count in slice_counts(lang, texts, step, shards, reached, longest):
+                for length, phrases, count, start in slice_counts(lang, texts, step, shards, reached, longest):
                     n = len(phrases)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang], pa.string()).take(pa.array(np.zeros(n, np.int32))), pa.array(np.full(n, length, np.int32)), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(count.astype(np.int64))],
+                        [pa.array([lang], pa.string()).take(pa.array(np.zeros(n, np.int32))), pa.array(np.full(n, length, np.int32)), pa.array(start.astype(np.int32)), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(count.astype(np.int64))],
                         schema=schema,
                     )
 
-    counted = rows.mapInArrow(run, "lang string, words int, phrase string, n long")
-    return counted.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).withColumn("e", _entry().cast("int"))
+    counted = rows.mapInArrow(run, "lang string, words int, start int, phrase string, n long")
+    return counted.groupBy("lang", "words", "start", "phrase").agg(F.sum("n").alias("n")).withColumn("e", _entry().cast("int"))
 
 
 def _bits(phrases: DataFrame) -> DataFrame:
@@ -172,9 +172,13 @@ def phrase_counts(df: DataFrame, longest: int = 3, least: int = LEAST, shards: i
     step, until = 0, shards
     while step < until:
         shard = dealt.where(F.col("shard") == step % shards).select("lang", "text")
-        sums.append(written(_scan(shard, step, shards, reached, longest), "phrase-sums"))
+        counted = _scan(shard, step, shards, reached, longest)
+        path = scratch(spark, "phrase-sums")
+        counted.write.partitionBy("words", "start").parquet(path)
+        sums.append(spark.read.schema(counted.schema).parquet(path))
         if step < (longest - 1) * shards:  # the last phrases that others wait for end their cycle then
-            shorter = reduce(DataFrame.unionByName, sums).where(F.col("words") < longest)
+            counting = f"words < {longest} AND start > {step - shards}"  # the sums of others are complete; they are not read
+            shorter = reduce(DataFrame.unionByName, [s.where(counting) for s in sums])
             for length, entries in _entries_of(_added_up(shorter, least, min(step + 1, shards))).items():
                 table = reached[length]
                 new = entries[table[entries] == _NEVER]
