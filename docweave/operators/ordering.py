@@ -1,50 +1,60 @@
-"""Global order over time without a single-partition window of rows, and without writing anything.
+"""Global order without a window over all rows, by a two-pass prefix sum over range partitions.
 
-Rows are put into time buckets (a minute by default). A small table of counts
-per bucket is summed up in bucket order; inside a bucket rows are numbered by a
-window, and the bucket's offset is added. So one shuffle by bucket numbers all
-rows; the only window without a key runs over buckets, whose number follows from
-the time span, not from the number of rows. ``bucket`` must be fine enough that
-one bucket's rows fit a task (a second, for very dense logs).
+First pass: rows are dealt to ranges of the order columns, whose bounds Spark
+samples, sorted there and written once with their place in the range. Second
+pass: counts of each range, a table as long as the number of ranges, are summed
+up in order, and each range's offset is added to its rows. Equal times are parted
+by the other order columns, so a log whose events share one second is spread
+like any other; no range depends on how dense the times are.
 
-The first order column is the time; the order must be total.
+The order must be total.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET = "MINUTE"
+from docweave.session import scratch_path
 
 
-def _numbered(df: DataFrame, order_cols: list, bucket: str, flag: str | None) -> DataFrame:
+def _numbered(df: DataFrame, order_cols: list, flag: str | None) -> DataFrame:
     """``df`` with ``__row`` and, for a flag column, ``__flagged``: running counts in the global order, inclusive."""
-    d = df.withColumn("__bucket", F.date_trunc(bucket, F.col(order_cols[0])))
+    spark = df.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     flagged = F.coalesce(F.col(flag), F.lit(False)).cast("long") if flag else F.lit(0).cast("long")
-    counts = d.groupBy("__bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(flagged).alias("f"))
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offset = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
-    offsets = counts.select("__bucket", offset("n").alias("__n"), offset("f").alias("__f"))
-    inside = Window.partitionBy("__bucket").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.withColumn("__i", F.row_number().over(inside)).withColumn("__j", F.sum(flagged).over(inside))
-    j = d.join(offsets, d["__bucket"].eqNullSafe(offsets["__bucket"])).drop(offsets["__bucket"])
-    return j.withColumn("__row", F.col("__n") + F.col("__i")).withColumn("__flagged", F.col("__f") + F.col("__j")).drop("__bucket", "__n", "__f", "__i", "__j")
+    placed = df.repartitionByRange(ranges, *order_cols).sortWithinPartitions(*order_cols)
+    placed = placed.withColumn("__id", F.monotonically_increasing_id()).withColumn("__f", flagged)
+    path = scratch_path(spark, f"ordered-{uuid.uuid4().hex}")
+    placed.write.parquet(path)
+    rows = spark.read.schema(placed.schema).parquet(path).withColumn("__range", F.shiftright("__id", 33))  # the task that wrote a row, and its place there
+    offsets, n, f = [], 0, 0
+    for r in sorted(rows.groupBy("__range").agg(F.count(F.lit(1)).alias("n"), F.sum("__f").alias("f")).collect()):  # one row a range
+        offsets.append((r["__range"], n, f))
+        n, f = n + r.n, f + r.f
+    known = F.broadcast(spark.createDataFrame(offsets, "__range long, __n long, __before long"))
+    rows = rows.join(known, "__range").withColumn("__row", F.col("__n") + F.col("__id").bitwiseAND((1 << 33) - 1) + 1)
+    if flag:
+        inside = Window.partitionBy("__range").orderBy("__id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows = rows.withColumn("__flagged", F.col("__before") + F.sum("__f").over(inside))
+    return rows.drop("__range", "__n", "__before", "__id", "__f")
 
 
-def with_global_row_number(df: DataFrame, order_cols: list, out: str = "row_no", bucket: str = BUCKET) -> DataFrame:
+def with_global_row_number(df: DataFrame, order_cols: list, out: str = "row_no") -> DataFrame:
     """Add a 1-based global row number in ``order_cols`` order; rows without a time come first."""
-    return _numbered(df, order_cols, bucket, None).withColumnRenamed("__row", out).drop("__flagged")
+    return _numbered(df, order_cols, None).withColumnRenamed("__row", out)
 
 
-def trailing_rows_mean(df: DataFrame, order_cols: list, value: str, n_rows: int, out: str, bucket_rows: int = 100_000, bucket: str = BUCKET) -> DataFrame:
+def trailing_rows_mean(df: DataFrame, order_cols: list, value: str, n_rows: int, out: str, bucket_rows: int = 100_000) -> DataFrame:
     """Mean of ``value`` over the last ``n_rows`` rows (current included) in a global order.
 
     Rows are cut into parts of fixed size by global row number; each part also
     receives the last ``n_rows - 1`` rows of the part before it, so a window
     by part sees all it needs and no part is larger than another.
     """
-    numbered = with_global_row_number(df, order_cols, "__rn", bucket)
+    numbered = with_global_row_number(df, order_cols, "__rn")
     part = F.floor((F.col("__rn") - 1) / bucket_rows)
     own = F.struct(part.alias("part"), F.lit(False).alias("halo"))
     next_ = F.when((F.col("__rn") - 1) % bucket_rows >= bucket_rows - (n_rows - 1), F.struct((part + 1).alias("part"), F.lit(True).alias("halo")))
@@ -53,7 +63,7 @@ def trailing_rows_mean(df: DataFrame, order_cols: list, value: str, n_rows: int,
     return both.withColumn(out, F.avg(value).over(w)).where(~F.col("__at.halo")).drop("__at", "__rn")
 
 
-def running_count(df: DataFrame, order_cols: list, flag: str, total_out: str, flag_out: str, bucket: str = BUCKET) -> DataFrame:
+def running_count(df: DataFrame, order_cols: list, flag: str, total_out: str, flag_out: str) -> DataFrame:
     """Rows where ``flag`` is true, with the number of rows and of flagged rows up to and including each."""
-    n = _numbered(df, order_cols, bucket, flag)
+    n = _numbered(df, order_cols, flag)
     return n.where(F.col(flag)).withColumnRenamed("__row", total_out).withColumnRenamed("__flagged", flag_out)
