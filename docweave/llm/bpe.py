@@ -62,7 +62,7 @@ class RankBPE:
         if path.endswith(".json"):
             with open(path, encoding="utf-8") as f:
                 model = json.load(f)["model"]
-            back = {c: b for b, c in _printable().items()}
+            back = {c: b for b, c in printable().items()}
             as_bytes = lambda s: bytes(back[c] for c in s)
             order = {"".join(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
             ids = {as_bytes(t): i for t, i in model["vocab"].items() if all(c in back for c in t)}
@@ -190,7 +190,7 @@ class RankBPE:
         return b"".join([self.token[i] for i in ids])
 
 
-def _printable() -> dict[int, str]:
+def printable() -> dict[int, str]:
     """The public mapping of bytes to visible characters that ``.json`` vocabularies are written in."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     out, extra = {b: chr(b) for b in shown}, 0

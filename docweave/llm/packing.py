@@ -13,15 +13,19 @@ alone; repeated rows are packed separately; a null id stays null.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from docweave.llm.bpe import printable
 from docweave.llm.common import arrow_batch, id_and_text, slices
 
 SEQUENCE = 2048
@@ -32,11 +36,16 @@ class WordTokenizer:
     """Ids of whole texts for a vocabulary that drops white space and case.
 
     No match of its pattern contains white space, so the ids of a text are those
-    of its words. Words not known yet go to the library many at once, with a word
-    between them that is one token and stands in none of them.
+    of its words. Words not known yet are encoded many at once: those of plain
+    characters by the ranks of the same vocabulary, a line feed standing for the
+    end of a match; all others by the library, with a word between them that is
+    one token and stands in none of them.
     """
 
     BETWEEN = "\x01"
+    #: Lower-case words that the normalizer leaves alone, and the vocabulary's pattern for these characters.
+    PLAIN = re.compile(r"[!-@\[-~à-öø-ÿß]{1,1000}")
+    MATCH = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[!-/:-@\[-`{-~]+")
 
     def __init__(self, path: str, limit: int = 1_500_000):
         from tokenizers import Tokenizer
@@ -47,6 +56,16 @@ class WordTokenizer:
         self.limit = limit
         self.known: dict[bytes, bytes] = {}
         (self.between,) = self._encode(self.BETWEEN)
+        byte_of = {c: b for b, c in printable().items()}
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        suffix = model["end_of_word_suffix"]
+        ranks = {}
+        for token, rank in model["vocab"].items():
+            core = token.removesuffix(suffix)
+            ranks[bytes(byte_of[c] for c in core) + b"\n" * (core != token)] = rank
+        self.plain = tiktoken.Encoding("words", pat_str=r"[^\n ]+\n| ", mergeable_ranks=ranks, special_tokens={})
+        self.space = ranks[b" "]
 
     def _encode(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
@@ -57,36 +76,32 @@ class WordTokenizer:
             text = text.lower()
         return text.encode().split()
 
+    def _store(self, words: list[bytes], ids: np.ndarray, between: int) -> None:
+        cut = np.flatnonzero(ids == between)
+        if len(cut) != len(words) - 1:
+            raise ValueError("the word between words stands in one of them")
+        data = ids.tobytes()
+        begin, end = [0, *(4 * cut + 4).tolist()], [*(4 * cut).tolist(), len(data)]
+        self.known.update(zip(words, [data[i:j] for i, j in zip(begin, end, strict=True)], strict=True))
+
     def learn(self, words: set[bytes]) -> None:
         if len(self.known) + len(words) > self.limit:
             self.known.clear()
-        new = [w for w in words if w not in self.known]
-        ended = []  # letters, then stops: the pattern parts them there
-        for w in new:
-            core = w.rstrip(b".,;:!?")
-            if len(core) < len(w) and core.isalpha():
-                ended.append((w, core, w[len(core) :]))
-        if ended:
-            done = {w for w, _, _ in ended}
-            parts = {p for _, core, stops in ended for p in (core, stops)}
-            new = [*(w for w in new if w not in done), *(p for p in parts if p not in self.known and p not in words)]
-        alone = [w for w in new if b"\x01" in w or b"<|" in w or len(w) > 1000]
+        plain, alone, others = [], [], []
+        for w in words:
+            if w not in self.known:
+                special = b"\x01" in w or b"<|" in w
+                (alone if special or len(w) > 1000 else plain if self.PLAIN.fullmatch(w.decode()) else others).append(w)
         for w in alone:
             self.known[w] = np.array(self._encode(w.decode()), "<u4").tobytes()
-        new = [w for w in new if w not in self.known]
+        for start in range(0, len(plain), 20_000):
+            part = plain[start : start + 20_000]
+            text = self.MATCH.sub("\\g<0>\n", b" ".join(part).decode())
+            self._store(part, self.plain.encode_to_numpy(text, disallowed_special=()).astype("<u4"), self.space)
         mark = f"\n{self.BETWEEN}\n"
-        for start in range(0, len(new), 2000):
-            part = new[start : start + 2000]
-            ids = np.array(self._encode(mark.join([w.decode() for w in part])), "<u4")
-            cut = np.flatnonzero(ids == self.between)
-            if len(cut) != len(part) - 1:
-                raise ValueError("the word between words stands in one of them")
-            data = ids.tobytes()
-            begin, end = [0, *(4 * cut + 4).tolist()], [*(4 * cut).tolist(), len(data)]
-            self.known.update(zip(part, [data[i:j] for i, j in zip(begin, end, strict=True)], strict=True))
-        known = self.known
-        for w, core, stops in ended:
-            known[w] = known[core] + known[stops]
+        for start in range(0, len(others), 2000):
+            part = others[start : start + 2000]
+            self._store(part, np.array(self._encode(mark.join([w.decode() for w in part])), "<u4"), self.between)
 
     def ids(self, words: list[bytes]) -> bytes:
         """Ids of known words as little-endian unsigned 32-bit integers."""

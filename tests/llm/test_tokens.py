@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from docweave.llm.bpe import RankBPE, pieces
 from docweave.llm.bpe_codec import TextCodec, decode_documents, encode_documents
-from docweave.llm.packing import Packer, pack_documents
+from docweave.llm.packing import Packer, WordTokenizer, pack_documents
 from docweave.llm.token_counts import counter, count_tokens, longest_within, prefix_token_counts, truncation
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
@@ -26,6 +26,20 @@ PARTS = ["a", "b", " ", "  ", "\n", "\t", "'", "'re", "'ll", "é", "ß", "中文
 TEXTS = st.lists(st.sampled_from(PARTS), max_size=30).map("".join)
 
 
+def test_words_equal_the_library():
+    path = P.path("word_bpe_49k.json")
+    words, library = WordTokenizer(path), Tokenizer.from_file(path)
+    letters = "abzéßstdmrelvyÿªµ×÷'09.!&<|>`~-_\u0085\x1c\x01漢\u0301"
+    rng = random.Random(5)
+    some = {"".join(rng.choices(letters, k=rng.randint(1, 12))) for _ in range(20_000)}
+    some |= {"it's", "'tis", "we'll.", "l'été,", "a1b22c", "&&&", "$$$.", "a" * 1000, "b" * 1001, "<|endoftext|>", "x<|startoftext|>y", "Été", "ÀB", "naïve!?"}
+    found = {b for t in some for b in words.words(t)}
+    words.learn(found)
+    words.learn(found)
+    for b in found:
+        assert words.ids([b]) == np.array(library.encode(b.decode(), add_special_tokens=False).ids, "<u4").tobytes(), b
+
+
 @settings(max_examples=300, deadline=None)
 @given(TEXTS, st.integers(1, 9))
 def test_encoding_equals_the_library(text, leaf):
