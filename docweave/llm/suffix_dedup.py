@@ -38,6 +38,7 @@ from docweave.llm.substring_dedup import keyed_texts, text_keys
 from docweave.llm.wordhash import mix, powers
 
 SIZE, KMER, HOT = 200, 32, 100_000
+SALTS = 64  # tasks that the places of one k-mer are dealt to when they are marked as hot
 _SLICE = 2 << 20
 #: Starts worked through at once, whatever a text's length; places in such a part fit below _PLACE.
 _PART = 2 << 20
@@ -185,10 +186,16 @@ def _as_runs(owner: list[np.ndarray], start: np.ndarray) -> list[np.ndarray]:
 
 _RUNS = "k1 long, k2 long, at long, length long"
 _RUN_SCHEMA = pa.schema([(n, pa.int64()) for n in ("k1", "k2", "at", "length")])
+_REACH = 31           # bits of the least reach in ``reach``; the most stands above them
+
+
+def _lo_hi(reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and most bytes from a string's start to its anchor."""
+    return reach & ((1 << _REACH) - 1), reach >> _REACH
 
 
 def _anchor_rows(texts: DataFrame, size: int, kmer: int) -> DataFrame:
-    names = ["anchor", "k1", "k2", "at", "lo", "hi", "to", "sure"]
+    names = ["anchor", "k1", "k2", "at", "reach", "to", "sure"]
     schema = pa.schema([(n, pa.int64()) for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,15 +208,15 @@ def _anchor_rows(texts: DataFrame, size: int, kmer: int) -> DataFrame:
                 continue
             k1, k2 = batch.column(1).to_numpy()[text], batch.column(2).to_numpy()[text]
             to, sure = route(np.arange(len(h)), h)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h.view(np.int64), k1, k2, place - b.begin[text], lo, hi, to, sure.astype(np.int64))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h.view(np.int64), k1, k2, place - b.begin[text], hi << _REACH | lo, to, sure.astype(np.int64))], schema=schema)
 
     return texts.select("text", "k1", "k2").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def _suffixes(candidates: DataFrame, size: int, kmer: int) -> DataFrame:
-    """(anchor, k1, k2, at, lo, hi, around): the text before an anchor, backwards, then the text from it on."""
+    """(anchor, k1, k2, at, reach, around): the text before an anchor, backwards, then the text from it on."""
     back, ahead = -(-(size - kmer) // 8) * 8, -(-size // 8) * 8
-    names = ["anchor", "k1", "k2", "at", "lo", "hi"]
+    names = ["anchor", "k1", "k2", "at", "reach"]
     schema = pa.schema([*((n, pa.int64()) for n in names), ("around", pa.binary(back + ahead))])
     step = np.concatenate([-1 - np.arange(back), np.arange(ahead)])
 
@@ -218,17 +225,18 @@ def _suffixes(candidates: DataFrame, size: int, kmer: int) -> DataFrame:
             b = Bytes([t.encode() for t in batch.column(0).to_pylist()])
             anchors = batch.column(3).to_pylist()
             text = np.repeat(np.arange(len(anchors)), [len(a) for a in anchors])
-            value = {n: np.array([x[n] for a in anchors for x in a], np.int64) for n in ("anchor", "at", "lo", "hi")}
+            value = {n: np.array([x[n] for a in anchors for x in a], np.int64) for n in ("anchor", "at", "reach")}
+            lo, hi = _lo_hi(value["reach"])
             place = b.begin[text] + value["at"]
             for s in range(0, len(text), 8192):
                 t, p = text[s : s + 8192], place[s : s + 8192, None] + step
-                least, most = value["lo"][s : s + 8192, None], value["hi"][s : s + 8192, None]
+                least, most = lo[s : s + 8192, None], hi[s : s + 8192, None]
                 inside = (p >= b.begin[t][:, None]) & (p < b.end[t][:, None]) & (step >= -most) & (step < size - least)  # what a string can reach
                 around = np.where(inside, b.data[np.where(inside, p, 0)], 0).astype(np.uint8)
                 raw = pa.Array.from_buffers(pa.binary(back + ahead), len(t), [None, pa.py_buffer(around.tobytes())])
                 own = {n: pa.array(v[s : s + 8192]) for n, v in value.items()}
                 k1, k2 = pa.array(batch.column(1).to_numpy()[t]), pa.array(batch.column(2).to_numpy()[t])
-                yield pa.RecordBatch.from_arrays([own["anchor"], k1, k2, own["at"], own["lo"], own["hi"], raw], schema=schema).cast(pa.schema([*schema][:-1] + [pa.field("around", pa.binary())]))
+                yield pa.RecordBatch.from_arrays([own["anchor"], k1, k2, own["at"], own["reach"], raw], schema=schema).cast(pa.schema([*schema][:-1] + [pa.field("around", pa.binary())]))
 
     return candidates.select("text", "k1", "k2", "anchors").mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", around binary")
 
@@ -242,9 +250,9 @@ def _merged(suffixes: DataFrame, size: int, kmer: int) -> DataFrame:
         if not got:
             return
         t = pa.Table.from_batches(got)
-        c = {n: t.column(n).to_numpy() for n in ("anchor", "k1", "k2", "at", "lo", "hi")}
+        c = {n: t.column(n).to_numpy() for n in ("anchor", "k1", "k2", "at", "reach")}
         words = np.frombuffer(b"".join(t.column("around").to_pylist()), ">u8").astype(np.uint64).reshape(t.num_rows, -1)
-        row, d = repeated_offsets(c["anchor"], words[:, :back], words[:, back:], c["lo"], c["hi"], size)
+        row, d = repeated_offsets(c["anchor"], words[:, :back], words[:, back:], *_lo_hi(c["reach"]), size)
         columns = _as_runs([c["k1"][row], c["k2"][row]], c["at"][row] - d)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=_RUN_SCHEMA)
 
@@ -262,7 +270,8 @@ def _hashed(candidates: DataFrame, size: int) -> DataFrame:
             start, text = [], []
             for i, anchors in enumerate(batch.column(3).to_pylist()):
                 for x in anchors:
-                    own = np.arange(x["at"] - x["hi"], x["at"] - x["lo"] + 1) + b.begin[i]
+                    lo, hi = _lo_hi(x["reach"])
+                    own = np.arange(x["at"] - hi, x["at"] - lo + 1) + b.begin[i]
                     start.append(own)
                     text.append(np.full(len(own), i))
             start, text = np.concatenate(start), np.concatenate(text)
@@ -328,10 +337,10 @@ def _judged(texts: DataFrame, size: int, kmer: int, hot: int, with_text: bool) -
         raise ValueError("a k-mer must fit into a string")
     one_each = texts.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("rows"))
     shared = written(repeated_rows(_anchor_rows(texts, size, kmer), ["anchor"], ["k1", "k2", "at"]).distinct(), "anchors")
-    many = shared.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("anchor", F.lit(True).alias("hot"))
-    marked = shared.join(many, "anchor", "left").groupBy("k1", "k2").agg(
-        F.collect_list(F.when(F.col("hot").isNull(), F.struct("anchor", "at", "lo", "hi"))).alias("usual"),
-        F.collect_list(F.when(F.col("hot"), F.struct("anchor", "at", "lo", "hi"))).alias("hot"),
+    many = shared.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("anchor", F.lit(True).alias("hot"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    marked = shared.withColumn("salt", F.pmod("k1", F.lit(SALTS)).cast("int")).join(many, ["anchor", "salt"], "left").groupBy("k1", "k2").agg(
+        F.collect_list(F.when(F.col("hot").isNull(), F.struct("anchor", "at", "reach"))).alias("usual"),
+        F.collect_list(F.when(F.col("hot"), F.struct("anchor", "at", "reach"))).alias("hot"),
     )
     candidates = one_each.join(marked, ["k1", "k2"])
     of = lambda c: candidates.where(F.size(c) > 0).withColumnRenamed(c, "anchors")
