@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docweave import config as C
 from docweave.functions import text as T
 from docweave.functions.vectors import with_hash_embedding
 from docweave.operators.arrays import posexplode_kept
 from docweave.operators.chunker import chunk_documents
+from docweave.operators.dictionary import expand_by_dictionary, with_terms
 from docweave.plans.sql_blocks import DOCS_CTE, chunk_ctes, hash_embed_sql
 from docweave.sources.tables import docs_view, table
 
@@ -83,6 +85,20 @@ def validate_query(spark, sf):
     return v.select("conv_id", "turn", F.col("v.is_valid").alias("is_valid"), F.col("v.message").alias("message"))
 
 
+def expand_query_terms(spark, sf):
+    """F8 with the synonyms as a table of terms."""
+    synonyms = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(C.SYNONYMS)], "ord long, term string, value string")
+    return expand_by_dictionary(asked(spark, sf), synonyms).select("conv_id", "turn", "expanded")
+
+
+def match_terms(spark, sf):
+    """The words of ten letters or more of the benchmark, looked for in all documents."""
+    words = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{10,}"), F.lit(0))).alias("term"))
+    terms = words.distinct().select(F.length("term").cast("long").alias("ord"), "term", F.lit(None).cast("string").alias("value"))
+    found = with_terms(table(spark, sf, "documents").select("doc_id", "text"), terms)
+    return found.select("doc_id", F.size("terms").cast("bigint").alias("n_terms"), F.array_join(F.transform("terms", lambda e: e["term"]), ",").alias("terms"))
+
+
 QUERIES = {
     "normalize_text": normalize_text,
     "sentence_split": sentence_split,
@@ -92,6 +108,8 @@ QUERIES = {
     "expand_query": expand_query,
     "classify_domain": classify_domain,
     "validate_query": validate_query,
+    "expand_query_terms": expand_query_terms,
+    "match_terms": match_terms,
 }
 
 _NORM = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
@@ -147,6 +165,13 @@ def _oracle():
         "expand_query": f"""
             SELECT conv_id, turn, {_SYN} AS expanded
             FROM (SELECT conv_id, turn, {_NORM} AS q FROM {_asked_sql()})""",
+        "expand_query_terms": f"""
+            SELECT conv_id, turn, {_SYN} AS expanded
+            FROM (SELECT conv_id, turn, {_NORM} AS q FROM {_asked_sql()})""",
+        "match_terms": """
+            WITH terms AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{10,}')) AS term FROM benchmark)
+            SELECT doc_id, count(term) AS n_terms, coalesce(string_agg(term, ',' ORDER BY length(term), term), '') AS terms
+            FROM documents LEFT JOIN terms ON contains(lower(text), term) GROUP BY doc_id""",
         "classify_domain": f"""
             SELECT conv_id, turn, {dom} AS domain, CASE WHEN {blank} THEN false ELSE ({dom}) IN ('it', 'unknown') END AS is_it,
                    coalesce({math}, false) AS is_math
