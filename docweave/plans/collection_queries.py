@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from docweave import config as C
+from docweave.operators.arrays import posexplode_kept
 from docweave.functions.vectors import hash_embed_raw, l2_normalize, with_hash_embedding
 from docweave.operators import collection as K
 from docweave.operators.chunker import chunk_documents
@@ -155,6 +156,21 @@ def reindex_split(spark, sf):
     return g.select("filename", "upserted", "reembedded", "failed", F.round("v0", 6).alias("v0_sum"))
 
 
+def dim_guard_sides(spark, sf):
+    """The points that the guard takes and those that it turns away, with their dimension."""
+    sides = K.dim_guard(_written(_mixed_dim_points(spark, sf)), 64)
+    took, refused = (x.select("point_id", "filename", F.lit(side).alias("side"), F.size("vector").cast("bigint").alias("dim"))
+                     for x, side in zip(sides, ("accepted", "rejected"), strict=True))
+    return took.unionByName(refused)
+
+
+def reindex_vectors(spark, sf):
+    """Every place of every vector after reindexing."""
+    r = K.reindex(_mixed_dim_points(spark, sf), 64, lambda df, t, o: with_hash_embedding(df, t, o, 64))
+    places = posexplode_kept(r, ["point_id", "filename"], "vector", "dim_index", "value")
+    return places.select("point_id", "filename", F.col("dim_index").cast("bigint"), F.round("value", 6).alias("value"))
+
+
 def ingest_report(spark, sf):
     """U8; the provider gave no vector for every fifth chunk of a document."""
     given = F.when(F.pmod("chunk_index", F.lit(5)) != 3, F.col("vector"))
@@ -190,7 +206,9 @@ QUERIES = {
     "delete_state": delete_state,
     "clear_collection": clear_collection,
     "dim_guard": dim_guard,
+    "dim_guard_sides": dim_guard_sides,
     "reindex_split": reindex_split,
+    "reindex_vectors": reindex_vectors,
     "ingest_report": ingest_report,
 }
 
@@ -246,6 +264,11 @@ ORACLE = {
     "clear_collection": _CK + """
     SELECT 'clear' AS step, 'documents' AS collection, CAST(64 AS BIGINT) AS dim, 'Cosine' AS distance, CAST(0 AS BIGINT) AS points,
            '{"deleted":"' || CAST(count(*) AS VARCHAR) || '","success":"true"}' AS report FROM pts""",
+    "dim_guard_sides": _MIXED + """
+    SELECT point_id, filename, CASE WHEN len(vec) = 64 THEN 'accepted' ELSE 'rejected' END AS side, CAST(len(vec) AS BIGINT) AS dim FROM mixed""",
+    "reindex_vectors": _CK + """,
+    e AS (""" + hash_embed_sql("pts", "point_id", "text", 64) + """)
+    SELECT point_id, filename, CAST(generate_subscripts(vec, 1) - 1 AS BIGINT) AS dim_index, round(unnest(vec), 6) AS value FROM e JOIN pts USING (point_id)""",
     "dim_guard": _MIXED + """
     SELECT filename, CAST(count(*) AS BIGINT) AS requested_chunks,
            CASE WHEN bool_or(len(vec) <> 64) THEN 'embedding_dim_mismatch' ELSE 'indexed' END AS status FROM mixed GROUP BY filename""",

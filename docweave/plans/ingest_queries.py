@@ -130,6 +130,18 @@ def read_json_text(spark, sf):
                      "generated_name", F.length("text").cast("bigint").alias("n_chars"))
 
 
+def json_upload_sides(spark, sf):
+    """Both sides of JSON uploads, where French documents arrive without their text."""
+    out = _fresh(spark, "json-sides")
+    d = table(spark, sf, "documents")
+    d.select("doc_id", F.when(F.col("lang") != "fr", F.col("text")).alias("text"), F.col("source").alias("filename")).write.json(out)
+    from pyspark.sql import types as T
+    sides = FS.read_json_uploads(spark, out, FS.JSON_UPLOAD_SCHEMA.add(T.StructField("doc_id", T.LongType())))
+    ok, rejects = (x.select("doc_id", "filename", F.lit(side).alias("side"), F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n_chars"))
+                   for x, side in zip(sides, ("accepted", "rejected"), strict=True))
+    return ok.unionByName(rejects)
+
+
 def _payload_shapes(spark, sf):
     """One payload per vector, in ten shapes by id; the last three are errors."""
     e = table(spark, sf, "embeddings")
@@ -148,8 +160,8 @@ def coerce_embedding_payload(spark, sf):
     return p.select("vec_id", "status", n.alias("n_vectors"), F.when(n > 0, F.size(F.element_at("vs", -1))).otherwise(0).cast("bigint").alias("dim"), F.round(total, 4).alias("total"))
 
 
-def load_vectors_report(spark, sf):
-    """One upload document per vector; label-0 vectors arrive without their vector."""
+def _vector_uploads(spark, sf):
+    """One upload document per vector; label-0 vectors arrive without their vector."""
     e = table(spark, sf, "embeddings")
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text")
     j = e.join(d, "vec_id", "left")
@@ -157,11 +169,23 @@ def load_vectors_report(spark, sf):
                      F.when(F.col("label") != 0, F.col("embedding")).alias("vector"), F.lit(0).alias("chunk_index"))
     doc = F.struct(F.col("vec_id").cast("string").alias("id"), F.concat(F.lit("vec_"), F.col("vec_id").cast("string"), F.lit(".json")).alias("filename"),
                    F.array(chunk).alias("chunks"))
-    payloads = j.select(F.to_json(F.struct(doc.alias("document"))).alias("payload"))
-    chunks, report = load_vectors(payloads)
+    return j.select(F.to_json(F.struct(doc.alias("document"))).alias("payload"))
+
+
+def load_vectors_report(spark, sf):
+    """What became of each uploaded document."""
+    _chunks, report = load_vectors(_vector_uploads(spark, sf))
     return report.select("id", "status", "reason", F.col("upserted").cast("bigint"))
 
 
+def load_vector_chunks(spark, sf):
+    """The chunks taken up, with every place of their vectors."""
+    chunks, _report = load_vectors(_vector_uploads(spark, sf))
+    out = posexplode_kept(chunks.withColumn("n_chars", F.length("text")), ["id", "filename", "chunk_index", "n_chars"], "vector", "dim_index", "value")
+    return out.select("id", "filename", *(F.col(c).cast("bigint").alias(c) for c in ("chunk_index", "n_chars", "dim_index")),
+                      F.col("value").cast("float").cast("double").alias("value"))
+
+
 def batch_embed_provider(spark, sf):
     """K1: the default provider chain on a machine without a neural model falls back to the hash embedding."""
     d = table(spark, sf, "documents").select("doc_id", "text")
@@ -183,6 +207,8 @@ QUERIES = {
     "read_json_text": read_json_text,
     "coerce_embedding_payload": coerce_embedding_payload,
     "load_vectors": load_vectors_report,
+    "load_vector_chunks": load_vector_chunks,
+    "json_upload_sides": json_upload_sides,
     "batch_embed_provider": batch_embed_provider,
 }
 
@@ -262,6 +288,14 @@ ORACLE = {
                           CASE WHEN vec_id % 10 IN (1, 2, 6) THEN 2 WHEN vec_id % 10 < 7 THEN 1 ELSE 0 END AS n FROM embeddings)
         SELECT vec_id, CASE WHEN n > 0 THEN 'ok' ELSE 'error' END AS status, CAST(n AS BIGINT) AS n_vectors,
                CAST(CASE WHEN n > 0 THEN d ELSE 0 END AS BIGINT) AS dim, CASE WHEN n > 0 THEN round(n * t, 4) END AS total FROM s""",
+    "json_upload_sides": """
+        SELECT doc_id, source AS filename, CASE WHEN lang = 'fr' OR text IS NULL THEN 'rejected' ELSE 'accepted' END AS side,
+               CAST(CASE WHEN lang <> 'fr' THEN coalesce(length(text), 0) ELSE 0 END AS BIGINT) AS n_chars FROM documents""",
+    "load_vector_chunks": """
+        WITH v AS (SELECT vec_id, coalesce(length(text), 0) AS n, embedding FROM embeddings LEFT JOIN documents ON doc_id = vec_id WHERE label <> 0)
+        SELECT CAST(vec_id AS VARCHAR) AS id, 'vec_' || CAST(vec_id AS VARCHAR) || '.json' AS filename, CAST(0 AS BIGINT) AS chunk_index,
+               CAST(n AS BIGINT) AS n_chars, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS dim_index,
+               CAST(unnest(embedding) AS DOUBLE) AS value FROM v""",
     "load_vectors": """
         SELECT CAST(vec_id AS VARCHAR) AS id, CASE WHEN label = 0 THEN 'skipped' ELSE 'upserted' END AS status,
                CASE WHEN label = 0 THEN 'missing vector for chunk 0' END AS reason, CAST(CASE WHEN label = 0 THEN 0 ELSE 1 END AS BIGINT) AS upserted
