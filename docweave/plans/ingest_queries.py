@@ -15,6 +15,7 @@ from docweave.operators.arrays import posexplode_kept
 from docweave.operators.embed import embed
 from docweave.session import scratch_path
 from docweave.sources import files as FS
+from docweave.sources import markup as MU
 from docweave.sources.csv_records import csv_file_rows
 from docweave.sources.tables import table
 from docweave.sources.vectors import coerce_status, coerce_vectors, load_vectors
@@ -102,6 +103,20 @@ def extract_links(spark, sf):
     return p.select("page_id", F.size(FS.links("html")).cast("bigint").alias("n_links"), FS.links_section("html").alias("links_section"))
 
 
+def markup_links(spark, sf):
+    """Every link of every page, found by a scan over the tags."""
+    p = table(spark, sf, "pages").select("page_id", MU.markup_links("html").alias("links"))
+    out = posexplode_kept(p, ["page_id"], "links", "link_no", "l")
+    return out.select("page_id", F.col("link_no").cast("bigint"), F.col("l.text").alias("text"), F.col("l.url").alias("url"))
+
+
+def side_links(spark, sf):
+    """S9, paged form: the pages of a host are the sides of one document, numbered by page_id."""
+    host = F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host")
+    sides = table(spark, sf, "pages").select(host, "page_id", MU.markup_links("html").alias("links"))
+    return MU.side_links(sides, "host", "page_id")
+
+
 def flatten_parts(spark, sf):
     """Conversation turns as the ordered parts of a document."""
     return FS.flatten_parts(table(spark, sf, "conversations"), "conv_id", "turn", "text")
@@ -202,6 +217,8 @@ QUERIES = {
     "csv_large_file": csv_large_file,
     "url_shortcut": url_shortcut,
     "extract_links": extract_links,
+    "markup_links": markup_links,
+    "side_links": side_links,
     "flatten_parts": flatten_parts,
     "format_dispatch": format_dispatch,
     "read_json_text": read_json_text,
@@ -226,6 +243,10 @@ def _concat_ws(cols):
 
 _ANCH = '<a[^>]*href="([^"]*)"[^>]*>(.*?)</a>'
 
+_LINK_ROWS = f"""l AS (SELECT page_id, k, {_STRIP.format(x="regexp_replace(t, '<[^>]*>', '', 'g')")} AS text, u AS url FROM (
+            SELECT page_id, unnest(regexp_extract_all(html, '{_ANCH}', 2)) AS t, unnest(regexp_extract_all(html, '{_ANCH}', 1)) AS u,
+                   generate_subscripts(regexp_extract_all(html, '{_ANCH}', 1), 1) AS k FROM pages))"""
+
 ORACLE = {
     "linearize_rows": f"SELECT p_partkey, {_concat_ws(_PART_COLS)} AS line FROM part",
     "read_files": f"""
@@ -268,6 +289,15 @@ ORACLE = {
                CASE WHEN len(ps) > 0 THEN chr(10) || chr(10) || '**Links from document:**' || chr(10)
                     || array_to_string(list_transform(ps, lambda p: '- ' || p[1] || ': ' || p[2]), chr(10)) ELSE '' END AS links_section
         FROM z""",
+    "markup_links": f"""
+        WITH {_LINK_ROWS}
+        SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS link_no, text, url FROM l WHERE text <> '' AND url <> ''""",
+    "side_links": f"""
+        WITH {_LINK_ROWS},
+        s AS (SELECT regexp_extract(p.url, '^https?://([^/]+)', 1) AS host,
+                     string_agg('- Link (side ' || CAST(page_id AS VARCHAR) || '): ' || l.url || chr(10), '' ORDER BY page_id, k) FILTER (WHERE l.text <> '' AND l.url <> '') AS body
+              FROM pages p LEFT JOIN l USING (page_id) GROUP BY 1)
+        SELECT host, CASE WHEN body IS NULL THEN '' ELSE chr(10) || chr(10) || '**Links from PDF document:**' || chr(10) || body END AS links_section FROM s""",
     "flatten_parts": f"""
         SELECT conv_id,
                coalesce(string_agg({_STRIP.format(x='text')}, chr(10) ORDER BY turn) FILTER (WHERE {_STRIP.format(x='text')} <> ''), '') AS docx_text,
