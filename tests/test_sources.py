@@ -105,3 +105,24 @@ def test_load_vectors(spark):
     demo_chunks, demo_rep = load_vectors(df, demo=True, dim=8)
     assert {r.id: r.status for r in demo_rep.collect()}["c"] == "upserted"
     assert len(demo_chunks.where("id = 'c'").first().vector) == 8
+
+
+def test_files_of_a_task_share_a_folder_and_keep_their_names_and_lines(spark, tmp_path):
+    rows = [("a_1.txt", "x\ny"), ("a_1.txt", "z"), ("b:2%.md", ""), (None, "w"), ("c_3.txt", None)]
+    df = spark.createDataFrame(rows, "name string, text string").coalesce(1)
+    df.write.partitionBy("name").text(f"{tmp_path}/plain")
+    FS.write_text_files(df, F.col("name"), "text", f"{tmp_path}/flat")
+    want = FS.read_files(spark, f"{tmp_path}/plain").select(F.regexp_extract("path", "name=([^/]+)/", 1), "content").collect()
+    got = FS.read_files(spark, f"{tmp_path}/flat").select(FS.written_name("path"), "content").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    assert len(list(tmp_path.glob("flat/*"))) == 1  # one folder to list, not one a file
+
+
+def test_json_queries_leave_the_shared_schema_alone(spark, tmp_path):
+    from docweave.plans import ingest_queries as Q
+
+    rows = [(1, "a", "en", "s", 1), (2, "b", "es", "s", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("json_upload_sides", "read_json_text", "read_json_text"):
+        Q.QUERIES[name](spark, str(tmp_path))
+    assert FS.JSON_UPLOAD_SCHEMA.fieldNames() == ["text", "filename"]
