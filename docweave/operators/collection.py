@@ -4,9 +4,11 @@ State changes are DataFrame transformations (anti / semi joins and unions on
 keys). ``Collection`` stores points partitioned by ``type`` and by a hash bucket
 of the file name, so the P1 file-type filter prunes directories, an insert only
 appends, and a replace or delete rewrites the buckets of the files it names and
-no others. What a change writes is staged once in the shared scratch folder, so
-vectors are computed once and nothing is overwritten while it is being read.
-One writer at a time.
+no others. Incoming points are staged once in the shared scratch folder, so
+vectors are computed once; what is new is found by keys, and texts and vectors
+are not shuffled for it. A rewrite adds its files, then removes the old ones, so
+nothing is overwritten while it is being read. One writer at a time, and no
+reader while it writes.
 """
 
 from __future__ import annotations
@@ -194,7 +196,8 @@ class Collection:
         ])
 
     # -- files
-    def _delete(self, path: str) -> None:
+    def _delete(self, path) -> None:
+        """``path``: a string, or a URI as ``_metadata.file_path`` gives it."""
         where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -213,13 +216,20 @@ class Collection:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _in(self, touched: DataFrame, *more) -> DataFrame:
+        """The stored points in the partitions ``touched`` (type, bucket), at most buckets x types rows."""
+        at, stored = F.broadcast(touched.select(F.col("type").alias("__type"), F.col("bucket").alias("__bucket"))), self._stored().select("*", *more)
+        return stored.join(at, stored["type"].eqNullSafe(at["__type"]) & stored["bucket"].eqNullSafe(at["__bucket"]), "left_semi")
+
     def _rewrite(self, touched: DataFrame, rows: DataFrame) -> None:
-        """Replace the partitions in ``touched`` (type, bucket) by ``rows``, all of which lie in them."""
-        staged = self._staged(rows)
-        staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("type", "bucket").parquet(self.path)
-        gone = touched.join(staged.select("type", "bucket").distinct(), ["type", "bucket"], "left_anti")
-        for r in gone.collect():  # at most buckets x types, from the layout
-            self._delete(f"{self.path}/type={r['type']}/bucket={r['bucket']}")
+        """Replace the partitions in ``touched`` (type, bucket) by ``rows``, all of which lie in them.
+
+        The rows are written as new files beside the old ones, which they may be read from; then the old files go.
+        """
+        old = self._in(touched, F.col("_metadata.file_path").alias("file")).select("file").distinct().collect()  # file names, from the layout
+        rows.select(*POINT_COLUMNS, "bucket").write.mode("append").partitionBy("type", "bucket").parquet(self.path)
+        for r in old:
+            self._delete(self.spark._jvm.java.net.URI(r["file"]))
 
     # -- data
     def read(self) -> DataFrame:
@@ -229,7 +239,7 @@ class Collection:
 
     def _fitting(self, points: DataFrame) -> tuple[DataFrame, int]:
         """The points, computed once, and how many do not fit the collection."""
-        staged = self._staged(self._bucketed(points))
+        staged = self._staged(self._bucketed(points).withColumn("__row", F.monotonically_increasing_id()))
         return staged, dim_guard(staged, self._known()["dim"])[1].count()
 
     def upsert(self, points: DataFrame) -> dict:
@@ -238,9 +248,18 @@ class Collection:
         if n_bad:
             return {"error": C.STATUS_DIM_MISMATCH, "rejected": n_bad}
         key = ["type", "bucket", "point_id"]
-        new = self._staged(staged.dropDuplicates(key).join(self._stored().select(key), key, "left_anti").select(staged.columns))
-        new.write.mode("append").partitionBy("type", "bucket").parquet(self.path)
-        return {"status": C.STATUS_INDEXED, "inserted": new.count()}
+        first = staged.groupBy(key).agg(F.min("__row").alias("__row"))  # keys are shuffled, texts and vectors are not
+        new = self._staged(first.join(self._stored().select(key), key, "left_anti").select("__row"))
+        n_staged, n_new = staged.count(), new.count()
+        if n_new == 0:
+            return {"status": C.STATUS_INDEXED, "inserted": 0}
+        rows = staged
+        if n_new < n_staged:  # by the shorter list of rows
+            few = 2 * n_new <= n_staged
+            listed = new if few else self._staged(staged.select("__row").join(new, "__row", "left_anti"))
+            rows = staged.join(listed, "__row", "left_semi" if few else "left_anti")
+        rows.select(*POINT_COLUMNS, "bucket").write.mode("append").partitionBy("type", "bucket").parquet(self.path)
+        return {"status": C.STATUS_INDEXED, "inserted": n_new}
 
     def replace(self, points: DataFrame) -> dict:
         """U2 + U7: the files in ``points`` have all their points replaced."""
@@ -249,8 +268,9 @@ class Collection:
             return {"error": C.STATUS_DIM_MISMATCH, "rejected": n_bad}
         names = staged.select("type", "bucket", "filename").distinct()
         touched = names.select("type", "bucket").distinct()
-        kept = self._stored().join(touched, ["type", "bucket"], "left_semi").join(names, ["type", "bucket", "filename"], "left_anti")
-        self._rewrite(touched, kept.select(staged.columns).unionByName(staged))
+        kept = self._in(touched).join(self._staged(names), ["type", "bucket", "filename"], "left_anti")
+        columns = [*POINT_COLUMNS, "bucket"]
+        self._rewrite(touched, kept.select(columns).unionByName(staged.select(columns)))
         return {"status": C.STATUS_INDEXED, "inserted": staged.count()}
 
     def reindex(self, embed) -> dict:
@@ -258,21 +278,20 @@ class Collection:
         dim = self._known()["dim"]
         bad = self._stored().where(~F.coalesce(F.size("vector") == dim, F.lit(False)))
         touched = self._staged(bad.select("type", "bucket").distinct())
-        done = reindex(self._stored().join(touched, ["type", "bucket"], "left_semi"), dim, embed)
+        done = reindex(self._in(touched), dim, embed)
         staged = self._staged(done)
-        self._rewrite(touched, staged.where("reindex_ok").select(*POINT_COLUMNS, "bucket"))
+        self._rewrite(touched, staged.where("reindex_ok"))
         r = staged.agg(F.count_if("reembedded").alias("n"), F.count_if(~F.col("reindex_ok")).alias("failed")).first()
         return {"reembedded": r["n"], "failed": r["failed"]}
 
     def delete(self, filenames: DataFrame) -> int:
         """Returns the number of deleted points."""
-        names = filenames.select("filename").distinct()
+        names = self._staged(filenames.select("filename").distinct())  # a table of known size
         hit = self._staged(self._stored().join(names, "filename", "left_semi").select("type", "bucket", "filename"))
         n = hit.count()
         if n:
             touched = hit.select("type", "bucket").distinct()
-            kept = self._stored().join(touched, ["type", "bucket"], "left_semi").join(names, "filename", "left_anti")
-            self._rewrite(touched, kept.select(*POINT_COLUMNS, "bucket"))
+            self._rewrite(touched, self._in(touched).join(names, "filename", "left_anti"))
         return n
 
     def clear(self) -> dict:

@@ -103,3 +103,16 @@ def test_replace_and_reindex_touch_only_their_buckets(spark, tmp_path):
 def test_an_unreadable_place_is_an_error(spark):
     with pytest.raises(Exception):  # noqa: B017 - whatever the file system raises
         Collection(spark, "nosuchscheme://x/c").meta()
+
+
+def test_an_insert_shuffles_keys_and_writes_its_points_twice_at_most(spark, tmp_path):
+    c = Collection(spark, f"{tmp_path}/c")
+    c.create(4, buckets=4)
+    staged, plans = c._staged, []
+    c._staged = lambda df: (plans.append(df.columns), staged(df))[1]
+    assert c.upsert(pts(spark, range(20)).unionByName(pts(spark, range(5)))) == {"status": "indexed", "inserted": 20}
+    assert c.upsert(pts(spark, range(18, 30)))["inserted"] == 10
+    assert c.upsert(pts(spark, range(30)))["inserted"] == 0
+    assert sorted(r.point_id for r in c.read().collect()) == sorted(f"id{i}" for i in range(30))
+    assert sum("vector" in p for p in plans) == 3  # one staged copy an insert, and lists of row numbers
+    assert all(p == ["__row"] for p in plans if "vector" not in p)
