@@ -14,7 +14,8 @@ to the shared folder. Which phrases have reached ``least`` is read off the sums
 of all steps so far and told to the tasks as a table of fixed size: for each of
 2^22 hash values the first step at which a phrase with it may count. A shared
 hash value can activate a phrase that need not be counted, but none too late,
-and always for a whole cycle, so counts are exact.
+and always for a whole cycle, which begins no earlier than those of its
+subphrases, so counts are exact.
 
 Defined results: a null text counts as empty, a null language as ``und``;
 repeated rows count again; an empty table gives no rows; only the two columns
@@ -78,8 +79,10 @@ def slice_counts(lang: str, texts: list[bytes], step: int, shards: int, reached:
         yield 1, phrases, np.bincount(ids[ids >= 0], minlength=len(phrases)), np.zeros(len(phrases), np.int64)
     last = np.array(phrases, object)
     final = np.arange(len(phrases))  # the last word of each phrase
+    start = np.zeros(len(phrases), np.int64)
     for length in range(2, longest + 1):
-        since = reached[length - 1][_entries(prefix, phrases)]
+        # a shared hash value may be told of before the phrase itself can be seen
+        since = np.maximum(reached[length - 1][_entries(prefix, phrases)], start)
         a, b = ids[:-1], ids[1:]
         at = np.flatnonzero((a >= 0) & (b >= 0))
         at = at[(since[a[at]] != _NEVER) & (since[b[at]] != _NEVER)]
@@ -87,7 +90,7 @@ def slice_counts(lang: str, texts: list[bytes], step: int, shards: int, reached:
             return
         key, inverse, count = np.unique(a[at] * len(phrases) + b[at], return_inverse=True, return_counts=True)
         left, right = key // len(phrases), key % len(phrases)
-        start = np.maximum(since[left], since[right]).astype(np.int64)
+        start = np.maximum(since[left], since[right])
         ids = np.full(len(ids) - 1, -1, np.int64)
         ids[at] = inverse
         final = final[right]

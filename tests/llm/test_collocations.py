@@ -78,6 +78,28 @@ def test_a_phrase_waits_for_both_parts_and_counts_one_cycle():
     assert {p for k, ps, *_ in slice_counts("en", [b"a b a b c"], 2, 3, {1: word, 2: pair}, 3) if k == 2 for p in ps} == {b"a b", b"b a"}
 
 
+def test_a_shared_hash_value_does_not_begin_a_cycle_before_its_words():
+    never = np.full(1 << C.BITS, 255, np.uint8)
+    pair = never.copy()
+    pair[C._entries(b"en\0", [b"a a"])] = 2  # another pair with this hash value was told of at step 2
+    word = never.copy()
+    word[C._entries(b"en\0", [b"a"])] = 3
+    found = {t: {k for k, *_ in slice_counts("en", [b"a a a"], t, 3, {1: never if t < 3 else word, 2: pair}, 3)} for t in range(2, 8)}
+    assert {t for t, ks in found.items() if 3 in ks} == {3, 4, 5}
+
+
+def test_counts_are_whole_when_two_pairs_share_a_hash_value(spark):
+    words = [b"w%d" % i for i in range(6000)]
+    of = {}
+    for w, e in zip(words, C._entries(b"en\0", [w + b" " + w for w in words]).tolist(), strict=True):
+        of.setdefault(e, []).append(w.decode())
+    early, late = next(ws for ws in of.values() if len(ws) > 1)[:2]
+    few, many = f"{late} " * 4, f"{late} " * 20  # only the third shard makes the word frequent
+    rows = [("en", f"{early} " * 30 + ". " + few), ("en", f"{early} " * 30 + ". " + few), ("en", many)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3), "lang string, text string")
+    assert sorted(map(tuple, collocations(df).collect())) == plain(rows)
+
+
 def test_scores_are_exact(spark):
     a, left, right = 999_999_999_989, 1_000_000_000_039, 1_000_000_000_061
     df = spark.createDataFrame([(a, left, right), (10, 10, 10), (1, 10**12, 10**12)], "a long, l long, r long")
