@@ -6,7 +6,7 @@ import random
 import duckdb
 import pytest
 
-from docweave.sources.csv_records import csv_file_rows
+from docweave.sources.csv_records import csv_file_rows, scanned
 
 
 @pytest.fixture
@@ -75,3 +75,29 @@ def test_one_quoted_cell_over_many_blocks(small_blocks, tmp_path):
     body = "\n".join(f"line {i}, with; marks" for i in range(300))
     got = rows_of(small_blocks, tmp_path, one=f'k;v\n1;"{body}"\n2;z\n')["one"]
     assert got == ([f"k: 1 | v: {body}", "k: 2 | v: z"], False)
+
+
+def test_lines_are_joined_to_their_blocks_without_a_shuffle(small_blocks, tmp_path):
+    (tmp_path / "big.csv").write_text(big_file(2))
+    plan = csv_file_rows(small_blocks, str(tmp_path)).select("line", "fallback")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
+def test_scan_notes_parity_and_the_last_line_of_either_parity_by_block(spark):
+    text = ['a"', "b", '"c', 'd""', '"', "e", 'f"', "g"]
+    rows = [("p", i // 5, 10 + i, line) for i, line in enumerate(text)] + [("q", 1, 30, '"'), ("q", 1, 31, "h")]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 1), "path string, block long, id long, line string")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("1", "3", "100"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got = [(r.id, r.inside, r.own0, r.own1) for r in scanned(df).collect()]
+            want, state = [], {}
+            for path, block, i, line in rows:
+                quotes, last = state.get((path, block), (0, [None, None]))
+                last = [i if quotes % 2 == p else last[p] for p in (0, 1)]
+                want.append((i, quotes % 2, *(-1 if x is None else i - x for x in last)))
+                state[path, block] = quotes + line.count('"'), last
+            assert got == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
