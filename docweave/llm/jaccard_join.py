@@ -6,7 +6,7 @@ Documents with equal sets are one class; classes with equal prefix and size form
 one group, which enters the join once. Group pairs that share a prefix shingle
 are filtered by size and by place in the order, expanded to their classes,
 filtered by a parity signature that bounds the difference of two sets from
-below, and the rest verified on the whole sets.
+below and is longer for larger sets, and the rest verified on the whole sets.
 
 Only components are asked for, so within one very long list of a shingle every
 class is first compared with the smallest one; classes that then still lie in
@@ -37,7 +37,7 @@ from docweave.llm.wordhash import Words, mix
 
 SHINGLE, PERCENT = 4, 85
 SKETCH_BITS = 19
-SIGNATURE = 16  # 64-bit words
+SIGNATURE = 1024  # bits at least; doubled until a set has no more shingles
 LONG_LIST = 400
 _SLICE = 2 << 20
 _PART = 1 << 15  # counters in one row of the table of counts
@@ -96,10 +96,24 @@ def _prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def signature(x: np.ndarray) -> bytes:
+    """The parity of a set's shingles in each of 2^k classes, as bits; the bits grow with the set, or long sets would all look alike."""
+    size = max(SIGNATURE, 1 << (len(x) - 1).bit_length()) if len(x) else SIGNATURE
+    bits = np.bincount((x & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
+def least_difference(a: np.ndarray, b: np.ndarray) -> int:
+    """Shingles that two sets do not share, at least, by the bytes of their signatures; a longer one is folded."""
+    m = min(len(a), len(b))
+    a, b = (np.bitwise_xor.reduce(x.reshape(-1, m), axis=0) for x in (a, b))
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _described(docs: DataFrame, size: int, percent: int, levels: np.ndarray) -> DataFrame:
     """(doc_id, n, s1, s2, p1, p2, prefix, signature): set key, prefix key, prefix in order, parity signature."""
     seed = np.uint64(0xA0761D6478BD642F)
-    fields = [("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("p1", pa.int64()), ("p2", pa.int64()), ("prefix", pa.list_(pa.int64())), ("signature", pa.list_(pa.int64()))]
+    fields = [("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("p1", pa.int64()), ("p2", pa.int64()), ("prefix", pa.list_(pa.int64())), ("signature", pa.binary())]
     schema = pa.schema(fields)
 
     def keys(x: np.ndarray) -> tuple[int, int]:
@@ -114,13 +128,11 @@ def _described(docs: DataFrame, size: int, percent: int, levels: np.ndarray) ->
             for x in sets:
                 level = levels[(x >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 p = np.lexsort((x, level))[: _prefix_size(len(x), percent)] if len(x) else np.zeros(0, np.int64)
-                bits = np.bincount((x & np.uint64(64 * SIGNATURE - 1)).astype(np.int64), minlength=64 * SIGNATURE) & 1
-                signature = np.packbits(bits.astype(np.uint8)).view(np.int64)
-                for column, value in zip(out, (len(x), *keys(x), *keys(x[p]), x[p].view(np.int64), signature), strict=True):
+                for column, value in zip(out, (len(x), *keys(x), *keys(x[p]), x[p].view(np.int64), signature(x)), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, schema.types[1:], strict=True))], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, p1 long, p2 long, prefix array<long>, signature array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, p1 long, p2 long, prefix array<long>, signature binary")
 
 
 def _shared(postings: DataFrame) -> DataFrame:
@@ -146,9 +158,16 @@ def _could_link(a: str, b: str, percent: int):
 def _alike(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose signatures do not rule a link out."""
     s = lambda x: signatures.select(F.col("c").alias(x), F.col("n").alias(f"n_{x}"), F.col("signature").alias(f"s_{x}"))
-    p = pairs.join(s("a"), "a").join(s("b"), "b")
-    apart = sum((F.bit_count(F.col("s_a")[i].bitwiseXOR(F.col("s_b")[i])) for i in range(SIGNATURE)), F.lit(0))
-    return p.where((100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    p = pairs.join(s("a"), "a").join(s("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = (100 - percent) * batch.column(2).to_numpy() // (100 + percent)
+            apart = [least_difference(*(np.frombuffer(x.as_buffer(), np.uint8) for x in both)) for both in zip(batch.column(3), batch.column(4), strict=True)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], schema=schema).filter(pa.array(np.array(apart, np.int64) <= most))
+
+    return p.select("a", "b", F.col("n_a") + F.col("n_b"), "s_a", "s_b").mapInArrow(check, "a long, b long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:

@@ -7,7 +7,8 @@ from brute import jaccard_components, repeated_bytes, smallest_reachable, substr
 
 from docweave.llm.common import slices
 from docweave.llm.components import components
-from docweave.llm.jaccard_join import near_duplicates
+from docweave.llm import jaccard_join as J
+from docweave.llm.jaccard_join import least_difference, near_duplicates, signature
 from docweave.llm.substring_dedup import COVER, PERIOD, is_cover, remove_repeated_runs
 from docweave.llm.suffix_dedup import Bytes, keep_unrepeated, remove_repeated_bytes
 from docweave.llm.vector_dedup import collisions_needed, vector_links
@@ -114,6 +115,37 @@ def test_jaccard_join(spark, seed):
     assert got == jaccard_components(rows, 2, 50)
 
 
+def test_signatures_bound_the_difference_of_sets_of_any_size():
+    rng = np.random.default_rng(1)
+    for n, shared in [(1, 0), (3, 2), (900, 700), (1100, 1000), (5000, 4000), (9000, 8900)]:
+        for m in (n, n * 9 // 10, 5 * n):
+            x, y = (np.unique(rng.integers(0, 1 << 63, k).astype(np.uint64)) for k in (n, m))
+            y[: min(shared, m)] = x[: min(shared, m)]
+            y = np.unique(y)
+            least = least_difference(*(np.frombuffer(signature(s), np.uint8) for s in (x, y)))
+            assert least <= len(np.setxor1d(x, y))
+    x, y = (np.unique(rng.integers(0, 1 << 63, 6000).astype(np.uint64)) for _ in range(2))
+    assert 185 * least_difference(*(np.frombuffer(signature(s), np.uint8) for s in (x, y))) > 15 * 12000  # long sets with nothing in common are told apart
+    assert len(signature(x[:0])) == len(signature(x[:1024])) == 128 and len(signature(x[:1025])) == 256
+
+
+def test_long_texts_that_cannot_link_are_not_compared_whole(spark, monkeypatch):
+    same = [f"s{i}" for i in range(1500)]
+    rows = [(d, " ".join([*same, *(f"d{d}x{i}" for i in range(4500))])) for d in range(6)]  # a quarter in common, of 6,000 shingles
+    rows += [(d + 10, rows[d][1] + " tail") for d in range(2)]
+    verified, compared = J._verified, []
+
+    def counted(pairs, *args):
+        compared.extend((r.a, r.b) for r in pairs.collect())
+        return verified(pairs, *args)
+
+    monkeypatch.setattr(J, "_verified", counted)
+    monkeypatch.setattr(J, "_levels", lambda docs, size: np.zeros(1 << J.SKETCH_BITS, np.uint8))  # common shingles come first as often as others
+    got = {r.doc_id: r.component_id for r in J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d % 10 for d, _ in rows}
+    assert sorted(map(tuple, map(sorted, compared))) == [(0, 10), (1, 11)]
+
+
 def test_empty_tables_and_repeated_rows(spark):
     empty = frame(spark, [(1, "x")]).limit(0)
     assert remove_repeated_runs(empty).count() == remove_repeated_bytes(empty).count() == near_duplicates(empty).count() == 0
