@@ -8,14 +8,15 @@ cycle, so whatever shard it began with, every shard counts once. The scans end
 when every phrase that became active has had its cycle; a phrase that occurs
 ``least`` times always becomes active, as its subphrases occur as often.
 
-A step is one Spark job: tasks count their slices' active phrases, a shuffle
-adds them up (a frequent phrase is one row of a task), and the sums are written
-to the shared folder. Which phrases have reached ``least`` is read off the sums
-of all steps so far and told to the tasks as a table of fixed size: for each of
-2^22 hash values the first step at which a phrase with it may count. A shared
-hash value can activate a phrase that need not be counted, but none too late,
-and always for a whole cycle, which begins no earlier than those of its
-subphrases, so counts are exact.
+The scans count hash values. A task sends its active phrases as arrays of hash
+values and counts, one row for each of many ranges of hash values; a shuffle
+brings a range's arrays together, which are added up and written to the shared
+folder. Which values have reached ``least`` is read off the sums of all steps so
+far and told to the tasks as a table of fixed size: for each of 2^22 hash values
+the first step at which a phrase with it may count. One more scan then counts, by
+their words, the phrases whose value has reached ``least`` over the whole cycle.
+A shared hash value can bring in a phrase that need not be counted, but loses
+none and adds nothing to another's count, so counts are exact.
 
 Defined results: a null text counts as empty, a null language as ``und``;
 repeated rows count again; an empty table gives no rows; only the two columns
@@ -25,8 +26,8 @@ are read.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,16 +35,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docweave.llm.common import scratch, slices, written
+from docweave.llm.wordhash import mix
 
 SHARDS = 3
 LEAST = 10            # occurrences of a candidate
 INSIDE_PERCENT = 50   # a longer candidate with this share of a phrase's occurrences drops it
 TOP = 2000
 BITS = 22
+FINAL_BITS = 26       # of the table that the last scan looks phrases up in
+RANGE_BYTES = 4 << 20  # text for each range of hash values
 SALTS = {1: 16}       # copies of a word's count in lookups: many candidates share a word
 SALTS_LONGER = 2
 _NEVER = 255
+_MOST = 255           # a count sent with a hash value is a byte
+_HELD = 4_000_000     # hash values that a task sorts at once
 _SLICE = 4 << 20
+_STEP_MUL, _WORD_ADD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x94D049BB133111EB)
 _BREAK = b"\xff"      # a byte that no UTF-8 text holds
 _TO = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + _BREAK * 10)
 
@@ -54,143 +61,278 @@ class _Numbers(dict):
         return value
 
 
-def _entries(prefix: bytes, phrases: list[bytes]) -> np.ndarray:
-    """Hash values of a language's phrases; ``_entry`` is the same as a column."""
+def _word_hashes(prefix: bytes, words: list[bytes]) -> np.ndarray:
     start = zlib.crc32(prefix)
     crc = zlib.crc32
-    return np.fromiter((crc(p, start) for p in phrases), np.int64, len(phrases)) & ((1 << BITS) - 1)
+    return mix(np.fromiter((crc(w, start) for w in words), np.uint64, len(words)) + _WORD_ADD)
 
 
-def _entry() -> Column:
-    return F.crc32(F.concat("lang", F.lit("\0"), "phrase").cast("binary")).bitwiseAND(F.lit((1 << BITS) - 1))
+def _longer(hashes: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash values of phrases followed by one more word."""
+    return mix(hashes * _STEP_MUL + word)
 
 
-def slice_counts(lang: str, texts: list[bytes], step: int, shards: int, reached: dict[int, np.ndarray], longest: int) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray]]:
-    """(words, phrases, counts, first steps) of the phrases that are active in this step, by length."""
-    prefix = lang.encode() + b"\0"
+def _entry(hashes: np.ndarray, bits: int = BITS) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _entries(prefix: bytes, phrases: list[bytes]) -> np.ndarray:
+    """Places of a language's phrases in the tables of 2^BITS hash values."""
+    out = []
+    for phrase in phrases:
+        words = _word_hashes(prefix, phrase.split(b" "))
+        out.append(reduce(_longer, (words[i : i + 1] for i in range(len(words)))))
+    return _entry(np.concatenate(out)) if out else np.zeros(0, np.int64)
+
+
+def _has(bits: np.ndarray, entry: np.ndarray) -> np.ndarray:
+    return (bits[entry >> 3] >> (entry & 7).astype(np.uint8)) & 1 != 0
+
+
+def _slice_phrases(lang: str, texts: list[bytes], longest: int, told: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, Callable[[np.ndarray], list[bytes]]]]:
+    """(words, hash values, counts, first steps, names) of the phrases of a slice, by length.
+
+    ``told(words, hash values)`` gives the first steps of what they are part of; names of phrases are made when asked for.
+    """
     words = _BREAK.join(texts).translate(_TO).replace(_BREAK, b" \xff ").split()
     known = _Numbers()
     known[_BREAK] = 0
     ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words)) - 1  # -1: a break
-    phrases = list(known)[1:]
-    if not phrases:
+    single = list(known)[1:]
+    if not single:
         return
-    if step < shards:
-        yield 1, phrases, np.bincount(ids[ids >= 0], minlength=len(phrases)), np.zeros(len(phrases), np.int64)
-    last = np.array(phrases, object)
-    final = np.arange(len(phrases))  # the last word of each phrase
-    start = np.zeros(len(phrases), np.int64)
+    word_hash = hashes = _word_hashes(lang.encode() + b"\0", single)
+    last = np.array(single, object)
+    final = np.arange(len(single))  # the last word of each phrase
+    start = np.zeros(len(single), np.int64)
+    chain: list[tuple[np.ndarray, np.ndarray]] = []  # of each length from 2 on: the phrase without its last word, and that word
+
+    def names(length: int, which: np.ndarray) -> list[bytes]:
+        parts = []
+        for left, word in reversed(chain[: length - 1]):
+            parts.append(last[word[which]].tolist())
+            which = left[which]
+        parts.append(last[which].tolist())
+        return list(map(b" ".join, zip(*reversed(parts), strict=True))) if length > 1 else parts[0]
+
+    yield 1, hashes, np.bincount(ids[ids >= 0], minlength=len(single)), start, partial(names, 1)
     for length in range(2, longest + 1):
         # a shared hash value may be told of before the phrase itself can be seen
-        since = np.maximum(reached[length - 1][_entries(prefix, phrases)], start)
-        a, b = ids[:-1], ids[1:]
-        at = np.flatnonzero((a >= 0) & (b >= 0))
-        at = at[(since[a[at]] != _NEVER) & (since[b[at]] != _NEVER)]
+        since = np.maximum(told(length - 1, hashes), start)
+        usable = np.append(since != _NEVER, False)[ids]  # the last place stands for a break
+        at = np.flatnonzero(usable[:-1] & usable[1:])
         if not len(at):
             return
-        key, inverse, count = np.unique(a[at] * len(phrases) + b[at], return_inverse=True, return_counts=True)
-        left, right = key // len(phrases), key % len(phrases)
+        pair = ids[at] * len(hashes) + ids[at + 1]
+        if length < longest:
+            key, inverse, count = np.unique(pair, return_inverse=True, return_counts=True)
+            ids = np.full(len(ids) - 1, -1, np.int64)
+            ids[at] = inverse
+        else:
+            key, count = np.unique(pair, return_counts=True)
+        left, right = np.divmod(key, len(hashes))
         start = np.maximum(since[left], since[right])
-        ids = np.full(len(ids) - 1, -1, np.int64)
-        ids[at] = inverse
         final = final[right]
-        active = np.flatnonzero((start <= step) & (step < start + shards))
-        if length == longest:
-            left, final = left[active], final[active]
-        phrases = [phrases[i] + b" " + w for i, w in zip(left.tolist(), last[final].tolist(), strict=True)]
-        if len(active):
-            yield length, phrases if length == longest else [phrases[i] for i in active.tolist()], count[active], start[active]
+        hashes = _longer(hashes[left], word_hash[final])
+        chain.append((left, final))
+        yield length, hashes, count, start, partial(names, length)
 
 
-def _scan(rows: DataFrame, step: int, shards: int, reached: dict[int, np.ndarray], longest: int) -> DataFrame:
-    """(lang, words, start, phrase, n, e) of one shard in one step, added up; e is the phrase's hash value, start its first step."""
-    schema = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("start", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
+def _active(lang: str, texts: list[bytes], step: int, shards: int, reached: dict[int, np.ndarray], longest: int) -> Iterator[tuple]:
+    """What ``_slice_phrases`` gives, and which of the phrases are active in this step."""
+    for length, hashes, count, start, names in _slice_phrases(lang, texts, longest, lambda k, h: reached[k][_entry(h)]):
+        which = np.flatnonzero((start <= step) & (step < start + shards))
+        if len(which):
+            yield length, hashes, count, start, names, which
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=_SLICE):
-            by_lang: dict[str, list[bytes]] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                by_lang.setdefault(lang, []).append(text)
-            for lang, texts in by_lang.items():
-                for length, phrases, count, start in slice_counts(lang, texts, step, shards, reached, longest):
-                    n = len(phrases)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang], pa.string()).take(pa.array(np.zeros(n, np.int32))), pa.array(np.full(n, length, np.int32)), pa.array(start.astype(np.int32)), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(count.astype(np.int64))],
-                        schema=schema,
-                    )
 
-    counted = rows.mapInArrow(run, "lang string, words int, start int, phrase string, n long")
-    return counted.groupBy("lang", "words", "start", "phrase").agg(F.sum("n").alias("n")).withColumn("e", _entry().cast("int"))
+def slice_counts(lang: str, texts: list[bytes], step: int, shards: int, reached: dict[int, np.ndarray], longest: int) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray]]:
+    """(words, phrases, counts, first steps) of the phrases that are active in this step, by length."""
+    for length, _, count, start, names, which in _active(lang, texts, step, shards, reached, longest):
+        yield length, names(which), count[which], start[which]
 
 
-def _bits(phrases: DataFrame) -> DataFrame:
-    """Hash values of phrases as bits, by length: (words, at, bits), at most 2^BITS / 32 rows for each length."""
-    return phrases.groupBy("words", F.shiftright("e", 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, e & 31)")).alias("bits"))
+def _by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
+    for batch in slices(batches, limit=_SLICE):
+        found: dict[str, list[bytes]] = {}
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            found.setdefault(lang, []).append(text)
+        yield from found.items()
 
 
-def _added_up(sums: DataFrame, least: int, steps: int) -> DataFrame:
-    """(lang, words, phrase, e, n) of the phrases with ``least`` occurrences in ``steps`` sums.
+_SENT = "range int, words int, hashes binary, counts binary"
+_SENT_ARROW = pa.schema([("range", pa.int32()), ("words", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
+_SUMS = _SENT + ", likely binary"
 
-    Such a phrase has its share of them in one step; only phrases with the hash value of one that
-    has are shuffled. That table has a fixed size, so it may go to every task.
-    """
-    share = -(-least // steps)
-    if steps > 1:
-        likely = F.broadcast(_bits(sums.where(F.col("n") >= share)))
-        found = sums.withColumn("at", F.shiftright("e", 5)).join(likely, ["words", "at"])
-        sums = found.where(F.expr("bits & shiftleft(1L, e & 31) != 0"))
-    return sums.groupBy("lang", "words", "phrase", "e").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-
-
-def _entries_of(phrases: DataFrame) -> dict[int, np.ndarray]:
-    """Hash values of phrases, by length, on the driver: the rows of ``_bits``."""
-    got = _bits(phrases).toArrow()
-    out = {}
-    words, at, value = (got.column(i).to_numpy() for i in range(3))
-    for length in np.unique(words).tolist():
-        own = words == length
-        rows = np.zeros((1 << BITS) >> 5, "<u4")
-        rows[at[own]] = value[own].astype("<u4")
-        out[length] = np.flatnonzero(np.unpackbits(rows.view(np.uint8), bitorder="little"))
+
+def _arrays(place: np.ndarray, end: np.ndarray, words: int, hashes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """Rows of ``_SENT``: the values up to each end belong to the range at the same place."""
+    def cut(values: np.ndarray) -> pa.Array:
+        offsets = np.append(0, end * values.itemsize).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(end), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
+
+    return pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(np.full(len(place), words, np.int32)), cut(hashes), cut(counts)], schema=_SENT_ARROW)
+
+
+def _by_range(words: int, packed: np.ndarray, ranges: int) -> pa.RecordBatch:
+    """Hash values (with counts in their last byte) by the range of their first ``ranges`` bits: the next 32 bits of each, and its count."""
+    packed.sort()
+    end = np.searchsorted(packed, np.arange(1, 1 << ranges, dtype=np.uint64) << np.uint64(64 - ranges))
+    end = np.append(end, len(packed))
+    place = np.flatnonzero(np.diff(end, prepend=0))
+    rest = ((packed >> np.uint64(32 - ranges)) & np.uint64(0xFFFFFFFF)).astype("<u4")
+    return _arrays(place, end[place], words, rest, (packed & np.uint64(255)).astype(np.uint8))
+
+
+def _scan(rows: DataFrame, step: int, shards: int, reached: dict[int, np.ndarray], longest: int, ranges: int, least: int) -> DataFrame:
+    """``_SENT`` rows of one shard in one step: hash values of active phrases and their counts, ``least`` at most."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        for lang, texts in _by_lang(batches):
+            for length, hashes, count, _, _, which in _active(lang, texts, step, shards, reached, longest):
+                own = held.setdefault(length, [])
+                own.append((hashes[which] & ~np.uint64(255)) | np.minimum(count[which], least).astype(np.uint64))
+                if sum(map(len, own)) > _HELD:
+                    yield _by_range(length, np.concatenate(held.pop(length)), ranges)
+        for length, own in held.items():
+            yield _by_range(length, np.concatenate(own), ranges)
+
+    return rows.mapInArrow(run, _SENT)
+
+
+def _summed(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hash values of a range and their counts."""
+    hashes = np.frombuffer(b"".join(table.column("hashes").to_pylist()), "<u4")
+    counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8)
+    packed = (hashes.astype(np.uint64) << np.uint64(8)) | counts
+    packed.sort()
+    hashes = (packed >> np.uint64(8)).astype("<u4")
+    first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+    return hashes[first], np.add.reduceat((packed & np.uint64(255)).astype(np.int64), first)
+
+
+def _bits_of(hashes: np.ndarray, bits: int, ranges: int) -> bytes:
+    """A range's part of a table of 2^bits bits."""
+    own = np.zeros(1 << (bits - ranges), bool)
+    own[hashes >> np.uint32(32 - bits + ranges)] = True
+    return np.packbits(own, bitorder="little").tobytes()
+
+
+def _step_sums(sent: DataFrame, ranges: int, least: int, share: int) -> DataFrame:
+    """The sums of a step, ``least`` at most, and a table of the hash values that have their share of it in this step."""
+    def add(table: pa.Table) -> pa.Table:
+        hashes, n = _summed(table)
+        first = table.slice(0, 1)
+        row = [first.column("range"), first.column("words"), pa.array([hashes.tobytes()], pa.binary()), pa.array([np.minimum(n, least).astype(np.uint8).tobytes()], pa.binary()), pa.array([_bits_of(hashes[n >= share], BITS, ranges)], pa.binary())]
+        return pa.Table.from_arrays(row, names=["range", "words", "hashes", "counts", "likely"])
+
+    return sent.groupBy("range", "words").applyInArrow(add, _SUMS)
+
+
+def _tables(rows: DataFrame, column: str, bits: int, ranges: int) -> dict[int, np.ndarray]:
+    """Tables of 2^bits bits by length, on the driver."""
+    got = rows.select("range", "words", column).toArrow()
+    out: dict[int, np.ndarray] = {}
+    size = 1 << (bits - ranges - 3)
+    for place, words, own in zip(*(c.to_pylist() for c in got.columns), strict=True):
+        out.setdefault(words, np.zeros(1 << (bits - 3), np.uint8))[place * size : (place + 1) * size] |= np.frombuffer(own, np.uint8)
     return out
 
 
+def _reached(sums: DataFrame, likely: dict[int, np.ndarray], least: int, bits: int, ranges: int) -> dict[int, np.ndarray]:
+    """Tables of the hash values whose sums have come to ``least``.
+
+    Such a value has its share of them in one step; only values that share a place with one that has are shuffled.
+    """
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for place, words, hashes, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if words not in likely:
+                    continue
+                hashes = np.frombuffer(hashes, "<u4")
+                at = (place << (BITS - ranges)) + (hashes >> np.uint32(32 - BITS + ranges)).astype(np.int64)
+                found = _has(likely[words], at)
+                if found.any():
+                    hashes, counts = hashes[found], np.frombuffer(counts, np.uint8)[found]
+                    yield _arrays(np.array([place]), np.array([len(hashes)]), words, hashes, counts)
+
+    def add(table: pa.Table) -> pa.Table:
+        hashes, n = _summed(table)
+        first = table.slice(0, 1)
+        return pa.Table.from_arrays([first.column("range"), first.column("words"), pa.array([_bits_of(hashes[n >= least], bits, ranges)], pa.binary())], names=["range", "words", "bits"])
+
+    found = sums.select("range", "words", "hashes", "counts").mapInArrow(some, _SENT).groupBy("range", "words").applyInArrow(add, "range int, words int, bits binary")
+    return _tables(found, "bits", bits, ranges)
+
+
+def _named(rows: DataFrame, words_reached: np.ndarray, reached: dict[int, np.ndarray], longest: int) -> DataFrame:
+    """(lang, words, phrase, n) of all words, and of the longer phrases whose hash value and those of their parts are in the tables."""
+    schema = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
+
+    def told(length: int, hashes: np.ndarray) -> np.ndarray:
+        there = words_reached[_entry(hashes)] != _NEVER if length == 1 else held(length, hashes)
+        return np.where(there, 0, _NEVER)
+
+    def held(length: int, hashes: np.ndarray) -> np.ndarray:
+        return _has(reached[length], _entry(hashes, FINAL_BITS)) if length in reached else np.zeros(len(hashes), bool)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, texts in _by_lang(batches):
+            for length, hashes, count, _, names in _slice_phrases(lang, texts, longest, told):
+                which = np.arange(len(hashes)) if length == 1 else np.flatnonzero(held(length, hashes))
+                n = len(which)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang], pa.string()).take(pa.array(np.zeros(n, np.int32))), pa.array(np.full(n, length, np.int32)), pa.array(names(which), pa.binary()).cast(pa.string()), pa.array(count[which].astype(np.int64))],
+                    schema=schema,
+                )
+
+    return rows.mapInArrow(run, "lang string, words int, phrase string, n long").groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def phrase_counts(df: DataFrame, longest: int = 3, least: int = LEAST, shards: int = SHARDS, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """(lang, words, phrase, n, e), in partial sums: of all words, and of every longer phrase that may occur ``least`` times.
-
-    A row is the sum of one step; adding up a phrase's rows gives its exact number of occurrences.
-    """
+    """(lang, words, phrase, n): the exact counts of all words, and of every longer phrase that may occur ``least`` times."""
     spark = df.sparkSession
     rows = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
     source = scratch(spark, "shards")
     rows.withColumn("shard", F.spark_partition_id() % shards).write.partitionBy("shard").parquet(source)
     dealt = spark.read.schema("lang string, text string, shard int").parquet(source)
+    size = dealt.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = min(16, max(4, (size // RANGE_BYTES).bit_length()))  # as bits of the hash values
+    enough = min(least, _MOST)  # more may pass with a least number above a byte; names are counted whole
+    share = -(-enough // shards)
     reached = {length: np.full(1 << BITS, _NEVER, np.uint8) for length in range(1, longest)}
+    likely: dict[int, np.ndarray] = {}
     sums: list[DataFrame] = []
+    paths = [source]
     step, until = 0, shards
     while step < until:
         shard = dealt.where(F.col("shard") == step % shards).select("lang", "text")
-        counted = _scan(shard, step, shards, reached, longest)
-        path = scratch(spark, "phrase-sums")
-        counted.write.partitionBy("words", "start").parquet(path)
-        sums.append(spark.read.schema(counted.schema).parquet(path))
-        if step < (longest - 1) * shards:  # the last phrases that others wait for end their cycle then
-            counting = f"words < {longest} AND start > {step - shards}"  # the sums of others are complete; they are not read
-            shorter = reduce(DataFrame.unionByName, [s.where(counting) for s in sums])
-            for length, entries in _entries_of(_added_up(shorter, least, min(step + 1, shards))).items():
+        paths.append(scratch(spark, "hash-sums"))
+        _step_sums(_scan(shard, step, shards, reached, longest, ranges, enough), ranges, enough, share).write.partitionBy("words").parquet(paths[-1])
+        sums.append(spark.read.schema(_SUMS).parquet(paths[-1]))
+        for length, own in _tables(sums[-1], "likely", BITS, ranges).items():
+            likely[length] = likely[length] | own if length in likely else own
+        counting = [k for k in range(1, longest) if k - 1 <= step < k * shards]  # the sums of others are complete; they are not read
+        if counting:
+            shorter = reduce(DataFrame.unionByName, [s.where(F.col("words").isin(counting)) for s in sums])
+            for length, bits in _reached(shorter, likely, enough, BITS, ranges).items():
                 table = reached[length]
+                entries = np.flatnonzero(np.unpackbits(bits, bitorder="little"))
                 new = entries[table[entries] == _NEVER]
                 table[new] = step + 1
                 if len(new):
                     until = max(until, step + 1 + shards)
         step += 1
-    _remove(spark, source)
-    return reduce(DataFrame.unionByName, sums)
+    whole = _reached(reduce(DataFrame.unionByName, sums).where("words > 1"), likely, enough, FINAL_BITS, ranges)
+    counted = written(_named(dealt.select("lang", "text"), reached[1], whole, longest), "phrase-counts")
+    for path in paths:
+        _remove(spark, path)
+    return counted
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:
@@ -205,9 +347,9 @@ def collocations(df: DataFrame, longest: int = 3, least: int = LEAST, inside_per
 
     a, l and r count the phrase and the two parts of its weakest cut, n the words of the language.
     """
-    sums = phrase_counts(df, longest, least, shards, **columns)
-    words = sums.where("words = 1").groupBy("lang").agg(F.sum("n").alias("n"))
-    frequent = written(_added_up(sums, least, shards).drop("e"), "phrases")
+    counts = phrase_counts(df, longest, least, shards, **columns)
+    words = counts.where("words = 1").groupBy("lang").agg(F.sum("n").alias("n"))
+    frequent = written(counts.where(F.col("n") >= least), "phrases")
     candidates = frequent.where("words > 1").select("lang", "words", "phrase", F.col("n").alias("a"), F.split("phrase", " ").alias("ws"))
     cuts = F.transform(
         F.sequence(F.lit(1), F.col("words") - 1),
