@@ -48,6 +48,7 @@ SALTS = {1: 16}       # copies of a word's count in lookups: many candidates sha
 SALTS_LONGER = 2
 _NEVER = 255
 _MOST = 255           # a count sent with a hash value is a byte
+_REST = 26            # bits of a hash value that are sent, beside those of its range
 _HELD = 4_000_000     # hash values that a task sorts at once
 _SLICE = 4 << 20
 _STEP_MUL, _WORD_ADD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x94D049BB133111EB)
@@ -165,23 +166,30 @@ _SENT_ARROW = pa.schema([("range", pa.int32()), ("words", pa.int32()), ("hashes"
 _SUMS = _SENT + ", likely binary"
 
 
-def _arrays(place: np.ndarray, end: np.ndarray, words: int, hashes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    """Rows of ``_SENT``: the values up to each end belong to the range at the same place."""
-    def cut(values: np.ndarray) -> pa.Array:
-        offsets = np.append(0, end * values.itemsize).astype(np.int32)
-        return pa.Array.from_buffers(pa.binary(), len(end), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
+def _packed(hashes: np.ndarray) -> bytes:
+    """Ascending hash values of a range as their differences, the lowest byte of all first: the others are nearly all zero."""
+    step = np.diff(hashes, prepend=hashes.dtype.type(0)).astype("<u4")
+    return np.ascontiguousarray(step.view(np.uint8).reshape(-1, 4).T).tobytes()
 
-    return pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(np.full(len(place), words, np.int32)), cut(hashes), cut(counts)], schema=_SENT_ARROW)
+
+def _unpacked(sent: bytes) -> np.ndarray:
+    step = np.ascontiguousarray(np.frombuffer(sent, np.uint8).reshape(4, -1).T).view("<u4")[:, 0]
+    return np.cumsum(step, dtype=np.uint32)
+
+
+def _rows(words: int, ranges: list[int], hashes: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
+    columns = [pa.array(ranges, pa.int32()), pa.array([words] * len(ranges), pa.int32()), pa.array(map(_packed, hashes), pa.binary()), pa.array([c.tobytes() for c in counts], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, schema=_SENT_ARROW)
 
 
 def _by_range(words: int, packed: np.ndarray, ranges: int) -> pa.RecordBatch:
-    """Hash values (with counts in their last byte) by the range of their first ``ranges`` bits: the next 32 bits of each, and its count."""
+    """Hash values (with counts in their last byte) by the range of their first ``ranges`` bits: the next bits of each, and its count."""
     packed.sort()
     end = np.searchsorted(packed, np.arange(1, 1 << ranges, dtype=np.uint64) << np.uint64(64 - ranges))
-    end = np.append(end, len(packed))
-    place = np.flatnonzero(np.diff(end, prepend=0))
-    rest = ((packed >> np.uint64(32 - ranges)) & np.uint64(0xFFFFFFFF)).astype("<u4")
-    return _arrays(place, end[place], words, rest, (packed & np.uint64(255)).astype(np.uint8))
+    rest = ((packed >> np.uint64(64 - ranges - _REST)) & np.uint64((1 << _REST) - 1)).astype(np.uint32)
+    hashes, counts = np.split(rest, end), np.split((packed & np.uint64(255)).astype(np.uint8), end)
+    there = [i for i, h in enumerate(hashes) if len(h)]
+    return _rows(words, there, [hashes[i] for i in there], [counts[i] for i in there])
 
 
 def _scan(rows: DataFrame, step: int, shards: int, reached: dict[int, np.ndarray], longest: int, ranges: int, least: int) -> DataFrame:
@@ -202,11 +210,11 @@ def _scan(rows: DataFrame, step: int, shards: int, reached: dict[int, np.ndarray
 
 def _summed(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hash values of a range and their counts."""
-    hashes = np.frombuffer(b"".join(table.column("hashes").to_pylist()), "<u4")
+    hashes = np.concatenate([_unpacked(h) for h in table.column("hashes").to_pylist()])
     counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8)
     packed = (hashes.astype(np.uint64) << np.uint64(8)) | counts
     packed.sort()
-    hashes = (packed >> np.uint64(8)).astype("<u4")
+    hashes = (packed >> np.uint64(8)).astype(np.uint32)
     first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
     return hashes[first], np.add.reduceat((packed & np.uint64(255)).astype(np.int64), first)
 
@@ -214,7 +222,7 @@ def _summed(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 def _bits_of(hashes: np.ndarray, bits: int, ranges: int) -> bytes:
     """A range's part of a table of 2^bits bits."""
     own = np.zeros(1 << (bits - ranges), bool)
-    own[hashes >> np.uint32(32 - bits + ranges)] = True
+    own[hashes >> np.uint32(_REST - bits + ranges)] = True
     return np.packbits(own, bitorder="little").tobytes()
 
 
@@ -223,7 +231,7 @@ def _step_sums(sent: DataFrame, ranges: int, least: int, share: int) -> DataFram
     def add(table: pa.Table) -> pa.Table:
         hashes, n = _summed(table)
         first = table.slice(0, 1)
-        row = [first.column("range"), first.column("words"), pa.array([hashes.tobytes()], pa.binary()), pa.array([np.minimum(n, least).astype(np.uint8).tobytes()], pa.binary()), pa.array([_bits_of(hashes[n >= share], BITS, ranges)], pa.binary())]
+        row = [first.column("range"), first.column("words"), pa.array([_packed(hashes)], pa.binary()), pa.array([np.minimum(n, least).astype(np.uint8).tobytes()], pa.binary()), pa.array([_bits_of(hashes[n >= share], BITS, ranges)], pa.binary())]
         return pa.Table.from_arrays(row, names=["range", "words", "hashes", "counts", "likely"])
 
     return sent.groupBy("range", "words").applyInArrow(add, _SUMS)
@@ -249,12 +257,11 @@ def _reached(sums: DataFrame, likely: dict[int, np.ndarray], least: int, bits: i
             for place, words, hashes, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if words not in likely:
                     continue
-                hashes = np.frombuffer(hashes, "<u4")
-                at = (place << (BITS - ranges)) + (hashes >> np.uint32(32 - BITS + ranges)).astype(np.int64)
+                hashes = _unpacked(hashes)
+                at = (place << (BITS - ranges)) + (hashes >> np.uint32(_REST - BITS + ranges)).astype(np.int64)
                 found = _has(likely[words], at)
                 if found.any():
-                    hashes, counts = hashes[found], np.frombuffer(counts, np.uint8)[found]
-                    yield _arrays(np.array([place]), np.array([len(hashes)]), words, hashes, counts)
+                    yield _rows(words, [place], [hashes[found]], [np.frombuffer(counts, np.uint8)[found]])
 
     def add(table: pa.Table) -> pa.Table:
         hashes, n = _summed(table)
@@ -265,26 +272,33 @@ def _reached(sums: DataFrame, likely: dict[int, np.ndarray], least: int, bits: i
     return _tables(found, "bits", bits, ranges)
 
 
-def _named(rows: DataFrame, words_reached: np.ndarray, reached: dict[int, np.ndarray], longest: int) -> DataFrame:
-    """(lang, words, phrase, n) of all words, and of the longer phrases whose hash value and those of their parts are in the tables."""
-    schema = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
+def _named(rows: DataFrame, reached: dict[int, np.ndarray], longest: int, all_words: bool) -> DataFrame:
+    """(lang, words, phrase, n) of the phrases whose hash value and those of their parts are in the tables, and of all words if so asked.
 
-    def told(length: int, hashes: np.ndarray) -> np.ndarray:
-        there = words_reached[_entry(hashes)] != _NEVER if length == 1 else held(length, hashes)
-        return np.where(there, 0, _NEVER)
+    The row with 0 words gives the words of a language.
+    """
+    schema = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
 
     def held(length: int, hashes: np.ndarray) -> np.ndarray:
         return _has(reached[length], _entry(hashes, FINAL_BITS)) if length in reached else np.zeros(len(hashes), bool)
 
+    def told(length: int, hashes: np.ndarray) -> np.ndarray:
+        return np.where(held(length, hashes), 0, _NEVER)
+
+    def counted(lang: str, length: int, phrases: list[bytes], count: np.ndarray) -> pa.RecordBatch:
+        n = len(phrases)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([lang], pa.string()).take(pa.array(np.zeros(n, np.int32))), pa.array(np.full(n, length, np.int32)), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(count.astype(np.int64))],
+            schema=schema,
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, texts in _by_lang(batches):
             for length, hashes, count, _, names in _slice_phrases(lang, texts, longest, told):
-                which = np.arange(len(hashes)) if length == 1 else np.flatnonzero(held(length, hashes))
-                n = len(which)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang], pa.string()).take(pa.array(np.zeros(n, np.int32))), pa.array(np.full(n, length, np.int32)), pa.array(names(which), pa.binary()).cast(pa.string()), pa.array(count[which].astype(np.int64))],
-                    schema=schema,
-                )
+                which = np.arange(len(hashes)) if all_words and length == 1 else np.flatnonzero(held(length, hashes))
+                yield counted(lang, length, names(which), count[which])
+                if length == 1:
+                    yield counted(lang, 0, [b""], count.sum(keepdims=True))
 
     return rows.mapInArrow(run, "lang string, words int, phrase string, n long").groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
 
@@ -296,6 +310,11 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def phrase_counts(df: DataFrame, longest: int = 3, least: int = LEAST, shards: int = SHARDS, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(lang, words, phrase, n): the exact counts of all words, and of every longer phrase that may occur ``least`` times."""
+    return _counts(df, longest, least, shards, lang_col, text_col, all_words=True).where("words > 0")
+
+
+def _counts(df: DataFrame, longest: int, least: int, shards: int, lang_col: str = "lang", text_col: str = "text", all_words: bool = False) -> DataFrame:
+    """(lang, words, phrase, n): exact counts of every phrase that may occur ``least`` times; with 0 words the words of a language."""
     spark = df.sparkSession
     rows = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
     source = scratch(spark, "shards")
@@ -328,8 +347,8 @@ def phrase_counts(df: DataFrame, longest: int = 3, least: int = LEAST, shards: i
                 if len(new):
                     until = max(until, step + 1 + shards)
         step += 1
-    whole = _reached(reduce(DataFrame.unionByName, sums).where("words > 1"), likely, enough, FINAL_BITS, ranges)
-    counted = written(_named(dealt.select("lang", "text"), reached[1], whole, longest), "phrase-counts")
+    whole = _reached(reduce(DataFrame.unionByName, sums), likely, enough, FINAL_BITS, ranges)
+    counted = written(_named(dealt.select("lang", "text"), whole, longest, all_words), "phrase-counts")
     for path in paths:
         _remove(spark, path)
     return counted
@@ -347,9 +366,9 @@ def collocations(df: DataFrame, longest: int = 3, least: int = LEAST, inside_per
 
     a, l and r count the phrase and the two parts of its weakest cut, n the words of the language.
     """
-    counts = phrase_counts(df, longest, least, shards, **columns)
-    words = counts.where("words = 1").groupBy("lang").agg(F.sum("n").alias("n"))
-    frequent = written(counts.where(F.col("n") >= least), "phrases")
+    counts = _counts(df, longest, least, shards, **columns)
+    words = counts.where("words = 0").select("lang", "n")
+    frequent = counts.where((F.col("words") > 0) & (F.col("n") >= least))
     candidates = frequent.where("words > 1").select("lang", "words", "phrase", F.col("n").alias("a"), F.split("phrase", " ").alias("ws"))
     cuts = F.transform(
         F.sequence(F.lit(1), F.col("words") - 1),

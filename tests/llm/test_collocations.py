@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 from decimal import Decimal
 
 import numpy as np
+import pyarrow.compute  # noqa: F401
 import pytest
 
 from docweave.llm import collocations as C
@@ -100,6 +101,36 @@ def test_counts_are_whole_when_two_pairs_share_a_hash_value(spark):
     assert sorted(map(tuple, collocations(df).collect())) == plain(rows)
 
 
+def test_hash_values_of_phrases_are_those_of_their_words():
+    never = np.full(1 << C.BITS, 0, np.uint8)
+    texts = [b"New york city, b new york  City", "ça b ça b c".encode()]
+    for length, hashes, _, _, names, which in C._active("fr", texts, 0, 3, {1: never, 2: never}, 3):
+        assert C._entry(hashes[which]).tolist() == C._entries(b"fr\0", names(which)).tolist()
+        assert all(len(p.split(b" ")) == length for p in names(which))
+
+
+def test_hash_sums_come_back_whole():
+    rng = np.random.default_rng(2)
+    values = rng.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2)
+    packed = np.concatenate([values, values[:700]]) & ~np.uint64(255) | np.uint64(4)
+    for ranges in (4, 9, 16):
+        rest = np.uint64(64 - ranges - C._REST)
+        want = Counter((packed >> rest).tolist())
+        rows = C.pa.Table.from_batches([C._by_range(2, packed[:3000].copy(), ranges), C._by_range(2, packed[3000:].copy(), ranges)])
+        got = {}
+        for place in set(rows.column("range").to_pylist()):
+            hashes, n = C._summed(rows.filter(C.pa.compute.equal(rows.column("range"), place)))
+            got |= {(place << C._REST) + int(h): int(c) for h, c in zip(hashes, n, strict=True)}
+        assert got == {h: 4 * c for h, c in want.items()}
+
+
+def test_a_rare_phrase_sends_no_row_of_its_own(spark):
+    rows = [("en", " ".join(f"r{i}x{j} s{j}" for j in range(2000))) for i in range(4)]
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(4)
+    scan = C._scan(df, 0, 3, {1: np.zeros(1 << C.BITS, np.uint8), 2: np.zeros(1 << C.BITS, np.uint8)}, 3, 4, 10)
+    assert scan.count() <= 4 * 3 * 16  # tasks, lengths, ranges
+
+
 def test_scores_are_exact(spark):
     a, left, right = 999_999_999_989, 1_000_000_000_039, 1_000_000_000_061
     df = spark.createDataFrame([(a, left, right), (10, 10, 10), (1, 10**12, 10**12)], "a long, l long, r long")
