@@ -49,7 +49,9 @@ SALTS_LONGER = 2
 _NEVER = 255
 _MOST = 255           # a count sent with a hash value is a byte
 _REST = 26            # bits of a hash value that are sent, beside those of its range
-_HELD = 4_000_000     # hash values that a task sorts at once
+_HELD = 2_000_000     # hash values that a task sorts at once
+_NAMES = 600_000      # names that a task holds
+_NAME_RANGES = 10     # at most, as bits
 _SLICE = 4 << 20
 _STEP_MUL, _WORD_ADD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x94D049BB133111EB)
 _BREAK = b"\xff"      # a byte that no UTF-8 text holds
@@ -166,15 +168,22 @@ _SENT_ARROW = pa.schema([("range", pa.int32()), ("words", pa.int32()), ("hashes"
 _SUMS = _SENT + ", likely binary"
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """The lowest byte of all values first: where values are small, the others are nearly all zero."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def _from_planes(sent: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(sent, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind)[:, 0]
+
+
 def _packed(hashes: np.ndarray) -> bytes:
-    """Ascending hash values of a range as their differences, the lowest byte of all first: the others are nearly all zero."""
-    step = np.diff(hashes, prepend=hashes.dtype.type(0)).astype("<u4")
-    return np.ascontiguousarray(step.view(np.uint8).reshape(-1, 4).T).tobytes()
+    """Ascending hash values of a range as their differences."""
+    return _planes(np.diff(hashes, prepend=hashes.dtype.type(0)).astype("<u4"))
 
 
 def _unpacked(sent: bytes) -> np.ndarray:
-    step = np.ascontiguousarray(np.frombuffer(sent, np.uint8).reshape(4, -1).T).view("<u4")[:, 0]
-    return np.cumsum(step, dtype=np.uint32)
+    return np.cumsum(_from_planes(sent, "<u4"), dtype=np.uint32)
 
 
 def _rows(words: int, ranges: list[int], hashes: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
@@ -272,12 +281,13 @@ def _reached(sums: DataFrame, likely: dict[int, np.ndarray], least: int, bits: i
     return _tables(found, "bits", bits, ranges)
 
 
-def _named(rows: DataFrame, reached: dict[int, np.ndarray], longest: int, all_words: bool) -> DataFrame:
+def _named(rows: DataFrame, reached: dict[int, np.ndarray], longest: int, ranges: int, all_words: bool) -> DataFrame:
     """(lang, words, phrase, n) of the phrases whose hash value and those of their parts are in the tables, and of all words if so asked.
 
-    The row with 0 words gives the words of a language.
+    The row with 0 words gives the words of a language. A task's phrases are sent sorted and joined, a row for each range of hash values.
     """
-    schema = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
+    ranges = min(ranges, _NAME_RANGES)
+    sent = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("range", pa.int32()), ("phrases", pa.binary()), ("counts", pa.binary())])
 
     def held(length: int, hashes: np.ndarray) -> np.ndarray:
         return _has(reached[length], _entry(hashes, FINAL_BITS)) if length in reached else np.zeros(len(hashes), bool)
@@ -285,22 +295,46 @@ def _named(rows: DataFrame, reached: dict[int, np.ndarray], longest: int, all_wo
     def told(length: int, hashes: np.ndarray) -> np.ndarray:
         return np.where(held(length, hashes), 0, _NEVER)
 
-    def counted(lang: str, length: int, phrases: list[bytes], count: np.ndarray) -> pa.RecordBatch:
-        n = len(phrases)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([lang], pa.string()).take(pa.array(np.zeros(n, np.int32))), pa.array(np.full(n, length, np.int32)), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(count.astype(np.int64))],
-            schema=schema,
-        )
+    def joined(found: dict[tuple[str, int], dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
+        for (lang, length), own in found.items():
+            phrases = sorted(own)
+            counts = np.array([own[p] for p in phrases], "<i8")
+            place = np.fromiter(map(zlib.crc32, phrases), np.int64, len(phrases)) >> (32 - ranges)
+            order = np.argsort(place, kind="stable")
+            there, first = np.unique(place[order], return_index=True)
+            parts = [(i, _BREAK.join([phrases[j] for j in part.tolist()]), _planes(counts[part])) for i, part in zip(there.tolist(), np.split(order, first[1:]), strict=True)]
+            columns = [[lang] * len(parts), [length] * len(parts), *map(list, zip(*parts, strict=True))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, sent.types, strict=True)], schema=sent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[str, int], dict[bytes, int]] = {}
         for lang, texts in _by_lang(batches):
             for length, hashes, count, _, names in _slice_phrases(lang, texts, longest, told):
                 which = np.arange(len(hashes)) if all_words and length == 1 else np.flatnonzero(held(length, hashes))
-                yield counted(lang, length, names(which), count[which])
                 if length == 1:
-                    yield counted(lang, 0, [b""], count.sum(keepdims=True))
+                    total = found.setdefault((lang, 0), {b"": 0})
+                    total[b""] += int(count.sum())
+                if len(which):
+                    own = found.setdefault((lang, length), {})
+                    get = own.get
+                    for phrase, n in zip(names(which), count[which].tolist(), strict=True):
+                        own[phrase] = get(phrase, 0) + n
+            if sum(map(len, found.values())) > _NAMES:
+                yield from joined(found)
+                found = {}
+        yield from joined(found)
+
+    def add(table: pa.Table) -> pa.Table:
+        total: dict[bytes, int] = {}
+        for phrases, counts in zip(table.column("phrases").to_pylist(), table.column("counts").to_pylist(), strict=True):
+            for phrase, n in zip(phrases.split(_BREAK), _from_planes(counts, "<i8").tolist(), strict=True):
+                total[phrase] = total.get(phrase, 0) + n
+        n = len(total)
+        same = [table.column(c).slice(0, 1).combine_chunks().take(pa.array(np.zeros(n, np.int32))) for c in ("lang", "words")]
+        return pa.Table.from_arrays([*same, pa.array(list(total), pa.binary()).cast(pa.string()), pa.array(list(total.values()), pa.int64())], names=["lang", "words", "phrase", "n"])
 
-    return rows.mapInArrow(run, "lang string, words int, phrase string, n long").groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
+    told_of = rows.mapInArrow(run, "lang string, words int, range int, phrases binary, counts binary")
+    return told_of.groupBy("lang", "words", "range").applyInArrow(add, "lang string, words int, phrase string, n long")
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -348,7 +382,7 @@ def _counts(df: DataFrame, longest: int, least: int, shards: int, lang_col: str
                     until = max(until, step + 1 + shards)
         step += 1
     whole = _reached(reduce(DataFrame.unionByName, sums), likely, enough, FINAL_BITS, ranges)
-    counted = written(_named(dealt.select("lang", "text"), whole, longest, all_words), "phrase-counts")
+    counted = written(_named(dealt.select("lang", "text"), whole, longest, ranges, all_words), "phrase-counts")
     for path in paths:
         _remove(spark, path)
     return counted

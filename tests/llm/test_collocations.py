@@ -131,6 +131,17 @@ def test_a_rare_phrase_sends_no_row_of_its_own(spark):
     assert scan.count() <= 4 * 3 * 16  # tasks, lengths, ranges
 
 
+def test_names_are_added_up_over_tasks_and_parts_of_a_task(spark, monkeypatch):
+    monkeypatch.setattr(C, "_NAMES", 20)
+    rows = [r for r in texts(4) if r[1]]
+    every = {k: np.full(1 << (C.FINAL_BITS - 3), 255, np.uint8) for k in (1, 2, 3)}
+    df = spark.createDataFrame(rows, "lang string, text string").na.fill("und").repartition(5)
+    got = {(r.lang, r.phrase): r.n for r in C._named(df, every, 3, 6, False).collect()}
+    want = {(lang, p): n for lang, f in plain_counts(rows).items() for p, n in f.items()}
+    totals = {(lang, ""): sum(n for p, n in f.items() if " " not in p) for lang, f in plain_counts(rows).items()}
+    assert got == want | {k: n for k, n in totals.items() if n}
+
+
 def test_scores_are_exact(spark):
     a, left, right = 999_999_999_989, 1_000_000_000_039, 1_000_000_000_061
     df = spark.createDataFrame([(a, left, right), (10, 10, 10), (1, 10**12, 10**12)], "a long, l long, r long")
