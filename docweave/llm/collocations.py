@@ -44,6 +44,7 @@ TOP = 2000
 BITS = 22
 FINAL_BITS = 26       # of the table that the last scan looks phrases up in
 RANGE_BYTES = 4 << 20  # text for each range of hash values
+RANGE_BITS = 18       # of a range's part of the tables that tell which sums are added up over the steps
 SALTS = {1: 16}       # copies of a word's count in lookups: many candidates share a word
 SALTS_LONGER = 2
 _NEVER = 255
@@ -235,12 +236,16 @@ def _bits_of(hashes: np.ndarray, bits: int, ranges: int) -> bytes:
     return np.packbits(own, bitorder="little").tobytes()
 
 
+def _likely_bits(ranges: int) -> int:
+    return min(FINAL_BITS, ranges + RANGE_BITS)
+
+
 def _step_sums(sent: DataFrame, ranges: int, least: int, share: int) -> DataFrame:
     """The sums of a step, ``least`` at most, and a table of the hash values that have their share of it in this step."""
     def add(table: pa.Table) -> pa.Table:
         hashes, n = _summed(table)
         first = table.slice(0, 1)
-        row = [first.column("range"), first.column("words"), pa.array([_packed(hashes)], pa.binary()), pa.array([np.minimum(n, least).astype(np.uint8).tobytes()], pa.binary()), pa.array([_bits_of(hashes[n >= share], BITS, ranges)], pa.binary())]
+        row = [first.column("range"), first.column("words"), pa.array([_packed(hashes)], pa.binary()), pa.array([np.minimum(n, least).astype(np.uint8).tobytes()], pa.binary()), pa.array([_bits_of(hashes[n >= share], _likely_bits(ranges), ranges)], pa.binary())]
         return pa.Table.from_arrays(row, names=["range", "words", "hashes", "counts", "likely"])
 
     return sent.groupBy("range", "words").applyInArrow(add, _SUMS)
@@ -261,13 +266,15 @@ def _reached(sums: DataFrame, likely: dict[int, np.ndarray], least: int, bits: i
 
     Such a value has its share of them in one step; only values that share a place with one that has are shuffled.
     """
+    own = _likely_bits(ranges) - ranges
+
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for place, words, hashes, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if words not in likely:
                     continue
                 hashes = _unpacked(hashes)
-                at = (place << (BITS - ranges)) + (hashes >> np.uint32(_REST - BITS + ranges)).astype(np.int64)
+                at = (place << own) + (hashes >> np.uint32(_REST - own)).astype(np.int64)
                 found = _has(likely[words], at)
                 if found.any():
                     yield _rows(words, [place], [hashes[found]], [np.frombuffer(counts, np.uint8)[found]])
@@ -368,7 +375,7 @@ def _counts(df: DataFrame, longest: int, least: int, shards: int, lang_col: str
         paths.append(scratch(spark, "hash-sums"))
         _step_sums(_scan(shard, step, shards, reached, longest, ranges, enough), ranges, enough, share).write.partitionBy("words").parquet(paths[-1])
         sums.append(spark.read.schema(_SUMS).parquet(paths[-1]))
-        for length, own in _tables(sums[-1], "likely", BITS, ranges).items():
+        for length, own in _tables(sums[-1], "likely", _likely_bits(ranges), ranges).items():
             likely[length] = likely[length] | own if length in likely else own
         counting = [k for k in range(1, longest) if k - 1 <= step < k * shards]  # the sums of others are complete; they are not read
         if counting:
