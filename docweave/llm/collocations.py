@@ -359,7 +359,7 @@ def _counts(df: DataFrame, longest: int, least: int, shards: int, lang_col: str
     spark = df.sparkSession
     rows = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
     source = scratch(spark, "shards")
-    rows.withColumn("shard", F.spark_partition_id() % shards).write.partitionBy("shard").parquet(source)
+    rows.withColumn("shard", F.spark_partition_id() % shards).write.partitionBy("shard").parquet(source, compression="zstd")
     dealt = spark.read.schema("lang string, text string, shard int").parquet(source)
     size = dealt.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = min(16, max(4, (size // RANGE_BYTES).bit_length()))  # as bits of the hash values
@@ -373,7 +373,7 @@ def _counts(df: DataFrame, longest: int, least: int, shards: int, lang_col: str
     while step < until:
         shard = dealt.where(F.col("shard") == step % shards).select("lang", "text")
         paths.append(scratch(spark, "hash-sums"))
-        _step_sums(_scan(shard, step, shards, reached, longest, ranges, enough), ranges, enough, share).write.partitionBy("words").parquet(paths[-1])
+        _step_sums(_scan(shard, step, shards, reached, longest, ranges, enough), ranges, enough, share).write.partitionBy("words").parquet(paths[-1], compression="zstd")
         sums.append(spark.read.schema(_SUMS).parquet(paths[-1]))
         for length, own in _tables(sums[-1], "likely", _likely_bits(ranges), ranges).items():
             likely[length] = likely[length] | own if length in likely else own
