@@ -118,6 +118,29 @@ def test_files_of_a_task_share_a_folder_and_keep_their_names_and_lines(spark, tm
     assert len(list(tmp_path.glob("flat/*"))) == 1  # one folder to list, not one a file
 
 
+def test_files_are_listed_by_tasks_as_spark_lists_them(spark, tmp_path):
+    for name in ("top.csv", "a/x y.txt", "a/b%20c.csv", "a/é.gz", "a/_k=1.csv", "a/b/c/deep.CSV", "a/_x.csv", "_h/z.csv", ".q/z.csv", "a/e.csv._COPYING_", "_metadata_x/q.csv"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode())
+    (tmp_path / "a/empty.csv").write_bytes(b"")
+    (tmp_path / "nothing").mkdir()
+    for glob in (None, "*.csv", "{top,x}*", "[^a-b]*.csv"):
+        plain = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+        want = (plain.option("pathGlobFilter", glob) if glob else plain).load(str(tmp_path)).select("path", "content")
+        got = FS.read_files(spark, str(tmp_path), glob)
+        assert sorted(map(tuple, got.select("path", "content").collect())) == sorted(map(tuple, want.collect())) != []
+        assert not any(f.endswith((".csv", ".txt")) for f in got.inputFiles())  # the driver holds no index of the files
+    assert FS.read_files(spark, f"{tmp_path}/nothing").count() == 0
+    assert FS.read_files(spark, f"{tmp_path}/top.csv").count() == 1 and FS.read_files(spark, f"{tmp_path}/a/*.csv").count() == 2
+
+
+def test_large_files_leave_a_task_in_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(FS, "BATCH_BYTES", 10)
+    for i in range(9):
+        (tmp_path / f"{i}.bin").write_bytes(bytes([i]) * (4 * i))
+    assert sorted((r.filename, len(r.content)) for r in FS.read_files(spark, str(tmp_path)).collect()) == [(f"{i}.bin", 4 * i) for i in range(1, 9)]
+
+
 def test_json_queries_leave_the_shared_schema_alone(spark, tmp_path):
     from docweave.plans import ingest_queries as Q
 
